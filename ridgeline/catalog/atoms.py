@@ -177,7 +177,7 @@ def knn_surface_atoms(t):
 
 @query("nearest_three_balls", sql("SELECT u, v, rank FROM ridge_knn WHERE rank <= 3", "ridge_knn"))
 def nearest_three_balls(t):
-    w = Window.partitionBy("u").orderBy(F.rint(F.col("d2") * 1e9), "v")
+    w = Window.partitionBy("u").orderBy(F.floor(F.col("d2") * 1e9 + 0.5), "v")
     top = t.ridge_knn().withColumn("n", F.row_number().over(w)).where("n <= 3")
     return top.select("u", "v", F.col("n").cast("bigint").alias("rank"))
 

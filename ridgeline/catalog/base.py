@@ -7,6 +7,7 @@ roof ridges from the parts) and the grid mesh ``tin_vertex``/``tin_face`` (from
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,9 @@ SELECT s_id, CAST(b AS BIGINT) AS b, CAST(face AS BIGINT) AS face, CAST(alpha AS
  CAST(round(10 - t*cos(alpha/2)+200*sin(alpha/2),6) AS DOUBLE) AS coz, CAST((s_id*7+3) % (SELECT count(*) FROM part) AS BIGINT) AS qout
 FROM (
  SELECT s_id, b, j % 2 AS face, CAST(floor(j/50) AS BIGINT) AS half,
-  CASE (b + CAST(floor(j/50) AS BIGINT)) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5707963267948966 ELSE 2.0 END AS alpha,
-  0.5 + CAST(floor(j/2) AS BIGINT) % 10 * 0.25 + ((CAST(floor(s_id/2) AS BIGINT)*7919) % 1009)/10090.0 AS t,
-  CAST(floor(j/20) AS BIGINT)*0.3 + ((CAST(floor(s_id/2) AS BIGINT)*104729) % 997)/9970.0 AS y, 20.0*b AS x0
+  CASE (b + CAST(floor(j/50) AS BIGINT)) % 3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(1.5707963267948966 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS alpha,
+  CAST(0.5 AS DOUBLE) + CAST(floor(j/2) AS BIGINT) % 10 * CAST(0.25 AS DOUBLE) + ((CAST(floor(s_id/2) AS BIGINT)*7919) % 1009)/CAST(10090 AS DOUBLE) AS t,
+  CAST(floor(j/20) AS BIGINT)*CAST(0.3 AS DOUBLE) + ((CAST(floor(s_id/2) AS BIGINT)*104729) % 997)/CAST(9970 AS DOUBLE) AS y, CAST(20 AS DOUBLE)*b AS x0
  FROM (SELECT p_partkey AS s_id, CAST(floor(p_partkey/100) AS BIGINT) AS b, p_partkey % 100 AS j FROM part) r0) r1"""
 
 TIN_VERTEX = """
@@ -112,7 +113,8 @@ def sql(body: str, *names: str, extra: dict[str, str] | None = None, rounded: st
     if rounded:
         fixes = ", ".join(f"round({c}, {d}) + 0.0 AS {c}" for c, d in _digits(rounded, digits))
         body = f"SELECT * REPLACE ({fixes}) FROM ({body}) last_step"
-    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
+    text = ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
+    return re.sub(r'(?<![\w."])by(?![\w"])', '"by"', text)  # a column named like a keyword
 
 
 def _digits(rounded: str, digits: int) -> list[tuple[str, int]]:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions.symmetric3 import with_axis
 from ridgeline.functions.vec import Vec, angle, choose, put
@@ -88,7 +89,7 @@ def _beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - value, value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """p-value of a correlation: t distribution with n - 2 degrees of freedom."""
     out = pd.Series(np.nan, index=r.index)

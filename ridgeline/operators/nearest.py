@@ -282,7 +282,7 @@ def knn(
 
     here = [F.col(f"lo{a}").alias(f"q{a}") for a in "xyz"]
     there = [F.explode("ids").alias("v"), *(F.col(f"lo{a}").alias(f"c{a}") for a in "xyz")]
-    tie = [F.rint(F.col("d2") * 1e9), F.col("v")]  # d2 to 9 digits, then the lower id
+    tie = [F.floor(F.col("d2") * 1e9 + 0.5), F.col("v")]  # d2 to 9 digits, then the lower id
     found = closest(q_tree, c_tree, need, point_distance2, tie, there, here)
     lists = found.groupBy("q_key").agg(
         F.sort_array(F.collect_list(F.struct("place", "v", "d2"))).alias("l"), *(F.first(f"q{a}").alias(f"q{a}") for a in "xyz")
