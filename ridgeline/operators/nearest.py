@@ -16,9 +16,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ridgeline.staging import stage
 
@@ -35,27 +34,29 @@ class Tree:
     first_leaf: int
 
 
-def _octal_path(x: Column, y: Column, z: Column) -> Column:
+def _octal_path(x: str, y: str, z: str) -> str:
     """42 octal digits of three 42-bit cell numbers; digit i interleaves the i-th bits."""
-    def word(c: Column, high: bool) -> Column:
-        bits = F.shiftright(c, WORD) if high else c.bitwiseAND(F.lit((1 << WORD) - 1))
-        return F.conv(F.bin(bits), 8, 10).cast("bigint")  # bits read as octal digits
+    low = (1 << WORD) - 1
 
-    words = [(word(x, h) * 4 + word(y, h) * 2 + word(z, h)).cast("string") for h in (True, False)]
-    return F.concat(*(F.lpad(F.conv(w, 10, 8), WORD, "0") for w in words))
+    def word(c: str, high: bool) -> str:
+        bits = f"shiftright({c}, {WORD})" if high else f"({c} & {low}L)"
+        return f"cast(conv(bin({bits}), 8, 10) AS bigint)"  # bits read as octal digits
+
+    words = [f"cast({word(x, h)} * 4 + {word(y, h)} * 2 + {word(z, h)} AS string)" for h in (True, False)]
+    return "concat(" + ", ".join(f"lpad(conv({w}, 10, 8), {WORD}, '0')" for w in words) + ")"
 
 
 def plant(items: DataFrame, frame: tuple[list[float], float], leaf_size: int, count: int) -> Tree:
     """Grow the tree over ``items`` (``item, weight, lo*, hi*``) inside the cube ``frame``."""
     low, side = frame
     top = (1 << DEEPEST) - 1
-    cells = []
-    for axis, lo in zip("xyz", low):
-        middle = (F.col(f"lo{axis}") + F.col(f"hi{axis}")) / 2
-        cells.append(F.least(F.greatest(F.floor((middle - lo) / side * float(top)), F.lit(0)), F.lit(top)).cast("bigint"))
-    placed = stage(items.withColumn("path", _octal_path(*cells)), "placed")
+    cells = [
+        f"cast(least(greatest(floor((((lo{a} + hi{a}) / 2) - {lo!r}D) / {side!r}D * {float(top)!r}D), 0L), {top}L) AS bigint)"
+        for a, lo in zip("xyz", low)
+    ]
+    placed = stage(items.withColumn("path", F.expr(_octal_path(*cells))), "placed")
 
-    boxes = [F.min(b).alias(b) if b.startswith("lo") else F.max(b).alias(b) for b in BOX]
+    boxes = [F.expr(f"{'min' if b.startswith('lo') else 'max'}({b})").alias(b) for b in BOX]
     depth = min(DEEPEST, 1 + math.ceil(math.log(max(count / leaf_size, 1.0), 4)))
     while True:
         cell = F.substring("path", 1, depth)
@@ -67,48 +68,35 @@ def plant(items: DataFrame, frame: tuple[list[float], float], leaf_size: int, co
     bottom = placed.groupBy(F.substring("path", 1, depth).alias("cell")).agg(
         F.count("*").alias("held"), F.sum("weight").alias("weight"), *boxes
     )
-    levels = bottom.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    levels = levels.withColumn("key", F.expr("substring(cell, 1, level)"))
+    levels = bottom.withColumn("level", F.expr(f"explode(sequence(0, {depth}))")).withColumn("key", F.expr("substring(cell, 1, level)"))
     pyramid = stage(
-        levels.groupBy("level", "key").agg(
-            F.sum("held").alias("held"), F.sum("weight").alias("weight"), *boxes
-        ).withColumn("up", F.expr("substring(key, 1, level - 1)")),
+        levels.groupBy("level", "key").agg(F.sum("held").alias("held"), F.sum("weight").alias("weight"), *boxes)
+        .withColumn("up", F.expr("substring(key, 1, level - 1)")),
         "pyramid",
     )
-    split = pyramid.where((F.col("held") > leaf_size) & (F.col("level") < depth)).select(
-        F.col("key").alias("up"), (F.col("level") + 1).alias("level")
-    )
+    split = pyramid.where(f"held > {leaf_size} AND level < {depth}").selectExpr("key AS up", "level + 1 AS level")
     roots = pyramid.where("level = 0")
     nodes = roots.unionByName(pyramid.where("level > 0").join(split, ["up", "level"], "left_semi"))
-    nodes = stage(nodes.withColumn("leaf", (F.col("held") <= leaf_size) | (F.col("level") == depth)), "nodes")
-    reach = nodes.where("leaf").agg(F.max("level"), F.min("level")).first()
+    nodes = stage(nodes.withColumn("leaf", F.expr(f"held <= {leaf_size} OR level = {depth}")), "nodes")
+    reach = nodes.where("leaf").selectExpr("max(level)", "min(level)").first()
 
-    leaves = nodes.where("leaf").select(F.col("key"), F.col("level"))
-    paths = placed.select(F.substring("path", 1, depth).alias("cell")).distinct()
+    leaves = nodes.where("leaf").select("key", "level")
+    paths = placed.selectExpr(f"substring(path, 1, {depth}) AS cell").distinct()
     home = (
-        paths.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-        .withColumn("key", F.expr("substring(cell, 1, level)"))
-        .join(leaves, ["key", "level"])
-        .select("cell", F.col("key").alias("leaf"), F.col("level").alias("leaf_level"))
+        paths.withColumn("level", F.expr(f"explode(sequence(0, {depth}))")).withColumn("key", F.expr("substring(cell, 1, level)"))
+        .join(leaves, ["key", "level"]).selectExpr("cell", "key AS leaf", "level AS leaf_level")
     )
-    housed = placed.withColumn("cell", F.substring("path", 1, depth)).join(home, "cell").drop("cell", "path")
+    housed = placed.withColumn("cell", F.expr(f"substring(path, 1, {depth})")).join(home, "cell").drop("cell", "path")
     return Tree(nodes, stage(housed, "housed"), reach[0] or 0, reach[1] or 0)
 
 
-def _gap2(q: str, c: str) -> tuple[Column, Column]:
-    """Squared smallest and largest distance of two boxes."""
-    near, far = [], []
-    for a in "xyz":
-        qlo, qhi, clo, chi = (F.col(f"{p}lo{a}") if e == "lo" else F.col(f"{p}hi{a}") for p in (q, c) for e in ("lo", "hi"))
-        gap = F.greatest(F.lit(0.0), clo - qhi, qlo - chi)
-        reach = F.greatest(chi - qlo, qhi - clo)
-        near.append(gap * gap)
-        far.append(reach * reach)
-    return near[0] + near[1] + near[2], far[0] + far[1] + far[2]
+# Squared smallest and largest distance between the boxes of a pair.
+NEAR2 = " + ".join(f"pow(greatest(0D, c_lo{a} - q_hi{a}, q_lo{a} - c_hi{a}), 2)" for a in "xyz")
+FAR2 = " + ".join(f"pow(greatest(c_hi{a} - q_lo{a}, q_hi{a} - c_lo{a}), 2)" for a in "xyz")
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+    return df.toDF(*(f"{prefix}{c}" for c in df.columns))
 
 
 def _descend(pairs: DataFrame, kids: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -116,26 +104,23 @@ def _descend(pairs: DataFrame, kids: DataFrame, prefix: str, columns: list[str])
 
     Children farther than the radius inherited from the parents are left out at once.
     """
-    joined = pairs.join(_prefixed(kids, "n_"), F.col(f"{prefix}key") == F.col("n_up"), "left")
-    moved = joined.select(
+    joined = pairs.join(_prefixed(kids, "n_"), F.expr(f"{prefix}key = n_up"), "left")
+    moved = joined.selectExpr(
         *(c for c in pairs.columns if c not in columns),
-        *(F.coalesce(F.col(f"n_{c[len(prefix):]}"), F.col(c)).alias(c) for c in columns),
+        *(f"coalesce(n_{c[len(prefix):]}, {c}) AS {c}" for c in columns),
     )
-    near, _ = _gap2("q_", "c_")
-    return moved.where(F.col("bound2").isNull() | (near <= F.col("bound2")))
+    return moved.where(f"bound2 IS NULL OR {NEAR2} <= bound2")
 
 
 def _prune(pairs: DataFrame, need: int) -> DataFrame:
     """Per query keep the candidate nodes that can hold one of its ``need`` nearest."""
-    near, far = _gap2("q_", "c_")
-    pairs = pairs.withColumns({"near2": near, "far2": far})
-    by_far = Window.partitionBy("q_key").orderBy("far2", "c_key")
-    whole = Window.partitionBy("q_key")
-    seen = pairs.withColumn("before", F.sum("c_weight").over(by_far) - F.col("c_weight"))
-    enough = F.col("before") + F.col("c_weight") >= need
+    kept = [c for c in pairs.columns if c != "bound2"]
+    seen = pairs.selectExpr(*kept, f"{NEAR2} AS near2", f"{FAR2} AS far2").withColumn(
+        "before", F.expr("sum(c_weight) OVER (PARTITION BY q_key ORDER BY far2, c_key) - c_weight")
+    )
     # a hair of slack: bounds and item distances round differently
-    bound = F.min(F.when(enough, F.col("far2"))).over(whole) * (1 + 1e-9) + 1e-9
-    return seen.withColumn("bound2", bound).where(F.col("bound2").isNull() | (F.col("near2") <= F.col("bound2")))
+    bound = f"min(CASE WHEN before + c_weight >= {need} THEN far2 END) OVER (PARTITION BY q_key) * (1 + 1e-9D) + 1e-9D"
+    return seen.withColumn("bound2", F.expr(bound)).where("bound2 IS NULL OR near2 <= bound2")
 
 
 CROWD = 256  # candidate nodes beyond which a query leaf goes on as single points
@@ -143,10 +128,7 @@ CROWD = 256  # candidate nodes beyond which a query leaf goes on as single point
 
 def candidate_leaves(queries: Tree, items: Tree, need: int) -> DataFrame:
     """Pairs of a query leaf (or single query point, ``q_leaf`` false) and a candidate leaf."""
-    points = queries.items.select(
-        F.concat(F.lit("#"), F.col("item").cast("string")).alias("key"), F.col("leaf").alias("up"),
-        F.lit(False).alias("leaf"), *BOX,
-    )
+    points = queries.items.selectExpr("concat('#', item) AS key", "leaf AS up", "false AS leaf", *BOX)
     q_nodes = queries.nodes.select("key", "up", "level", "leaf", *BOX)
     c_nodes = items.nodes.select("key", "up", "level", "leaf", "weight", *BOX)
     q_cols = [f"q_{c}" for c in ["key", "leaf", *BOX]]
@@ -154,35 +136,29 @@ def candidate_leaves(queries: Tree, items: Tree, need: int) -> DataFrame:
     state = [*q_cols, *c_cols, "bound2"]
     root_q = _prefixed(q_nodes.where("level = 0"), "q_")
     root_c = _prefixed(c_nodes.where("level = 0"), "c_")
-    one_row_each = F.col("q_level") == F.col("c_level")
-    pairs = root_q.join(F.broadcast(root_c), one_row_each).withColumn("bound2", F.lit(None).cast("double")).select(state)
+    pairs = root_q.join(F.broadcast(root_c), F.expr("q_level = c_level"))  # one row each
+    pairs = pairs.withColumn("bound2", F.lit(None).cast("double")).select(state)
 
     finished: list[DataFrame] = []
     last = max(queries.depth, items.depth)
-    whole = Window.partitionBy("q_key")
     for level in range(1, last + 1):
-        pairs = _descend(pairs, q_nodes.where(F.col("level") == level), "q_", q_cols)
-        pairs = _descend(pairs, c_nodes.where(F.col("level") == level), "c_", c_cols)
+        pairs = _descend(pairs, q_nodes.where(f"level = {level}"), "q_", q_cols)
+        pairs = _descend(pairs, c_nodes.where(f"level = {level}"), "c_", c_cols)
         pairs = _prune(pairs, need)
         if level == last:
             break
-        if level >= min(queries.first_leaf, items.first_leaf) or level % 4 == 0:
-            is_bottom = F.col("q_leaf") | F.col("q_key").startswith("#")
-            pairs = stage(
-                pairs.withColumns({
-                    "_done": F.min(is_bottom & F.col("c_leaf")).over(whole),
-                    "_crowded": F.col("q_leaf") & (F.count("*").over(whole) > CROWD),
-                }),
-                "pairs",
-            )
+        if level >= min(queries.first_leaf, items.first_leaf) + 1 or level % 4 == 0:
+            done = "min((q_leaf OR q_key LIKE '#%') AND c_leaf) OVER (PARTITION BY q_key)"
+            crowded = f"q_leaf AND count(*) OVER (PARTITION BY q_key) > {CROWD}"
+            pairs = stage(pairs.selectExpr(*state, f"{done} AS _done", f"{crowded} AS _crowded"), "pairs")
             finished.append(pairs.where("_done").select(state))
             busy = pairs.where("NOT _done")
-            crowded = busy.where("_crowded")
-            if crowded.isEmpty():
+            crowd = busy.where("_crowded")
+            if crowd.isEmpty():
                 pairs = busy.select(state)
             else:
-                single = _descend(crowded.select(state), points, "q_", q_cols).select(state)
-                pairs = busy.where("NOT _crowded").select(state).unionByName(_prune(single, need).select(state))
+                single = _prune(_descend(crowd.select(state), points, "q_", q_cols), need)
+                pairs = busy.where("NOT _crowded").select(state).unionByName(single.select(state))
         else:
             pairs = pairs.select(state)
     result = pairs.select(state)
@@ -192,42 +168,35 @@ def candidate_leaves(queries: Tree, items: Tree, need: int) -> DataFrame:
 
 
 def closest(
-    queries: Tree, items: Tree, need: int, distance2: Callable[[DataFrame], DataFrame], order: list, payload: list, q_payload: list
+    queries: Tree, items: Tree, need: int, distance2: Callable[[DataFrame], DataFrame], order: str, payload: list[str], q_payload: list[str]
 ) -> DataFrame:
     """The ``need`` nearest item rows (``payload``) of every query item (``q_key``, ``q_payload``).
 
-    ``distance2`` adds ``d2`` (and may add more) to rows carrying both payloads; ``order`` ranks them.
+    ``distance2`` adds ``d2`` (and may add more) to rows carrying both payloads; ``order`` ranks
+    them.  Payloads and order are SQL.
     """
-    rows = queries.items.select(F.col("item"), F.col("leaf").alias("home"), *(F.col(b).alias(f"i_{b}") for b in BOX))
-    pairs = candidate_leaves(queries, items, need).select("q_key", "q_leaf", "c_key", "c_weight", "bound2", *(f"c_{b}" for b in BOX))
-    by_leaf = pairs.where("q_leaf").join(rows, F.col("q_key") == F.col("home"))
-    by_point = pairs.where("NOT q_leaf").join(rows, F.substring("q_key", 2, 20).cast("bigint") == F.col("item"))
+    rows = queries.items.selectExpr("item", "leaf AS home", *(f"{b} AS i_{b}" for b in BOX))
     kept = ["c_key", "c_weight", "bound2", *(f"c_{b}" for b in BOX)]
-    single = by_leaf.unionByName(by_point).select(
-        F.col("item").alias("q_key"), *kept, *(F.col(f"i_{b}").alias(f"q_{b}") for b in BOX)
-    )
-    near, _ = _gap2("q_", "c_")
-    pairs = stage(_prune(single.where(F.col("bound2").isNull() | (near <= F.col("bound2"))), need).select(
-        "q_key", "c_key", "near2", "bound2", "before"
-    ), "leaves")
-    q_rows = queries.items.select(F.col("item").alias("q_key"), *q_payload)
-    c_rows = items.items.select(F.col("leaf").alias("c_key"), *payload)
+    pairs = candidate_leaves(queries, items, need).select("q_key", "q_leaf", *kept)
+    by_leaf = pairs.where("q_leaf").join(rows, F.expr("q_key = home"))
+    by_point = pairs.where("NOT q_leaf").join(rows, F.expr("cast(substring(q_key, 2) AS bigint) = item"))
+    single = by_leaf.unionByName(by_point).selectExpr("item AS q_key", *kept, *(f"i_{b} AS q_{b}" for b in BOX))
+    pairs = _prune(single.where(f"bound2 IS NULL OR {NEAR2} <= bound2"), need)
+    pairs = stage(pairs.select("q_key", "c_key", "near2", "bound2", "before"), "leaves")
+    q_rows = queries.items.selectExpr("item AS q_key", *q_payload)
+    c_rows = items.items.selectExpr("leaf AS c_key", *payload)
 
     # The leaves that made the bound give a sharp one: the need-th distance within them.
-    first = pairs.where(F.col("before") < need).select("q_key", "c_key")
+    first = pairs.where(f"before < {need}").select("q_key", "c_key")
     tried = distance2(first.join(q_rows, "q_key").join(c_rows, "c_key")).select("q_key", "d2")
-    nth = Window.partitionBy("q_key").orderBy("d2")
-    sharp = (
-        tried.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= need)
-        .groupBy("q_key").agg(F.when(F.count("*") == need, F.max("d2")).alias("sharp2"))
-    )
+    nth = tried.withColumn("_n", F.expr("row_number() OVER (PARTITION BY q_key ORDER BY d2)")).where(f"_n <= {need}")
+    sharp = nth.groupBy("q_key").agg(F.expr(f"CASE WHEN count(*) = {need} THEN max(d2) END").alias("sharp2"))
     # slack keeps candidates that tie with the need-th after rounding of d2 to 9 digits
-    limit = F.coalesce(F.least(F.col("sharp2") + 2e-9, F.col("bound2")), F.lit(float("inf")))
-    near = pairs.join(sharp, "q_key", "left").withColumn("_limit", limit).where(F.col("near2") <= F.col("_limit"))
+    limit = F.expr("coalesce(least(sharp2 + 2e-9D, bound2), double('infinity'))")
+    near = pairs.join(sharp, "q_key", "left").withColumn("_limit", limit).where("near2 <= _limit")
     near = near.select("q_key", "c_key", "_limit").join(q_rows, "q_key").join(c_rows, "c_key")
-    hits = distance2(near).where(F.col("d2") <= F.col("_limit"))
-    place = Window.partitionBy("q_key").orderBy(*order)
-    return hits.withColumn("place", F.row_number().over(place)).where(F.col("place") <= need)
+    hits = distance2(near).where("d2 <= _limit")
+    return hits.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY q_key ORDER BY {order})")).where(f"place <= {need}")
 
 
 def frame_of(*tables: DataFrame) -> tuple[list[float], float, list[int]]:
@@ -243,21 +212,18 @@ def frame_of(*tables: DataFrame) -> tuple[list[float], float, list[int]]:
 def _places(points: DataFrame, key: str, prefix: str, keep: int) -> DataFrame:
     """Distinct locations with their ``keep`` lowest ids: copies beyond those can never be
     among the nearest of any query, because ties go to the lower id."""
-    x, y, z = (F.col(f"{prefix}{a}").cast("double") for a in "xyz")
-    at = points.select(F.col(key).alias("id"), (x + 0.0).alias("x"), (y + 0.0).alias("y"), (z + 0.0).alias("z"))
+    at = points.selectExpr(f"{key} AS id", *(f"cast({prefix}{a} AS double) + 0D AS {a}" for a in "xyz"))
     at = at.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in "xyz"))
-    order = Window.partitionBy("x", "y", "z").orderBy("id")
-    low = at.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep)
+    low = at.withColumn("_n", F.expr("row_number() OVER (PARTITION BY x, y, z ORDER BY id)")).where(f"_n <= {keep}")
     held = low.groupBy("x", "y", "z").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return held.select(
-        F.col("ids")[0].alias("item"), F.size("ids").cast("bigint").alias("weight"), "ids",
-        *(F.col(a).alias(f"lo{a}") for a in "xyz"), *(F.col(a).alias(f"hi{a}") for a in "xyz"),
+    return held.selectExpr(
+        "ids[0] AS item", "cast(size(ids) AS bigint) AS weight", "ids",
+        *(f"{a} AS lo{a}" for a in "xyz"), *(f"{a} AS hi{a}" for a in "xyz"),
     )
 
 
 def point_distance2(df: DataFrame) -> DataFrame:
-    dx, dy, dz = (F.col(f"q{a}") - F.col(f"c{a}") for a in "xyz")
-    return df.withColumn("d2", dx * dx + dy * dy + dz * dz)
+    return df.withColumn("d2", F.expr(" + ".join(f"(q{a} - c{a}) * (q{a} - c{a})" for a in "xyz")))
 
 
 def knn(
@@ -280,17 +246,15 @@ def knn(
         low, side, (nq, nc) = frame_of(q_items, c_items)
         q_tree, c_tree = plant(q_items, (low, side), size, nq), plant(c_items, (low, side), size, nc)
 
-    here = [F.col(f"lo{a}").alias(f"q{a}") for a in "xyz"]
-    there = [F.explode("ids").alias("v"), *(F.col(f"lo{a}").alias(f"c{a}") for a in "xyz")]
-    tie = [F.floor(F.col("d2") * 1e9 + 0.5), F.col("v")]  # d2 to 9 digits, then the lower id
+    here = [f"lo{a} AS q{a}" for a in "xyz"]
+    there = ["explode(ids) AS v", *(f"lo{a} AS c{a}" for a in "xyz")]
+    tie = "floor(d2 * 1e9D + 0.5D), v"  # d2 to 9 digits, then the lower id
     found = closest(q_tree, c_tree, need, point_distance2, tie, there, here)
     lists = found.groupBy("q_key").agg(
-        F.sort_array(F.collect_list(F.struct("place", "v", "d2"))).alias("l"), *(F.first(f"q{a}").alias(f"q{a}") for a in "xyz")
+        F.expr("sort_array(collect_list(struct(place, v, d2)))").alias("l"), *(F.expr(f"first(q{a})").alias(f"q{a}") for a in "xyz")
     )
-    asked = queries.select(F.col(key).alias("u"), *((F.col(f"{prefix}{a}").cast("double") + 0.0).alias(f"q{a}") for a in "xyz"))
+    asked = queries.selectExpr(f"{key} AS u", *(f"cast({prefix}{a} AS double) + 0D AS q{a}" for a in "xyz"))
     rows = asked.join(lists, ["qx", "qy", "qz"])
     # a self join asked for one more; whether or not the point is listed itself, k remain
-    others = F.slice(F.filter("l", lambda e: e["v"] != F.col("u")), 1, k) if itself else F.col("l")
-    return rows.select("u", F.posexplode(others).alias("pos", "e")).select(
-        "u", F.col("e.v").alias("v"), (F.col("pos") + 1).alias("rank"), F.col("e.d2").alias("d2")
-    )
+    others = f"slice(filter(l, e -> e.v <> u), 1, {k})" if itself else "l"
+    return rows.selectExpr("u", f"posexplode({others}) AS (pos, e)").selectExpr("u", "e.v AS v", "pos + 1 AS rank", "e.d2 AS d2")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.shapes import circumcentre_xy, double_area_xy, inside_xy, z_on_triangle
-from ridgeline.functions.vec import Vec, choose
+from ridgeline.functions.vec import Vec, put
 from ridgeline.operators.nearest import _places, closest, frame_of, plant
 from ridgeline.staging import stage
 
@@ -190,44 +190,50 @@ def simplify_candidates(vertex: DataFrame, face: DataFrame, *, threshold: float,
 
 # --- nearest location on a mesh ------------------------------------------------------
 
-def _on_segment(p: Vec, a: Vec, b: Vec) -> Vec:
-    ab = b - a
-    share = F.coalesce(F.try_divide((p - a).dot(ab), ab.abs2()), F.lit(0.0))
-    return a + ab * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-
-
-def nearest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Vec:
-    """Foot of the perpendicular where it falls inside, else the best point of the border."""
-    n = (b - a).cross(c - a)
-    foot = p - n * F.coalesce(F.try_divide((p - a).dot(n), n.abs2()), F.lit(0.0))
-    inside = (n.abs2() > 0) & (n.dot((b - a).cross(foot - a)) >= 0) & (n.dot((c - b).cross(foot - b)) >= 0) & (n.dot((a - c).cross(foot - c)) >= 0)
-    on = [_on_segment(p, a, b), _on_segment(p, b, c), _on_segment(p, c, a)]
-    d = [(p - o).abs2() for o in on]
-    border = choose((d[0] <= d[1]) & (d[0] <= d[2]), on[0], choose(d[1] <= d[2], on[1], on[2]))
-    return choose(inside, foot, border)
+def _dot(*pairs: tuple[str, str]) -> str:
+    return "(" + " + ".join(f"({p}) * ({q})" for p, q in pairs) + ")"
+
+
+def _triangle_items(triangles: DataFrame) -> DataFrame:
+    """Search items with boxes, edges ``e0..e2``, normal ``n`` and the inward edge normals ``m0..m2``."""
+    box = [f"least(a{x}, b{x}, c{x}) AS lo{x}" for x in "xyz"] + [f"greatest(a{x}, b{x}, c{x}) AS hi{x}" for x in "xyz"]
+    items = triangles.selectExpr("f_id AS item", "1L AS weight", *box, *(f"{n}{x} AS t{i}{x}" for i, n in enumerate(CORNERS) for x in "xyz"))
+    t, e, n = [Vec.of(f"t{i}") for i in range(3)], [Vec.of(f"e{i}") for i in range(3)], Vec.of("n")
+    for i in range(3):
+        items = put(items, f"e{i}", t[(i + 1) % 3] - t[i])
+    items = put(items, "n", e[0].cross(e[1])).withColumn("nn", n.abs2())
+    for i in range(3):
+        items = put(items, f"m{i}", n.cross(e[i]))
+    return items
+
+
+def _with_nearest(df: DataFrame) -> DataFrame:
+    """Rows ``f*, d2`` for the location of a triangle nearest to point ``q``: the foot of the
+    perpendicular where it falls inside, and the best point of each side."""
+    height = f"({_dot(*((f'q{x} - t0{x}', f'n{x}') for x in 'xyz'))} / nn)"
+    inside = " AND ".join(f"{_dot(*((f'q{x} - t{i}{x}', f'm{i}{x}') for x in 'xyz'))} >= 0" for i in range(3))
+    found = [f"CASE WHEN nn > 0 AND {inside} THEN struct({', '.join(f'q{x} - n{x} * {height} AS f{x}' for x in 'xyz')}) END"]
+    for i in range(3):
+        along = _dot(*((f"q{x} - t{i}{x}", f"e{i}{x}") for x in "xyz"))
+        length = _dot(*((f"e{i}{x}", f"e{i}{x}") for x in "xyz"))
+        share = f"coalesce(least(1D, greatest(0D, try_divide({along}, {length}))), 0D)"
+        found.append(f"struct({', '.join(f't{i}{x} + e{i}{x} * {share} AS f{x}' for x in 'xyz')})")
+    rows = df.selectExpr("*", f"explode(array_compact(array({', '.join(found)}))) AS _at")
+    gap = " + ".join(f"(q{x} - _at.f{x}) * (q{x} - _at.f{x})" for x in "xyz")
+    return rows.selectExpr(*df.columns, *(f"_at.f{x} AS f{x}" for x in "xyz"), f"{gap} AS d2")
 
 
 def nearest_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id", prefix: str = "") -> DataFrame:
     """``key, f_id, fx, fy, fz, d2``: exact closest mesh location of every point."""
-    triangles = corners(face, vertex)
-    box = [F.least(*(f"{n}{x}" for n in CORNERS)).alias(f"lo{x}") for x in "xyz"] + [F.greatest(*(f"{n}{x}" for n in CORNERS)).alias(f"hi{x}") for x in "xyz"]
-    shape = [f"{n}{x}" for n in CORNERS for x in "xyz"]
-    items = stage(triangles.select(F.col("f_id").alias("item"), F.lit(1).cast("bigint").alias("weight"), *box, *(F.col(s).alias(f"t_{s}") for s in shape)), "triangles")
+    items = stage(_triangle_items(corners(face, vertex)), "triangles")
     places = stage(_places(points, key, prefix, 1), "places")
     low, side, (n_points, n_faces) = frame_of(places, items)
     q_tree, t_tree = plant(places, (low, side), 32, n_points), plant(items, (low, side), 32, n_faces)
-
-    def distance2(df: DataFrame) -> DataFrame:
-        p = Vec.of("q")
-        foot = nearest_on_triangle(p, Vec.of("t_a"), Vec.of("t_b"), Vec.of("t_c"))
-        df = df.withColumns({"fx": foot.x, "fy": foot.y, "fz": foot.z})
-        return df.withColumn("d2", (p - Vec.of("f")).abs2())
-
-    here = [F.col(f"lo{x}").alias(f"q{x}") for x in "xyz"]
-    there = [F.col("item").alias("f_id"), *(f"t_{s}" for s in shape)]
-    order = [F.floor(F.col("d2") * 1e9 + 0.5), F.col("f_id")]
-    found = closest(q_tree, t_tree, 1, distance2, order, there, here).select("qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2")
-    asked = points.select(key, *((F.col(f"{prefix}{x}").cast("double") + 0.0).alias(f"q{x}") for x in "xyz"))
+    here = [f"lo{x} AS q{x}" for x in "xyz"]
+    there = ["item AS f_id", "nn", *(f"{v}{x}" for v in ("t0", "t1", "t2", "e0", "e1", "e2", "n", "m0", "m1", "m2") for x in "xyz")]
+    found = closest(q_tree, t_tree, 1, _with_nearest, "floor(d2 * 1e9D + 0.5D), f_id, d2", there, here)
+    asked = points.selectExpr(key, *(f"cast({prefix}{x} AS double) + 0D AS q{x}" for x in "xyz"))
+    found = found.select("qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2")
     return asked.join(found, ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")
 
 
