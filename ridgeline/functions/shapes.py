@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vec import Vec, acos_clamped, choose, num
+from .vec import Vec, acos_clamped, choose, num, put
 
 
 @dataclass(frozen=True)
@@ -78,9 +78,8 @@ def normal_line(p: Plane) -> Line:
 
 
 def line_dual_plane(line: Line) -> Plane:
-    """The plane whose normal line is ``line``."""
-    a, b = dual(line.t)
-    return Plane.through(line.r, line.r + a, line.r + b)
+    """The plane through the line's point whose normal line is ``line``."""
+    return Plane(line.r, line.t)
 
 
 # --- projections -----------------------------------------------------------
@@ -153,7 +152,7 @@ def line_line_midpoint(a: Line, b: Line) -> Vec:
     ga, gb = gap.dot(a.t), gap.dot(b.t)
     denominator = k * k - 1
     on_a = a.r + a.t * ((k * gb - ga) / denominator)
-    on_b = b.r + b.t * ((k * ga - gb) / denominator)
+    on_b = b.r + b.t * ((gb - k * ga) / denominator)
     parallel = F.abs(F.abs(k) - 1) < 1e-12
     return choose(parallel, a.r + gap.orthogonal_to(a.t) * 0.5, point_midpoint(on_a, on_b))
 
@@ -214,6 +213,12 @@ def lines_meet_xy(first: Line, second: Line) -> Vec:
     return second.r + second.t * along
 
 
+def line_meets_plane(line: Line, plane: Plane) -> Vec:
+    """Point of the line on the plane; NULL if parallel."""
+    slope = line.t.dot(plane.n)
+    return line.r + line.t * ((plane.r - line.r).dot(plane.n) / F.when(slope != 0, slope))
+
+
 # --- quaternions and rigid motions -----------------------------------------
 
 @dataclass(frozen=True)
@@ -245,7 +250,7 @@ class Quat:
         return Quat(self.w, -self.v)
 
     def rotate(self, p: Vec) -> Vec:
-        return (self * (Quat(F.lit(0.0), p) * self.conj())).v
+        return p + self.v.cross(self.v.cross(p) + p * self.w) * 2
 
     def cols(self, prefix: str) -> list[Column]:
         return [self.w.alias(f"{prefix}w")] + self.v.cols(prefix)
@@ -279,42 +284,43 @@ class Motion:
         return F.abs(self.q.w - 1) < 1e-12
 
 
-def _rotor_or_identity(turned: Column, axis: Vec, cosine: Column) -> Quat:
-    spin = Quat.rotor(axis, acos_clamped(cosine))
-    still = Quat.identity()
+def _turn(turned: Column, axis: Vec, cosine: Column) -> Quat:
+    """Rotation by acos(cosine) about ``axis``, or none."""
+    spin, still = Quat.rotor(axis, acos_clamped(cosine)), Quat.identity()
     return Quat(F.when(turned, spin.w).otherwise(still.w), choose(turned, spin.v, still.v))
 
 
-def move_point_to_point(a: Vec, b: Vec) -> Motion:
-    return Motion(Quat.identity(), b - a)
-
-
-def move_point_to_line(a: Vec, line: Line) -> Motion:
-    return Motion(Quat.identity(), project_on_line(a, line) - a)
-
-
-def move_point_to_plane(a: Vec, plane: Plane) -> Motion:
-    return Motion(Quat.identity(), project_on_plane(a, plane) - a)
+def with_motion(df: DataFrame, name: str, source: Vec | Line | Plane, target: Vec | Line | Plane) -> DataFrame:
+    """Add the columns of the ``Motion`` called ``name`` that carries ``source`` onto ``target``.
 
-
-def move_line_to_line(a: Line, b: Line) -> Motion:
-    """Turn ``a`` parallel to ``b``, then shift it sideways onto ``b``."""
-    cosine = a.t.dot(b.t)
-    q = _rotor_or_identity(cosine < 1 - 1e-14, a.t.cross(b.t), cosine)
-    return Motion(q, (b.r - q.rotate(a.r)).orthogonal_to(b.t))
-
-
-def move_line_to_plane(a: Line, plane: Plane) -> Motion:
-    return move_line_to_line(a, line_on_plane(a, plane))
-
-
-def move_plane_to_plane(a: Plane, b: Plane) -> Motion:
-    """Turn about the line of intersection; parallel planes only shift along the normal."""
-    cosine = a.n.dot(b.n)
-    turned = cosine < 1 - 1e-14
-    _, axis = plane_intersection(a, b)
-    q = _rotor_or_identity(turned, axis.t, cosine)
-    return Motion(q, choose(turned, axis.r - q.rotate(axis.r), (b.r - a.r).parallel_to(b.n)))
+    A point moves straight to a point, or to its projection on a line or plane.  A line turns
+    parallel to a line and shifts sideways onto it, or moves to its projection on a plane.  A
+    plane turns about the line of intersection; parallel planes only shift along the normal.
+    The rotation is a projection of its own, so that the shift refers to plain columns.
+    """
+    spin = Quat.of(f"{name}q")
+    if isinstance(source, Vec):
+        end = target if isinstance(target, Vec) else project_on_line(source, target) if isinstance(target, Line) else project_on_plane(source, target)
+        return df.select("*", *Motion(Quat.identity(), end - source).cols(name))
+    if isinstance(source, Line) and isinstance(target, Plane):
+        df = df.select("*", *line_on_plane(source, target).cols(f"{name}onto_"))
+        target = Line.of(f"{name}onto_")
+    if isinstance(source, Line) and isinstance(target, Line):
+        cosine = source.t.dot(target.t)
+        df = df.select("*", *_turn(cosine < 1 - 1e-14, source.t.cross(target.t), cosine).cols(f"{name}q"))
+        df = put(df, f"{name}gap", target.r - spin.rotate(source.r))
+        df = put(df, f"{name}d", Vec.of(f"{name}gap").orthogonal_to(target.t))
+    elif isinstance(source, Plane) and isinstance(target, Plane):
+        cosine = source.n.dot(target.n)
+        turned = cosine < 1 - 1e-14
+        _, axis = plane_intersection(source, target)
+        df = df.select("*", *axis.cols(f"{name}axis_"))
+        held = Line.of(f"{name}axis_")
+        df = df.select("*", *_turn(turned, held.t, cosine).cols(f"{name}q"))
+        df = put(df, f"{name}d", choose(turned, held.r - spin.rotate(held.r), (target.r - source.r).parallel_to(target.n)))
+    else:
+        raise TypeError(f"no motion from {type(source).__name__} to {type(target).__name__}")
+    return df.drop(*(c for c in df.columns if c.startswith((f"{name}onto_", f"{name}gap", f"{name}axis_"))))
 
 
 # --- triangles -------------------------------------------------------------

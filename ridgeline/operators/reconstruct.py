@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.shapes import Line, Plane, lines_meet_xy, plane_intersection, project_on_plane
+from ridgeline.functions.shapes import Line, Plane, line_meets_plane, lines_meet_xy, plane_intersection, project_on_plane
 from ridgeline.functions.vec import Vec, angle, put
 from ridgeline.operators.analysis import half_sheet_points
 from ridgeline.operators.cmap import half_node_points, twin, two_means
@@ -147,11 +147,12 @@ def flat_box(matches: DataFrame, sided: DataFrame, surface: DataFrame, *, same_d
     flat = stage(flat.join(points.groupBy("match").agg(F.min("pz").alias("ground")), "match"), "box_planes")
     plane = [Plane.of(f"p{i}") for i in range(5)]
     for i in range(4):
-        _, eave = plane_intersection(plane[4], plane[i])
+        # where the edge between two walls pierces the roof: the crossing of eave and edge, also
+        # for upright edges
         _, edge = plane_intersection(plane[i], plane[(i + 1) % 4])
-        flat = flat.select("*", *eave.cols(f"w{i}"), *edge.cols(f"x{i}"))
+        flat = flat.select("*", *edge.cols(f"x{i}"))
     for i in range(4):
-        flat = put(flat, f"q{i}", lines_meet_xy(Line.of(f"w{i}"), Line.of(f"x{i}")))
+        flat = put(flat, f"q{i}", line_meets_plane(Line.of(f"x{i}"), plane[4]))
     flat = stage(flat.select("match", "ground", *(f"q{i}{a}" for i in range(4) for a in "xyz"), *(f"p{i}n{a}" for i in range(5) for a in "xyz")), "box_corners")
 
     def corner(name: str):
