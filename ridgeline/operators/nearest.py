@@ -30,8 +30,22 @@ BOX = [f"{end}{axis}" for end in ("lo", "hi") for axis in "xyz"]
 class Tree:
     nodes: DataFrame  # key, up (parent key), level, weight, lo*, hi*
     items: DataFrame  # item, leaf, weight, lo*, hi* and the payload columns
-    depth: int
-    first_leaf: int
+    per_level: dict[int, tuple[int, int]]  # level -> (nodes, leaves among them)
+
+    @property
+    def depth(self) -> int:
+        return max(level for level, (_, leaves) in self.per_level.items() if leaves)
+
+    @property
+    def first_leaf(self) -> int:
+        return min(level for level, (_, leaves) in self.per_level.items() if leaves)
+
+    def frontier_size(self, level: int) -> int:
+        """Nodes that cover all items at ``level``: those of the level and the leaves above."""
+        return self.per_level.get(level, (0, 0))[0] + sum(leaves for at, (_, leaves) in self.per_level.items() if at < level)
+
+    def frontier(self, level: int) -> DataFrame:
+        return self.nodes.where(f"level = {level} OR (leaf AND level < {level})")
 
 
 def _octal_path(x: str, y: str, z: str) -> str:
@@ -78,7 +92,7 @@ def plant(items: DataFrame, frame: tuple[list[float], float], leaf_size: int, co
     roots = pyramid.where("level = 0")
     nodes = roots.unionByName(pyramid.where("level > 0").join(split, ["up", "level"], "left_semi"))
     nodes = stage(nodes.withColumn("leaf", F.expr(f"held <= {leaf_size} OR level = {depth}")), "nodes")
-    reach = nodes.where("leaf").selectExpr("max(level)", "min(level)").first()
+    per_level = {r.level: (r.n, r.leaves) for r in nodes.groupBy("level").agg(F.count("*").alias("n"), F.expr("count_if(leaf)").alias("leaves")).collect()}
 
     leaves = nodes.where("leaf").select("key", "level")
     paths = placed.selectExpr(f"substring(path, 1, {depth}) AS cell").distinct()
@@ -87,7 +101,7 @@ def plant(items: DataFrame, frame: tuple[list[float], float], leaf_size: int, co
         .join(leaves, ["key", "level"]).selectExpr("cell", "key AS leaf", "level AS leaf_level")
     )
     housed = placed.withColumn("cell", F.expr(f"substring(path, 1, {depth})")).join(home, "cell").drop("cell", "path")
-    return Tree(nodes, stage(housed, "housed"), reach[0] or 0, reach[1] or 0)
+    return Tree(nodes, stage(housed, "housed"), per_level or {0: (0, 1)})
 
 
 # Squared smallest and largest distance between the boxes of a pair.
@@ -123,6 +137,7 @@ def _prune(pairs: DataFrame, need: int) -> DataFrame:
     return seen.withColumn("bound2", F.expr(bound)).where("bound2 IS NULL OR near2 <= bound2")
 
 
+START = 64  # nodes per side at the start of a search
 CROWD = 256  # candidate nodes beyond which a query leaf goes on as single points
 
 
@@ -134,20 +149,23 @@ def candidate_leaves(queries: Tree, items: Tree, need: int) -> DataFrame:
     q_cols = [f"q_{c}" for c in ["key", "leaf", *BOX]]
     c_cols = [f"c_{c}" for c in ["key", "leaf", "weight", *BOX]]
     state = [*q_cols, *c_cols, "bound2"]
-    root_q = _prefixed(q_nodes.where("level = 0"), "q_")
-    root_c = _prefixed(c_nodes.where("level = 0"), "c_")
-    pairs = root_q.join(F.broadcast(root_c), F.expr("q_level = c_level"))  # one row each
-    pairs = pairs.withColumn("bound2", F.lit(None).cast("double")).select(state)
+    # The first levels hold few nodes: start from the deepest level where both sides have at
+    # most START of them, as lists on a single row.
+    last = max(queries.depth, items.depth)
+    top = max(level for level in range(last + 1) if max(queries.frontier_size(level), items.frontier_size(level)) <= START)
+    q_top = _prefixed(queries.frontier(top).select("key", "leaf", *BOX), "q_").agg(F.expr(f"collect_list(struct({', '.join(q_cols)}))").alias("q"), F.lit(1).alias("one"))
+    c_top = _prefixed(items.frontier(top).select("key", "leaf", "weight", *BOX), "c_").agg(F.expr(f"collect_list(struct({', '.join(c_cols)}))").alias("c"), F.lit(1).alias("one"))
+    pairs = q_top.join(c_top, "one").selectExpr("explode(q) AS q", "c").selectExpr("q.*", "explode(c) AS c").selectExpr("*", "c.*").drop("c")
+    pairs = _prune(pairs.withColumn("bound2", F.lit(None).cast("double")).select(state), need).select(state)
 
     finished: list[DataFrame] = []
-    last = max(queries.depth, items.depth)
-    for level in range(1, last + 1):
+    for level in range(top + 1, last + 1):
         pairs = _descend(pairs, q_nodes.where(f"level = {level}"), "q_", q_cols)
         pairs = _descend(pairs, c_nodes.where(f"level = {level}"), "c_", c_cols)
         pairs = _prune(pairs, need)
         if level == last:
             break
-        if level >= min(queries.first_leaf, items.first_leaf) + 1 or level % 4 == 0:
+        if level >= min(queries.first_leaf, items.first_leaf) + 1 or (level - top) % 4 == 0:
             done = "min((q_leaf OR q_key LIKE '#%') AND c_leaf) OVER (PARTITION BY q_key)"
             crowded = f"q_leaf AND count(*) OVER (PARTITION BY q_key) > {CROWD}"
             pairs = stage(pairs.selectExpr(*state, f"{done} AS _done", f"{crowded} AS _crowded"), "pairs")
