@@ -124,7 +124,7 @@ def segment_two_pass(t):
 
 
 @query("segment_ball_overlap", sql(
-    "SELECT seg, list_sort(list(ma_id)) AS members FROM (" + DENSE.format("pass1") + ") s GROUP BY seg",
+    "SELECT seg, CAST(0 AS BIGINT) AS part, list_sort(list(ma_id)) AS members FROM (" + DENSE.format("pass1") + ") s GROUP BY seg",
     "ridge_knn", extra=flood_ctes("ridge_in", "ridge_knn", "(e.d2 = 0 OR (a.r + b.r) / sqrt(e.d2) > 4.0)", 2)))
 def segment_ball_overlap(t):
     return G.members(G.segment_balloverlap(t.ridge_in(), edges=t.ridge_knn(), thres=4.0))
@@ -197,9 +197,9 @@ def sheet_means(t):
     return R.sheet_means(t.emb_atoms(), t.emb_labels())
 
 
-@query("segment_members", sql("SELECT seg, list_sort(list(ma_id)) AS members FROM emb_atoms GROUP BY seg", "emb_atoms"))
+@query("segment_members", sql("SELECT seg, CAST((n - 1) // 40 AS BIGINT) AS part, list_sort(list(ma_id)) AS members FROM (SELECT seg, ma_id, row_number() OVER (PARTITION BY seg ORDER BY ma_id) AS n FROM emb_atoms) m GROUP BY 1, 2", "emb_atoms"))
 def segment_members(t):
-    return G.members(t.emb_labels())
+    return G.members(t.emb_labels(), chunk=40)
 
 
 FLIPS = "SELECT least(seg_in, seg_out) AS a, greatest(seg_in, seg_out) AS b FROM emb WHERE seg_in <> 0 AND seg_out <> 0 GROUP BY 1, 2"
@@ -228,9 +228,9 @@ def sheet_graph(t):
 
 
 @query("filter_regions", sql(
-    "SELECT ma_id, seg FROM emb_atoms WHERE seg IN (SELECT seg FROM emb_atoms WHERE seg <> 0 GROUP BY seg HAVING max(r) < 36 AND avg(theta) > 1.56)", "emb_atoms"))
+    "SELECT ma_id, seg FROM emb_atoms WHERE seg IN (SELECT seg FROM emb_atoms WHERE seg <> 0 GROUP BY seg HAVING max(r) < 4 AND avg(theta) > 1.0)", "emb_atoms"))
 def filter_regions(t):
-    return R.filter_regions(t.emb_atoms(), t.emb_labels(), max_r=36, min_theta=1.56)
+    return R.filter_regions(t.emb_atoms(), t.emb_labels(), max_r=4, min_theta=1.0)
 
 
 @query("dense_relabel", sql("SELECT ma_id, CASE WHEN seg = 0 THEN 0 ELSE dense_rank() OVER (ORDER BY CASE WHEN seg = 0 THEN 1000000 ELSE seg END) END AS seg FROM (SELECT ma_id, seg * 7 AS seg FROM emb_atoms) m", "emb_atoms"))

@@ -163,9 +163,16 @@ def segment(
     return relabel(stage(ordered, "pass2"))
 
 
-def members(labels: DataFrame) -> DataFrame:
-    """Segment -> sorted list of its balls; the list is the result, one row per segment."""
-    return labels.groupBy("seg").agg(F.sort_array(F.collect_list("ma_id")).alias("members"))
+def members(labels: DataFrame, *, chunk: int = 100_000) -> DataFrame:
+    """``seg, part, members``: sorted balls of each segment, in lists of at most ``chunk``.
+
+    Most segments fit in part 0.  A huge one is cut along one range-partitioned sort, so no
+    task ever holds more than a chunk of it; its parts in order are the whole list.
+    """
+    placed = stage(number_rows(labels.select("seg", "ma_id"), [F.col("seg"), F.col("ma_id")], "_pos", label="members"), "members")
+    starts = placed.groupBy("seg").agg(F.min("_pos").alias("_from"))
+    parts = placed.join(starts, "seg").withColumn("part", F.floor((F.col("_pos") - F.col("_from")) / chunk))
+    return parts.groupBy("seg", "part").agg(F.sort_array(F.collect_list("ma_id")).alias("members"))
 
 
 def segment_balloverlap(atoms: DataFrame, *, edges: DataFrame | None = None, k: int = 10, thres: float = 2.0, mincount: int = 2) -> DataFrame:
