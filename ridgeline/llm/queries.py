@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bk_simhash, pieces, token_counts
+from ridgeline.llm import bk_simhash, entropy_scan, pieces, quality_rules, token_counts
 from ridgeline.llm.common import table
 
 #: Vocabulary files are parameters of the operators; these are the ones the queries use.
@@ -20,18 +20,28 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return entropy_scan.report(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return bk_simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4, seed=42)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
