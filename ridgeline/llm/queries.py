@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bk_simhash, entropy_scan, pieces, quality_rules, token_counts
-from ridgeline.llm.common import table
+from ridgeline.llm import bk_simhash, entropy_scan, fuse_dedup, mixing, pieces, quality_rules, shard_tree, token_counts, zstd_quality
+from ridgeline.llm.common import held_out, table
 
 #: Vocabulary files are parameters of the operators; these are the ones the queries use.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,15 +24,36 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shard_tree.shard(table(spark, folder, "documents"), shard_tree.tree(8))
+    return placed.withColumn("law", F.lit("key"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3.0, seed=7)
+
+
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return fuse_dedup.deduplicate(table(spark, folder, "documents"), batches=3)
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return entropy_scan.report(table(spark, folder, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from labelled rows that are not held out, at most 1,500 of each label."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = zstd_quality.fit(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)), per_label=1500)
+    scored = zstd_quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return bk_simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4, seed=42)
 
@@ -40,8 +61,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_exact_dedup": fuse_dedup.ORACLE}
