@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, seed:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class, all columns as they are.
 
-    Among rows with equal ids the one that sorts first by its other columns stays.
+    Rows that share an id, or have none, count as one document: the one that sorts first by its
+    other columns stays.  Exact deduplication before makes ids unique.
     """
     first = near_duplicates(docs, **options).select(F.col("component_id").alias("_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

@@ -140,7 +140,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, (1 + (row_number() OVER (
 o AS (SELECT *, coalesce(sum(3.0::DOUBLE * source_size) OVER below, 0) AS cut, sum(w) OVER rest AS open, (SELECT sum(source_size) FROM s) AS total FROM s
   WINDOW below AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
    rest AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-l AS (SELECT min((total - cut) / open) FILTER (WHERE 3.0::DOUBLE * source_size > (total - cut) / open * w) AS level FROM o),
+l AS (SELECT max((total - cut) / open) FILTER (WHERE 3.0::DOUBLE * source_size > (total - cut) / open * w) AS level FROM o),
 t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(level * w, 3.0::DOUBLE * source_size)) AS target FROM s, l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
