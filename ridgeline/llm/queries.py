@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bk_simhash, entropy_scan, fuse_dedup, mixing, pieces, quality_rules, shard_tree, token_counts, zstd_quality
+from ridgeline.llm import bk_simhash, entropy_scan, fuse_dedup, katz, mixing, pieces, quality_rules, shard_tree, token_counts, zstd_quality
 from ridgeline.llm.common import held_out, table
 
 #: Vocabulary files are parameters of the operators; these are the ones the queries use.
@@ -16,6 +16,13 @@ PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
 
 
+def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and their predecessors; higher orders are a parameter of the operator."""
+    docs = table(spark, folder, "documents")
+    scored, _ = katz.train_and_score(docs, order=2, is_held_out=katz.crc32_held_out(7, 2))
+    return scored
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -59,6 +66,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
