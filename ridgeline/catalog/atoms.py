@@ -165,7 +165,7 @@ def knn_ridge(t):
     return t.ridge_knn().select("u", "v", F.col("rank").cast("bigint").alias("rank"), "d2")
 
 
-CROSS = """SELECT u, v, rank, d2 FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(d2,9), v) AS rank FROM (
+CROSS = """SELECT u, v, rank, d2 FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d2, v) AS rank FROM (
  SELECT s.s_id AS u, a.ma_id AS v, (s.px-a.cx)*(s.px-a.cx)+(s.py-a.cy)*(s.py-a.cy)+(s.pz-a.cz)*(s.pz-a.cz) AS d2 FROM emb s, emb_atoms a) d) r WHERE rank <= 10"""
 
 
@@ -177,7 +177,7 @@ def knn_surface_atoms(t):
 
 @query("nearest_three_balls", sql("SELECT u, v, rank FROM ridge_knn WHERE rank <= 3", "ridge_knn"))
 def nearest_three_balls(t):
-    w = Window.partitionBy("u").orderBy(F.floor(F.col("d2") * 1e9 + 0.5), "v")
+    w = Window.partitionBy("u").orderBy("d2", "v")
     top = t.ridge_knn().withColumn("n", F.row_number().over(w)).where("n <= 3")
     return top.select("u", "v", F.col("n").cast("bigint").alias("rank"))
 

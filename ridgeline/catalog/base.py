@@ -79,7 +79,7 @@ FROM (SELECT *, nullif(sqrt((f1xh+f2xh)*(f1xh+f2xh)+(f1yh+f2yh)*(f1yh+f2yh)+(f1z
 def knn_cte(src: str, k: int) -> str:
     """Neighbour edges by brute force, ranked as the library ranks them."""
     return f"""
-SELECT u, v, rank, d2 FROM (SELECT u, v, d2, row_number() OVER (PARTITION BY u ORDER BY round(d2,9), v) AS rank FROM (
+SELECT u, v, rank, d2 FROM (SELECT u, v, d2, row_number() OVER (PARTITION BY u ORDER BY d2, v) AS rank FROM (
  SELECT a.ma_id AS u, b.ma_id AS v, (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz) AS d2
  FROM {src} a JOIN {src} b ON a.ma_id <> b.ma_id) k0) k1 WHERE rank <= {k}"""
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.catalog.base import CTES, atoms_cte, query, sql
+from ridgeline.functions.vec import Vec
 from ridgeline.operators import atoms as A
 from ridgeline.operators import cmap as M
 from ridgeline.operators import reconstruct as B
@@ -133,9 +134,13 @@ def removed(t):
     return M.removed_nodes(cube_match(t), cube_nodes(t), merge_matching=False)
 
 
-@query("contract_half_nodes", map_sql("SELECT x, y FROM contracted", "contracted"))
+@query("contract_half_nodes", map_sql(
+    """SELECT 'link' AS kind, x, y FROM undirected WHERE x NOT IN (SELECT h FROM removed) AND y NOT IN (SELECT h FROM removed)
+     UNION ALL SELECT 'group', hub, h FROM members""", "members"))
 def contract_half_nodes(t):
-    return M.contract(cube_match(t).select("x", "y"), removed(t))[0]
+    """Links that stay, and all groups of survivors whole, as members of their hub."""
+    links, groups = M.contract(cube_match(t).select("x", "y"), removed(t))
+    return links.select(F.lit("link").alias("kind"), "x", "y").unionByName(groups.select(F.lit("group").alias("kind"), F.col("hub").alias("x"), F.col("h").alias("y")))
 
 
 def left(t):
@@ -221,15 +226,18 @@ def corner_points(t):
     return B.corner_points(oriented(t), lines(t))
 
 
-# Unlocked cubes are rebuilt whole: six faces of two triangles, every corner at +-5 of the centre.
-@query("reconstruct", sql(
-    "SELECT b, CAST(12 AS BIGINT) AS triangles, CAST(b*30 - 5 AS DOUBLE) AS min_x, CAST(b*30 + 5 AS DOUBLE) AS max_x, CAST(-5 AS DOUBLE) AS min_z, CAST(5 AS DOUBLE) AS max_z FROM (SELECT DISTINCT b FROM cube WHERE b % 3 <> 1) c",
-    "cube", rounded="min_x max_x min_z max_z", digits=5), rounded="min_x max_x min_z max_z", digits=5)
+# Every closed face of four corners becomes two triangles: twelve for a whole cube.  With a locked edge the
+# sides around it run together into a face without a plane, which has no corners to rebuild.  All
+# corners lie at +-5 of the centre.
+@query("reconstruct", map_sql(
+    """SELECT b, CAST(sum(n - 2) AS BIGINT) AS triangles, CAST(b*30 - 5 AS DOUBLE) AS min_x, CAST(b*30 + 5 AS DOUBLE) AS max_x, CAST(-5 AS DOUBLE) AS min_z, CAST(5 AS DOUBLE) AS max_z
+     FROM (SELECT face, CAST(floor((floor(face / 2) - 1) / 12) AS BIGINT) AS b, count(*) AS n FROM faces WHERE cycle GROUP BY face HAVING count(*) = 4) f GROUP BY b""",
+    "faces", rounded="min_x max_x min_z max_z", digits=5), rounded="min_x max_x min_z max_z", digits=5)
 def reconstruct(t):
     built = B.reconstruct(cube_sided(t), cube(t), found(t), oriented(t))
     cube_no = F.expr("(face DIV 2 - 1) DIV 12")
     ends = [F.least("ax", "bx", "cx"), F.greatest("ax", "bx", "cx"), F.least("az", "bz", "cz"), F.greatest("az", "bz", "cz")]
-    return built.withColumn("b", cube_no).where("b % 3 <> 1").groupBy("b").agg(
+    return built.withColumn("b", cube_no).groupBy("b").agg(
         F.count("*").alias("triangles"), F.min(ends[0]).alias("min_x"), F.max(ends[1]).alias("max_x"), F.min(ends[2]).alias("min_z"), F.max(ends[3]).alias("max_z")
     )
 
@@ -251,11 +259,13 @@ def wedge(t):
 
 # Upper edges of a cube: 0 and 1 run along x at y = +-5, 4 and 6 along y at x = +-5.
 @query("flat_box", sql(
-    """SELECT b AS match, CAST(10 AS BIGINT) AS triangles, CAST(b*30 - 5 AS DOUBLE) AS min_x, CAST(b*30 + 5 AS DOUBLE) AS max_x, CAST(-5 AS DOUBLE) AS min_y, CAST(5 AS DOUBLE) AS max_y, CAST(5 AS DOUBLE) AS max_z, min(pz) AS min_z
+    """SELECT b AS match, CAST(10 AS BIGINT) AS triangles, CAST(10 AS BIGINT) AS true_normals, CAST(b*30 - 5 AS DOUBLE) AS min_x, CAST(b*30 + 5 AS DOUBLE) AS max_x, CAST(-5 AS DOUBLE) AS min_y, CAST(5 AS DOUBLE) AS max_y, CAST(5 AS DOUBLE) AS max_z, min(pz) AS min_z
      FROM cube WHERE (sheet - 1) % 12 IN (0, 1, 4, 6) GROUP BY b""", "cube", rounded="min_x:4 max_x:4 min_y:4 max_y:4 max_z:4 min_z:4"), rounded="min_x:4 max_x:4 min_y:4 max_y:4 max_z:4 min_z:4")
 def flat_box(t):
     """The four upper edges of each cube, in a ring, are a flat-roof pattern."""
     ring = cube(t).select("b").distinct().select(F.col("b").alias("match"), *((1 + 12 * F.col("b") + e).alias(f"v{i}") for i, e in enumerate((0, 4, 1, 6))))
     built = B.flat_box(ring, cube_sided(t), cube(t))
+    normal = (Vec.of("b") - Vec.of("a")).cross(Vec.of("c") - Vec.of("a")).unit()
+    parallel = F.abs(normal.dot(Vec.of("n").unit())) > 1 - 1e-6
     spans = [(F.min(F.least(f"a{x}", f"b{x}", f"c{x}")).alias(f"min_{x}"), F.max(F.greatest(f"a{x}", f"b{x}", f"c{x}")).alias(f"max_{x}")) for x in "xyz"]
-    return built.groupBy("match").agg(F.count("*").alias("triangles"), *(c for pair in spans for c in pair))
+    return built.groupBy("match").agg(F.count("*").alias("triangles"), F.count_if(parallel).alias("true_normals"), *(c for pair in spans for c in pair))

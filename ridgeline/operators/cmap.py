@@ -19,8 +19,6 @@ from ridgeline.operators.components import components
 from ridgeline.operators.fitting import fit_plane
 from ridgeline.staging import fixpoint, stage
 
-CLIQUE = 3  # largest group of survivors that is linked pair by pair
-
 
 def twin(h: Column) -> Column:
     return h.bitwiseXOR(F.lit(1))
@@ -46,11 +44,12 @@ def half_node_points(sided: DataFrame) -> DataFrame:
     return half_sheet_points(sided).select((F.col("seg") * 2 + F.col("half") - 1).alias("h"), "s_id")
 
 
-def two_means(sided: DataFrame, *, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def two_means(sided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split the unit spokes (pointing to the ball centre) of every sheet around two means.
 
-    Rounds run for all sheets together from the halves by spoke side; returns the spokes with
-    ``half`` and the means ``seg, half, points, f*``.
+    Rounds run for all sheets together from the halves by spoke side; a sheet without a change has
+    settled and takes no further part.  Returns the spokes with ``half`` and the means
+    ``seg, half, points, f*``.
     """
     spokes = half_sheet_points(sided)
     spokes = put(spokes, "f", -Vec.of("f").unit()).where("fx IS NOT NULL").withColumn("changed", F.lit(True))
@@ -59,13 +58,23 @@ def two_means(sided: DataFrame, *, max_rounds: int = 50) -> tuple[DataFrame, Dat
         wide = [F.avg(F.when(F.col("half") == i, F.col(f"f{a}"))).alias(f"m{i}{a}") for i in (1, 2) for a in "xyz"]
         return rows.groupBy("seg").agg(*wide)
 
-    def step(rows: DataFrame, _: int) -> DataFrame:
+    def step(rows: DataFrame) -> DataFrame:
         at = rows.join(means(rows), "seg")
         d1, d2 = ((Vec.of("f") - Vec.of(f"m{i}")).abs2() for i in (1, 2))
         near = F.when(d2.isNull() | (d1 <= d2), 1).otherwise(2)
         return at.select("seg", "ma_id", "s_id", "fx", "fy", "fz", near.alias("half"), (near != F.col("half")).alias("changed"))
 
-    rows = fixpoint(stage(spokes, "spokes"), step, max_rounds=max_rounds, label="means").drop("changed")
+    busy, settled = stage(spokes, "spokes"), []
+    while True:  # every round lowers the spread of each sheet that takes part
+        moved = stage(step(busy), "means")
+        lively = moved.where("changed").select("seg").distinct()
+        settled.append(moved.join(lively, "seg", "left_anti").drop("changed"))
+        if lively.isEmpty():
+            break
+        busy = stage(moved.join(lively, "seg", "left_semi"), "means")
+    rows = settled[0]
+    for part in settled[1:]:
+        rows = rows.unionByName(part)
     centres = rows.groupBy("seg", "half").agg(F.count("*").alias("points"), *(F.avg(f"f{a}").alias(f"f{a}") for a in "xyz"))
     return rows, centres
 
@@ -126,9 +135,9 @@ def removed_nodes(matched: DataFrame, nodes: DataFrame, *, merge_matching: bool
 def contract(links: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links ``x < y`` among surviving half-nodes after contracting the removed ones.
 
-    Survivors joined by a path of removed half-nodes only become neighbours.  Groups of up to
-    three survivors are linked pair by pair; a larger group, a clique, is returned as
-    ``hub, h`` rows, so that its size stays that of its members.
+    Survivors joined by a path of removed half-nodes only become neighbours of each other.  Every
+    such group is returned as ``hub, h`` rows, one for each member, whatever its size; the links
+    that were there before come first.
     """
     links = stage(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "matched")
     gone = removed.select("h", F.lit(True).alias("_gone"))
@@ -144,18 +153,21 @@ def contract(links: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame
         marked.where("gy AND NOT gx").select(F.col("y").alias("h"), F.col("x").alias("s"))
     )
     members = stage(edge.join(groups, "h").select(F.col("component").alias("hub"), F.col("s").alias("h")).distinct(), "members")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("n"))
-    small = members.join(sizes.where(F.col("n") <= CLIQUE), "hub")
-    pairs = small.select("hub", F.col("h").alias("x")).join(small.select("hub", F.col("h").alias("y")), "hub").where("x < y").select("x", "y")
-    hubs = members.join(sizes.where(F.col("n") > CLIQUE).select("hub"), "hub", "left_semi")
-    return kept.unionByName(pairs).distinct(), hubs
+    return kept, members
 
 
 def drop_splitting(links: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """Drop links whose ends both have more than two neighbours, all at once.
 
-    Members of a hub have at least three, so none of a hub's own links remains.
+    ``hubs`` are groups as ``contract`` returns them.  A group of more than three gives each
+    member at least three neighbours, so none of its own links remains; smaller ones are linked here.
     """
+    if hubs is not None:
+        sizes = hubs.groupBy("hub").agg(F.count("*").alias("n"))
+        small = hubs.join(sizes.where("n <= 3"), "hub")
+        pairs = small.select("hub", F.col("h").alias("x")).join(small.select("hub", F.col("h").alias("y")), "hub").where("x < y")
+        links = links.select("x", "y").unionByName(pairs.select("x", "y")).distinct()
+        hubs = hubs.join(sizes.where("n > 3").select("hub"), "hub", "left_semi")
     degree = links.select(F.explode(F.array("x", "y")).alias("h")).groupBy("h").agg(F.count("*").alias("d"))
     high = degree.where("d > 2").select("h")
     if hubs is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.staging import fixpoint, stage
+from ridgeline.staging import discard, fixpoint, new_path, stage, stage_at
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, *, key: str
     """``key, component``: the lowest id in each undirected component."""
     a, b = (F.col(e) for e in ends)
     pairs = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    pairs = stage(pairs, "links")
+    spark = pairs.sparkSession
+    path = new_path(spark, "links")
+    pairs = stage_at(pairs, path)
 
     def size(df: DataFrame):
         # the set of pairs as a fingerprint: equal when a round changed nothing
@@ -35,7 +37,9 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, *, key: str
 
     mark = size(pairs)
     while mark[0]:
-        pairs = stage(_stars(pairs), "stars")
+        before, path = path, new_path(spark, "stars")
+        pairs = stage_at(_stars(pairs), path)
+        discard(spark, before)
         new = size(pairs)
         if new == mark:
             break

@@ -181,7 +181,7 @@ def segment_balloverlap(atoms: DataFrame, *, edges: DataFrame | None = None, k:
 
 def segment_running_mean(
     atoms: DataFrame, *, edges: DataFrame | None = None, k: int = 10, deg: float = 2.0, theta_deg: float | None = None,
-    mincount: int = 10, max_rounds: int = 50,
+    mincount: int = 10,
 ) -> DataFrame:
     """Growth against the mean bisector of each region, in synchronous rounds.
 
@@ -210,7 +210,7 @@ def segment_running_mean(
             state.join(seeds, "ma_id", "left").select("ma_id", "bx", "by", "bz", F.coalesce("seg", F.col("born") + 1).alias("seg"), F.col("born").isNotNull().alias("fresh")),
             "round",
         )
-        for _ in range(max_rounds):
+        while True:  # every round but the last labels another ball
             taken = state.where("seg IS NOT NULL")
             means = taken.groupBy("seg").agg(*(F.sum(f"b{a}").alias(f"m{a}") for a in "xyz"))
             frontier = flat.join(taken.select(F.col("ma_id").alias("u"), "seg"), "u").join(

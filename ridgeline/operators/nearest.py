@@ -133,7 +133,7 @@ def _prune(pairs: DataFrame, need: int) -> DataFrame:
         "before", F.expr("sum(c_weight) OVER (PARTITION BY q_key ORDER BY far2, c_key) - c_weight")
     )
     # a hair of slack: bounds and item distances round differently
-    bound = f"min(CASE WHEN before + c_weight >= {need} THEN far2 END) OVER (PARTITION BY q_key) * (1 + 1e-9D) + 1e-9D"
+    bound = f"min(CASE WHEN before + c_weight >= {need} THEN far2 END) OVER (PARTITION BY q_key) * (1 + 1e-9D)"
     return seen.withColumn("bound2", F.expr(bound)).where("bound2 IS NULL OR near2 <= bound2")
 
 
@@ -209,8 +209,8 @@ def closest(
     tried = distance2(first.join(q_rows, "q_key").join(c_rows, "c_key")).select("q_key", "d2")
     nth = tried.withColumn("_n", F.expr("row_number() OVER (PARTITION BY q_key ORDER BY d2)")).where(f"_n <= {need}")
     sharp = nth.groupBy("q_key").agg(F.expr(f"CASE WHEN count(*) = {need} THEN max(d2) END").alias("sharp2"))
-    # slack keeps candidates that tie with the need-th after rounding of d2 to 9 digits
-    limit = F.expr("coalesce(least(sharp2 + 2e-9D, bound2), double('infinity'))")
+    # relative slack, so that no unit of length matters
+    limit = F.expr("coalesce(least(sharp2 * (1 + 1e-9D), bound2), double('infinity'))")
     near = pairs.join(sharp, "q_key", "left").withColumn("_limit", limit).where("near2 <= _limit")
     near = near.select("q_key", "c_key", "_limit").join(q_rows, "q_key").join(c_rows, "c_key")
     hits = distance2(near).where("d2 <= _limit")
@@ -248,7 +248,7 @@ def knn(
     queries: DataFrame, k: int, *, key: str = "ma_id", prefix: str = "c",
     points: DataFrame | None = None, points_key: str = "ma_id", points_prefix: str = "c", leaf_size: int | None = None,
 ) -> DataFrame:
-    """Exact ``k`` nearest neighbours: ``u, v, rank, d2``, ordered by (d2 to 9 digits, id).
+    """Exact ``k`` nearest neighbours: ``u, v, rank, d2``, ordered by (d2, id).
 
     Without ``points`` it is a self join and every point is left out of its own list, by id.
     """
@@ -266,7 +266,7 @@ def knn(
 
     here = [f"lo{a} AS q{a}" for a in "xyz"]
     there = ["explode(ids) AS v", *(f"lo{a} AS c{a}" for a in "xyz")]
-    tie = "floor(d2 * 1e9D + 0.5D), v"  # d2 to 9 digits, then the lower id
+    tie = "d2, v"  # equal distances go to the lower id
     found = closest(q_tree, c_tree, need, point_distance2, tie, there, here)
     lists = found.groupBy("q_key").agg(
         F.expr("sort_array(collect_list(struct(place, v, d2)))").alias("l"), *(F.expr(f"first(q{a})").alias(f"q{a}") for a in "xyz")

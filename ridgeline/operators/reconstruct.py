@@ -102,15 +102,18 @@ def wedge(sided: DataFrame, surface: DataFrame) -> DataFrame:
     return rows.select("seg", *(c for name, v in corners.items() for c in v.cols(name)))
 
 
-# The ten triangles of a flat box; q0..q3 are roof corners, g0..g3 lie below them.
-# The first two form the roof, then two per wall in the order of the walls 0, 1, 2, 3.
-BOX_TRIANGLES = (
-    ("q0", "q1", "q2"), ("q0", "q2", "q3"),
-    ("q0", "g0", "g1"), ("q0", "g1", "q1"),
-    ("q1", "g1", "q2"), ("q2", "g1", "g2"),
-    ("q2", "g2", "g3"), ("q3", "q2", "g3"),
-    ("q0", "q3", "g3"), ("q0", "g3", "g0"),
-)
+def _box_triangles() -> list[tuple[int, tuple[str, str, str]]]:
+    """Plane (4: roof, 0 to 3: walls) and corners of the ten triangles of a flat box.
+
+    ``q_i`` is the roof corner between the walls i and i + 1, ``g_i`` lies below it; wall i therefore stands
+    between the corners i - 1 and i.
+    """
+    roof = [(4, ("q0", f"q{i}", f"q{i + 1}")) for i in (1, 2)]
+    walls = []
+    for i in range(4):
+        a, b = (i - 1) % 4, i
+        walls += [(i, (f"q{a}", f"g{a}", f"g{b}")), (i, (f"q{a}", f"g{b}", f"q{b}"))]
+    return roof + walls
 
 
 def flat_box(matches: DataFrame, sided: DataFrame, surface: DataFrame, *, same_deg: float = 20.0) -> DataFrame:
@@ -160,8 +163,7 @@ def flat_box(matches: DataFrame, sided: DataFrame, surface: DataFrame, *, same_d
         return [F.col(f"q{i}x"), F.col(f"q{i}y"), F.col("ground") if kind == "g" else F.col(f"q{i}z")]
 
     entries = []
-    for no, names in enumerate(BOX_TRIANGLES):
-        wall = 4 if no < 2 else (no - 2) // 2
+    for no, (wall, names) in enumerate(_box_triangles()):
         cells = [c.alias(f"{slot}{a}") for slot, name in zip("abc", names) for c, a in zip(corner(name), "xyz")]
         entries.append(F.struct(F.lit(no).alias("tri"), *cells, *(F.col(f"p{wall}n{a}").alias(f"n{a}") for a in "xyz")))
     return flat.select("match", F.explode(F.array(*entries)).alias("t")).select("match", "t.*")

@@ -33,7 +33,8 @@ def local_feature_size(
 
 def hashed_uniform(key: Column) -> Column:
     """A repeatable number in [0, 1) from an integer id."""
-    return F.pmod(key * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)) / F.lit(2147483648.0)
+    low = F.pmod(key, F.lit(2147483648))  # the rest does not change the result and would overflow
+    return F.pmod(low * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)) / F.lit(2147483648.0)
 
 
 def decimate(

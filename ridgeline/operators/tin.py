@@ -231,7 +231,7 @@ def nearest_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, ke
     q_tree, t_tree = plant(places, (low, side), 32, n_points), plant(items, (low, side), 32, n_faces)
     here = [f"lo{x} AS q{x}" for x in "xyz"]
     there = ["item AS f_id", "nn", *(f"{v}{x}" for v in ("t0", "t1", "t2", "e0", "e1", "e2", "n", "m0", "m1", "m2") for x in "xyz")]
-    found = closest(q_tree, t_tree, 1, _with_nearest, "floor(d2 * 1e9D + 0.5D), f_id, d2", there, here)
+    found = closest(q_tree, t_tree, 1, _with_nearest, "d2, f_id", there, here)
     asked = points.selectExpr(key, *(f"cast({prefix}{x} AS double) + 0D AS q{x}" for x in "xyz"))
     found = found.select("qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2")
     return asked.join(found, ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")

@@ -9,8 +9,6 @@ from pyspark.sql import Window
 from ridgeline.operators.atoms import bbox, subtract
 from ridgeline.staging import number_rows, stage
 
-HEADER_LIMIT = 1000  # lines searched for the end of a PLY header
-
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their place: file, block start and position within the block's task."""
@@ -18,22 +16,25 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
 
 
-def _number(lines: DataFrame, name: str = "row") -> DataFrame:
-    """Row numbers from 0 in file order.
+def _number(lines: DataFrame, name: str = "row", *, weight: Column | None = None) -> DataFrame:
+    """Row numbers from 0 in file order, or the sum of ``weight`` over the rows before.
 
-    A block is read by one task in order, so only the counts per block (one row per block of
+    A block is read by one task in order, so only the sums per block (one row per block of
     the input) are put in sequence.
     """
-    blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    lines = lines.withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight)
+    blocks = lines.groupBy("_file", "_block").agg(F.sum("_w").alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = lines.withColumn("_in", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_mono")) - 1)
-    return ranked.join(offsets, ["_file", "_block"]).withColumn(name, (F.col("_offset") + F.col("_in")).cast("bigint")).drop("_in", "_offset")
+    above = Window.partitionBy("_file", "_block").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = lines.withColumn("_in", F.coalesce(F.sum("_w").over(above), F.lit(0)))
+    return ranked.join(offsets, ["_file", "_block"]).withColumn(name, (F.col("_offset") + F.col("_in")).cast("bigint")).drop("_in", "_offset", "_w")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``row, value`` of a text file or folder; rows count from 0."""
-    return _number(stage(_lines(spark, path), "lines")).select("row", "value")
+def numbered_lines(spark: SparkSession, path: str, *, blank: bool = True) -> DataFrame:
+    """``row, value`` of a text file or folder; rows count from 0, without blank lines if not ``blank``."""
+    lines = stage(_lines(spark, path), "lines")
+    return _number(lines if blank else lines.where(F.length(F.trim("value")) > 0)).select("row", "value")
 
 
 def _to_origin(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +49,9 @@ def read_xyz(
     """``s_id, px, py, pz[, rgba][, region]``, one point per line.
 
     With ``to_origin`` the first point is subtracted and kept in ``off*``; ``limit`` keeps that
-    many first lines.
+    many first points.  Blank lines do not count.
     """
-    rows = numbered_lines(spark, path)
+    rows = numbered_lines(spark, path, blank=False)
     if limit is not None:
         rows = rows.where(F.col("row") < limit)
     cells = F.split(F.trim("value"), r"\s+" if sep == " " else f"\\Q{sep}\\E")
@@ -63,7 +64,7 @@ def read_xyz(
         out.append(F.array(*((number(3 + i) / float(rgb_divider)).cast("float") for i in range(3)), F.lit(1.0).cast("float")).alias("rgba"))
     if region:
         out.append((number(3) != 0).alias("region"))
-    df = rows.where(F.length(F.trim("value")) > 0).select(*out)
+    df = rows.select(*out)
     if not to_origin:
         return df
     moved, first = _to_origin(df, "s_id")
@@ -79,20 +80,18 @@ def read_bounds(spark: SparkSession, path: str) -> DataFrame:
 
 def _ply_header(rows: DataFrame) -> tuple[int, list[str], int, int]:
     """Line count, vertex properties, number of vertices and of faces; only the header is collected."""
-    head = [r.value.split() for r in rows.where(F.col("row") < HEADER_LIMIT).orderBy("row").collect()]
-    properties, counts, element, size = [], {"vertex": 0, "face": 0}, "", None
-    for i, words in enumerate(head):
+    end = rows.where(F.trim("value") == "end_header").agg(F.min("row")).first()[0]
+    if end is None:
+        raise ValueError("no end_header")
+    head = [r.value.split() for r in rows.where(F.col("row") <= end).orderBy("row").collect()]
+    properties, counts, element = [], {"vertex": 0, "face": 0}, ""
+    for words in head:
         if words[:1] == ["element"]:
             element = words[1]
             counts[element] = int(words[2])
         elif words[:1] == ["property"] and element == "vertex":
             properties.append(words[-1])
-        elif words[:1] == ["end_header"]:
-            size = i + 1
-            break
-    if size is None:
-        raise ValueError(f"no end_header within {HEADER_LIMIT} lines")
-    return size, properties, counts["vertex"], counts["face"]
+    return end + 1, properties, counts["vertex"], counts["face"]
 
 
 def read_ply(spark: SparkSession, path: str, *, normals: bool = True, to_origin: bool = False, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,15 +118,22 @@ def read_ply(spark: SparkSession, path: str, *, normals: bool = True, to_origin:
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``vertex(v_id, x, y, z)`` and ``face(f_id, v0, v1, v2)`` of an OBJ mesh; ids count from 1."""
+    """``vertex(v_id, x, y, z)`` and ``face(f_id, v0, v1, v2)`` of an OBJ mesh; ids count from 1.
+
+    A face of more corners becomes a fan of triangles around its first one; a negative number
+    counts back from the last vertex above the face.
+    """
     lines = stage(_lines(spark, path), "obj")
     cells = F.split(F.trim("value"), r"\s+")
-    vertex = _number(lines.where(F.col("value").startswith("v ")), "no").select(
-        (F.col("no") + 1).alias("v_id"), *(F.element_at(cells, i + 2).cast("double").alias(a) for i, a in enumerate("xyz"))
-    )
-    corner = [F.split(F.element_at(cells, i + 2), "/")[0].cast("bigint").alias(f"v{i}") for i in range(3)]
-    face = _number(lines.where(F.col("value").startswith("f ")), "no").select((F.col("no") + 1).alias("f_id"), *corner)
-    return vertex, face
+    is_vertex = F.trim("value").rlike(r"^v\s").cast("bigint")
+    used = _number(lines.where(F.trim("value").rlike(r"^[vf]\s")), "above", weight=is_vertex)
+    vertex = used.where(is_vertex == 1).select((F.col("above") + 1).alias("v_id"), *(F.element_at(cells, i + 2).cast("double").alias(a) for i, a in enumerate("xyz")))
+    corners = F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: F.split(c, "/")[0].cast("bigint"))
+    corners = F.transform(corners, lambda c: F.when(c < 0, F.col("above") + 1 + c).otherwise(c))
+    faces = used.where(is_vertex == 0).withColumn("_c", corners).where(F.size("_c") >= 3)
+    fans = _number(faces.withColumn("_t", F.size("_c") - 2), "first", weight=F.col("_t").cast("bigint"))
+    fan = fans.select("first", "_c", F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("i"))
+    return vertex, fan.select((F.col("first") + F.col("i")).alias("f_id"), F.col("_c")[0].alias("v0"), F.col("_c")[F.col("i")].alias("v1"), F.col("_c")[F.col("i") + 1].alias("v2"))
 
 
 # --- sinks -----------------------------------------------------------------------

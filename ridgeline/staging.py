@@ -8,6 +8,7 @@ executor, and their sizes are known to the optimizer afterwards.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,11 +21,17 @@ _fallback: str | None = None
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where the session names none, a temporary folder serves on one machine; a cluster must name
+    a folder that driver and executors share.
+    """
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="ridgeline-")
         spark.sparkContext.setCheckpointDir(_fallback)
@@ -37,10 +44,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and return a scan of it."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
+    return stage_at(df, new_path(df.sparkSession, label))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str, *, start: int = 0, label: str = "numbered") -> DataFrame:
@@ -64,16 +79,20 @@ def number_rows(df: DataFrame, order: list[Column], name: str, *, start: int = 0
     )
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, max_rounds: int = 10_000, label: str = "round") -> DataFrame:
+def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, label: str = "round") -> DataFrame:
     """Repeat ``step`` until no row of its staged result has ``changed`` set.
 
     ``step`` gets the last state and the round number and returns the next state with a
-    boolean column ``changed``; every round is staged, so lineage never grows.
+    boolean column ``changed``; every round is staged, so lineage never grows, and a round is
+    deleted once its successor is written.  A step must make progress whenever it reports a change
+    (lower a label, extend a path), which bounds the rounds by the data.
     """
-    for round_no in range(max_rounds):
-        state = stage(step(state, round_no), label)
+    spark, round_no, before = state.sparkSession, 0, None
+    while True:
+        path = new_path(spark, label)
+        state = stage_at(step(state, round_no), path)
+        if before is not None:
+            discard(spark, before)
+        before, round_no = path, round_no + 1
         if state.where("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"{label}: no fixpoint after {max_rounds} rounds")
-    return state
+            return state

@@ -90,3 +90,30 @@ def test_sqrt_variant_of_feature_size(spark):
     plain = thinning.local_feature_size(None, None, k=3, near=near).collect()[0].lfs
     rooted = thinning.local_feature_size(None, None, k=3, near=near, sqrt_compat=True).collect()[0].lfs
     assert plain == 4.0 and rooted == 2.0
+
+
+def test_thinning_takes_large_ids(spark):
+    from ridgeline.operators.thinning import hashed_uniform
+
+    rows = spark.createDataFrame([(9_000_000_000,), (10**12,), (7,)], "k bigint").select("k", hashed_uniform(F.col("k")).alias("u")).collect()
+    assert {r.k: r.u for r in rows} == {k: (k * 1103515245 + 12345) % 2**31 / 2**31 for k in (9_000_000_000, 10**12, 7)}
+
+
+def test_running_mean_growth_goes_to_the_end_of_a_strip(spark):
+    from ridgeline.operators.growth import segment_running_mean
+
+    n = 56
+    atoms = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0) for i in range(n)], "ma_id bigint, bx double, by double, bz double, theta double")
+    edges = [(i, j, 1) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    found = segment_running_mean(atoms, edges=spark.createDataFrame(edges, "u bigint, v bigint, rank int"), mincount=2)
+    assert {r.seg for r in found.collect()} == {1}
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from ridgeline.staging import staging_root
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        staging_root(session)

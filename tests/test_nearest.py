@@ -10,8 +10,8 @@ def frame(spark, xyz, key="ma_id", prefix="c"):
 
 
 def brute(queries, points, k, itself):
-    d2 = ((queries[:, None] - points[None]) ** 2).sum(-1)
-    key = np.floor(d2 * 1e9 + 0.5)
+    gap = (queries[:, None] - points[None]) ** 2
+    key = gap[..., 0] + gap[..., 1] + gap[..., 2]
     out = []
     for i, row in enumerate(key):
         order = np.lexsort((np.arange(len(points)), row))
@@ -39,6 +39,13 @@ def test_self_join_is_exact(spark, name):
     assert [got[i] for i in range(len(xyz))] == expected
 
 
+@pytest.mark.parametrize("unit", [1e-6, 1.0, 1e6])
+def test_order_does_not_depend_on_the_unit(spark, unit):
+    xyz = np.vstack([np.random.default_rng(8).random((120, 3)), [[50.0, 0, 0]]]) * unit
+    got = lists(knn(frame(spark, xyz), 5))
+    assert [got[i] for i in range(len(xyz))] == brute(xyz, xyz, 5, True)
+
+
 def test_two_tables(spark):
     rng = np.random.default_rng(5)
     queries, points = rng.normal(size=(60, 3)) * 3, rng.normal(size=(300, 3))

@@ -50,6 +50,28 @@ def test_obj_with_other_lines(spark, tmp_path):
     assert [tuple(r) for r in face.collect()] == [(1, 1, 2, 3)]
 
 
+def test_obj_with_many_corners_and_negative_numbers(spark, tmp_path):
+    body = ["v 0 0 0", "v 1 0 0", "v 1 1 0", "f 1 2 3", "v 0 1 0", "f 1 2 3 4", "", "f -4/1 -3/1 -2/1", "v 2 2 2", "f 1 2 3 4 -1"]
+    (tmp_path / "q.obj").write_text("\n".join(body) + "\n")
+    vertex, face = text.read_obj(spark, str(tmp_path / "q.obj"))
+    assert [r.v_id for r in vertex.orderBy("v_id").collect()] == [1, 2, 3, 4, 5]
+    expected = [(1, 2, 3), (1, 2, 3), (1, 3, 4), (1, 2, 3), (1, 2, 3), (1, 3, 4), (1, 4, 5)]
+    assert [tuple(r) for r in face.orderBy("f_id").collect()] == [(i + 1, *f) for i, f in enumerate(expected)]
+
+
+def test_blank_lines_do_not_count(spark, tmp_path):
+    (tmp_path / "b.xyz").write_text("\n1 2 3\n\n4 5 6\n")
+    path = str(tmp_path / "b.xyz")
+    assert [tuple(r)[:4] for r in text.read_xyz(spark, path, to_origin=True).orderBy("s_id").collect()] == [(0, 0.0, 0.0, 0.0), (1, 3.0, 3.0, 3.0)]
+    assert [tuple(r) for r in text.read_xyz(spark, path, limit=1).collect()] == [(0, 1.0, 2.0, 3.0)]
+
+
+def test_long_ply_header(spark, tmp_path):
+    body = ["ply", "format ascii 1.0", *["comment x"] * 2000, "element vertex 1", "property float x", "property float y", "property float z", "end_header", "1 2 3"]
+    (tmp_path / "h.ply").write_text("\n".join(body) + "\n")
+    assert [tuple(r) for r in text.read_ply(spark, str(tmp_path / "h.ply"), normals=False)[0].collect()] == [(0, 1.0, 2.0, 3.0)]
+
+
 def test_line_numbers_over_many_files(spark, tmp_path):
     spark.range(1000).select(F.col("id").cast("string").alias("line")).orderBy("line").write.text(str(tmp_path / "t"))
     rows = text.numbered_lines(spark, str(tmp_path / "t")).orderBy("row").collect()
