@@ -226,12 +226,14 @@ def corner_points(t):
     return B.corner_points(oriented(t), lines(t))
 
 
-# Every closed face of four corners becomes two triangles: twelve for a whole cube.  With a locked edge the
-# sides around it run together into a face without a plane, which has no corners to rebuild.  All
-# corners lie at +-5 of the centre.
+# A closed face of n half-nodes becomes n - 2 triangles if all its corners are known: twelve for a whole
+# cube.  The corners at the ends of a locked edge have no closed orbit, so the faces that touch them stay
+# open and the two faces away from that edge remain.  All corners lie at +-5 of the centre.
 @query("reconstruct", map_sql(
     """SELECT b, CAST(sum(n - 2) AS BIGINT) AS triangles, CAST(b*30 - 5 AS DOUBLE) AS min_x, CAST(b*30 + 5 AS DOUBLE) AS max_x, CAST(-5 AS DOUBLE) AS min_z, CAST(5 AS DOUBLE) AS max_z
-     FROM (SELECT face, CAST(floor((floor(face / 2) - 1) / 12) AS BIGINT) AS b, count(*) AS n FROM faces WHERE cycle GROUP BY face HAVING count(*) = 4) f GROUP BY b""",
+     FROM (SELECT face, CAST(floor((floor(face / 2) - 1) / 12) AS BIGINT) AS b, count(*) AS n FROM faces f LEFT JOIN (
+      SELECT DISTINCT e.sheet FROM ends e JOIN ends l ON l.cube = e.cube AND l.corner = e.corner JOIN (SELECT DISTINCT seg FROM nodes WHERE locked) k ON k.seg = l.sheet) t
+      ON t.sheet = CAST(floor(f.h / 2) AS BIGINT) WHERE cycle GROUP BY face HAVING count(t.sheet) = 0) g GROUP BY b""",
     "faces", rounded="min_x max_x min_z max_z", digits=5), rounded="min_x max_x min_z max_z", digits=5)
 def reconstruct(t):
     built = B.reconstruct(cube_sided(t), cube(t), found(t), oriented(t))
