@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.vec import Vec, angle
 from ridgeline.operators.atoms import to_surface
 from ridgeline.operators.components import components
+from ridgeline.operators.growth import unlabelled
 from ridgeline.staging import number_rows, stage
 
 # Class numbers and their names.
@@ -73,8 +75,8 @@ def get_clusters(
 
 def push_labels(labels: DataFrame, mapping: DataFrame, new: str = "s_no") -> DataFrame:
     """Ball labels after renumbering; balls of dropped sheets get 0."""
-    moved = labels.join(mapping.select("seg", new), "seg", "left")
-    return moved.select("ma_id", F.coalesce(new, F.lit(0)).cast("bigint").alias("seg"))
+    moved = labels.where("seg <> 0").join(mapping.select("seg", new), "seg", "left")
+    return moved.select("ma_id", F.coalesce(new, F.lit(0)).cast("bigint").alias("seg")).unionByName(unlabelled(labels))
 
 
 def contract_similar(sheets: DataFrame, links: DataFrame, *, deg: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,10 +161,14 @@ def match_flat_top(links: DataFrame) -> DataFrame:
     """All ways to map the flat-roof pattern (edges 01 12 23 30 02, not induced) onto the graph."""
     both = links.select(F.col("a").alias("s"), F.col("b").alias("t")).unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("t"))).distinct()
 
-    def side(s: str, t: str) -> DataFrame:
-        return both.select(F.col("s").alias(s), F.col("t").alias(t))
-
-    # start from the diagonal: every step closes a triangle on it
-    triangle = side("v0", "v2").join(side("v0", "v1"), "v0").join(side("v1", "v2"), ["v1", "v2"], "left_semi")
-    quad = triangle.join(side("v0", "v3"), "v0").where("v3 <> v1").join(side("v2", "v3"), ["v2", "v3"], "left_semi")
-    return quad.where("v1 <> v2 AND v3 <> v2").select("v0", "v1", "v2", "v3")
+    # every triangle is found at its corner of lowest degree, so a hub makes no wedges
+    degree = both.groupBy("s").agg(F.count("*").alias("d"))
+    ranked = both.join(degree, "s").join(degree.toDF("t", "dt"), "t")
+    rising = stage(ranked.where("d < dt OR (d = dt AND s < t)").select("s", "t"), "rising")
+    wedges = rising.select("s", F.col("t").alias("x")).join(rising.select("s", F.col("t").alias("y")), "s").where("x < y")
+    found = wedges.join(both.toDF("x", "y"), ["x", "y"], "left_semi")
+    ways = F.array(*(F.struct(F.col(a).alias("v0"), F.col(b).alias("v1"), F.col(c).alias("v2")) for a, b, c in permutations("sxy")))
+    triangle = stage(found.select(F.explode(ways).alias("w")).select("w.*"), "triangles")
+    # two triangles on one diagonal
+    other = triangle.select("v0", F.col("v1").alias("v3"), "v2")
+    return triangle.join(other, ["v0", "v2"]).where("v1 <> v3").select("v0", "v1", "v2", "v3")

@@ -118,15 +118,22 @@ def flood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def unmark_small(labels: DataFrame, mincount: int) -> DataFrame:
     """Set the label of segments with fewer than ``mincount`` balls to 0."""
     sizes = labels.where("seg <> 0").groupBy("seg").agg(F.count("*").alias("_n")).where(F.col("_n") >= mincount)
-    kept = labels.join(sizes, "seg", "left")
-    return kept.select("ma_id", F.when(F.col("_n").isNotNull(), F.col("seg")).otherwise(F.lit(0)).cast("bigint").alias("seg"))
+    kept = labels.where("seg <> 0").join(sizes, "seg", "left")
+    kept = kept.select("ma_id", F.when(F.col("_n").isNotNull(), F.col("seg")).otherwise(F.lit(0)).cast("bigint").alias("seg"))
+    return kept.unionByName(unlabelled(labels))
+
+
+def unlabelled(labels: DataFrame) -> DataFrame:
+    """Balls without a segment; they may be most of a cloud and stay out of joins by label."""
+    return labels.where("seg = 0 OR seg IS NULL").select("ma_id", F.lit(0).cast("bigint").alias("seg"))
 
 
 def relabel(labels: DataFrame) -> DataFrame:
     """Dense labels from 1 in the order of the old ones; 0 stays."""
     olds = labels.where("seg <> 0").select("seg").distinct()
     dense = number_rows(olds, [F.col("seg")], "dense", start=1, label="relabel")
-    return labels.join(dense, "seg", "left").select("ma_id", F.coalesce("dense", F.lit(0)).cast("bigint").alias("seg"))
+    found = labels.where("seg <> 0").join(dense, "seg").select("ma_id", F.col("dense").cast("bigint").alias("seg"))
+    return found.unionByName(unlabelled(labels))
 
 
 def segment(

@@ -122,10 +122,12 @@ def locate_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key
 
     A face is filed under cells of about its own size, at most four of them; a point looks up
     its cell once per size in use, so neither large nor small faces meet many points needlessly.
+    Faces without an area in plan have no height to give and are left out.
     """
-    rows = stage(corners(face, vertex), "corners")
+    area = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    rows = stage(corners(face, vertex).where(area != 0), "corners")
     span = F.greatest(F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx"), F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy"))
-    power = F.when(span > 0, F.ceil(F.log2(span))).otherwise(F.lit(-60)).cast("int")
+    power = F.ceil(F.log2(span)).cast("int")
     filed = rows.withColumn("power", power).withColumn("_s", F.pow(F.lit(2.0), F.col("power").cast("double")))
     for axis in "xy":
         lo, hi = F.least(f"a{axis}", f"b{axis}", f"c{axis}"), F.greatest(f"a{axis}", f"b{axis}", f"c{axis}")

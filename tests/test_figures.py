@@ -117,3 +117,19 @@ def test_a_cluster_must_name_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         staging_root(session)
+
+
+def test_flat_top_pattern_at_a_hub(spark):
+    ring = [(0, i) for i in range(1, 2001)] + [(1, 2), (2, 3)]
+    links = spark.createDataFrame(ring, "a bigint, b bigint")
+    found = {tuple(r) for r in clusters.match_flat_top(links).collect()}
+    assert found == {(0, 1, 2, 3), (0, 3, 2, 1), (2, 1, 0, 3), (2, 3, 0, 1)}
+
+
+def test_faces_without_area_are_left_out_of_location(spark):
+    from ridgeline.operators.tin import locate_on_mesh
+
+    vertex = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 1.0), (2, 0.0, 1.0, 1.0), (3, 5.0, 5.0, 0.0)], "v_id bigint, x double, y double, z double")
+    face = spark.createDataFrame([(i, 3, 3, 3) for i in range(50)] + [(99, 0, 1, 2), (98, 0, 1, 1)], "f_id bigint, v0 bigint, v1 bigint, v2 bigint")
+    points = spark.createDataFrame([(1, 0.2, 0.2), (2, 5.0, 5.0)], "id bigint, x double, y double")
+    assert {tuple(r) for r in locate_on_mesh(points, face, vertex).collect()} == {(1, 99, 1.0), (2, None, None)}
