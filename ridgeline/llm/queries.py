@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_exact_dedup": fuse_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_sharding": shard_tree.oracle(8), "op6_mixing": mixing.ORACLE, "op7_exact_dedup": fuse_dedup.ORACLE}

@@ -93,3 +93,34 @@ def shard(docs: DataFrame, leaves: list[Leaf]) -> DataFrame:
     first = numbered.groupBy("shard").agg(F.min("_n").alias("_first"))  # one row per shard of the tree
     placed = numbered.join(F.broadcast(first), "shard").withColumn("slot", F.col("_n") - F.col("_first"))
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")
+
+
+def oracle(shards: int = 8, per_rack: int = 2, racks: int = 2) -> str:
+    """The placement in SQL for ``tree(shards)`` and one shard more; checksums byte by byte."""
+
+    def draw(node: str, weight: int) -> str:
+        bits = f"('0x' || md5(key || '|{node}')[1:13])::BIGINT"
+        return f"-ln(({bits} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {weight}::DOUBLE"
+
+    def choose(children: list[tuple[str, int, str]]) -> str:
+        if len(children) == 1:
+            return children[0][2]
+        draws = "[" + ", ".join(draw(node, weight) for node, weight, _ in children) + "]"
+        return f"(CASE list_position({draws}, list_min({draws})) " + " ".join(f"WHEN {i} THEN {value}" for i, (_, _, value) in enumerate(children, 1)) + " END)"
+
+    regions: dict[str, dict[str, list[Leaf]]] = {}
+    for leaf in tree(shards, per_rack=per_rack, racks=racks):
+        regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
+    top = []
+    for region, own in regions.items():
+        middle = [(f"{region}/{rack}", len(leaves), choose([(f"{region}/{rack}/{leaf.shard}", 1, str(leaf.shard)) for leaf in leaves])) for rack, leaves in own.items()]
+        top.append((region, sum(map(len, own.values())), choose(middle)))
+    return f"""
+WITH steps AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i) r),
+t AS (SELECT list(c ORDER BY i) AS step FROM steps),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, (len(h) / 2 + 1)::BIGINT AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(len(h) // 2)]), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS text_crc32,
+  {choose(top)}::INT AS shard, {choose([*top, (f"region-of-{shards}", 1, str(shards))])}::INT AS grown_shard FROM d, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM p
+"""
