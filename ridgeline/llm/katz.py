@@ -196,8 +196,8 @@ def _sum_counts(order: int, parts: list[tuple]) -> list[tuple]:
         at += len(k)
     seen = total > 0
     histogram = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)
-    figures = np.array([seen.sum(), total.sum(), *histogram[1 : K + 2]], np.int64)
-    out.append(("figures", order, "", parts[0].bucket, 0, b"", figures.tobytes(), b"", b""))
+    for which, figure in enumerate([seen.sum(), total.sum(), *histogram[1 : K + 2]]):
+        out.append(("figures", order, "", which, int(figure), b"", b"", b"", b""))
     out.append(("grams", order, "", parts[0].bucket, int(seen.sum()), pack_sorted(unique[seen]), pack(total[seen].astype(np.uint32)), b"", b""))
     return out
 
@@ -342,10 +342,10 @@ def train_and_score(
     buckets = max(1, -(-tokens // bucket_tokens))
     counts, path = _exchange(_send(blocks, lambda row: _asked(row, order, buckets)), _sum_counts, "katz-counts")
     model = Model(order, {n: Figures() for n in range(1, order + 1)}, [path])
-    for row in counts.where("kind = 'figures'").select("order", "a").toLocalIterator():  # one small row for each bucket
-        seen, total, *of_count = np.frombuffer(bytes(row.a), np.int64).tolist()
-        f = model.figures[row.order]
-        f.distinct, f.total, f.of_count = f.distinct + seen, f.total + total, [x + y for x, y in zip(f.of_count, of_count)]
+    sums = counts.where("kind = 'figures'").groupBy("order", "bucket").agg(F.sum("size").alias("n")).collect()  # (K + 3) rows for each order
+    found = {(r.order, r.bucket): r.n for r in sums}
+    for n, f in model.figures.items():
+        f.distinct, f.total, *f.of_count = (found.get((n, which), 0) for which in range(K + 3))
     answers = [counts.where("kind = 'counts'")]
     for n in range(2, order + 1):
         asked = _send(_with_answers(blocks, answers), lambda row, n=n: _context_masses(model, row, n, buckets))
