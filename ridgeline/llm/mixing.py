@@ -23,7 +23,8 @@ from ridgeline.llm.common import WORD
 from ridgeline.staging import number_rows, stage
 
 CELLS = 1 << 20
-HALF = 1 << 10
+#: Rows of the plan (under 100 bytes and a name each) up to which it is broadcast.
+FEW_SOURCES = 50_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -104,7 +105,17 @@ def plan(keyed: DataFrame, **options) -> DataFrame:
     ends = stage(ends.select("_s", "at", "last_key"), "mix-ends")
     ends = ends.select(F.col("_s").alias("_e"), (F.col("at") / CELLS).alias("_floor"), "last_key")
     # cells before the border are taken whole: any key below it
-    return goal.join(ends, _same("_s", "_e"), "left").drop("_e")
+    return stage(goal.join(ends, _same("_s", "_e"), "left").drop("_e"), "mix-plan")
+
+
+def _planned(keyed: DataFrame, planned: DataFrame) -> DataFrame:
+    """Documents beside the plan of their source.
+
+    Up to ``FEW_SOURCES`` rows the plan is broadcast, so that documents stay where they are; beyond,
+    an ordinary join on the unique source follows, whose hot keys can be split.
+    """
+    few = planned.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    return keyed.join(F.broadcast(planned) if few else planned, _same("_source", "_s"))
 
 
 def _times(planned: DataFrame) -> Column:
@@ -117,7 +128,7 @@ def mix(docs: DataFrame, *, weight: Column | None = None, seed: int = 7, **optio
     """``doc_id, size, source_size, target, taken`` of every row; ``taken`` counts repeats."""
     keyed = _keyed(docs, F.struct("doc_id"), quality_weight(F.col("text")) if weight is None else weight, seed)
     keyed = stage(keyed, "mix-keys")
-    rows = keyed.join(plan(keyed, **options), _same("_source", "_s"))  # sources are unique, so a hot one can be split
+    rows = _planned(keyed, plan(keyed, **options))
     taken = (F.col("_size") * _times(rows)).alias("taken")
     return rows.select("row.doc_id", F.col("_size").alias("size"), "source_size", "target", taken)
 
@@ -126,7 +137,7 @@ def mixed_rows(docs: DataFrame, *, weight: Column | None = None, seed: int = 7,
     """The rows of ``docs``, each as often as the mix takes it."""
     keyed = _keyed(docs, F.struct(*docs.columns), quality_weight(F.col("text")) if weight is None else weight, seed)
     planned = plan(stage(keyed.drop("row"), "mix-keys"), **options)
-    rows = keyed.join(planned, _same("_source", "_s"))
+    rows = _planned(keyed, planned)
     return rows.select(F.explode(F.array_repeat("row", _times(rows).cast("int"))).alias("row")).select("row.*")
 
 
