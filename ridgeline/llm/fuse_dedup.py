@@ -212,11 +212,13 @@ def deduplicate(docs: DataFrame, *, batches: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, *, batches: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     found = duplicate_groups(docs, batches=batches)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), "digest")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "copies")
     rows = digested(docs, F.struct(*docs.columns))
-    chosen = rows.join(stays, (rows["digest"] == stays["digest"]) & rows["row.doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    once = chosen.groupBy("digest", F.col("row.doc_id").alias("_id")).agg(F.min("row").alias("row"))
-    return once.select("row.*")
+    same = (F.col("digest") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
+    single = rows.join(stays.where("copies = 1"), same, "left_semi").select("row")
+    # only rows equal in id and text need another look, to keep one of them
+    repeated = rows.join(stays.where("copies > 1"), same).groupBy("_digest", "_id").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
 
 
 ORACLE = """
