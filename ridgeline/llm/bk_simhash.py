@@ -210,7 +210,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that share an id, or have none, count as one document: the one that sorts first by its
     other columns stays.  Exact deduplication before makes ids unique.
     """
-    first = near_duplicates(docs, **options).select(F.col("component_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in kept.columns if c != "doc_id"])
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    found = near_duplicates(docs, **options)
+    chosen = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    chosen = stage(chosen.where("_stays").select("_id", "_rows"), "simhash-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    single = docs.join(chosen.where("_rows = 1"), same, "left_semi")
+    # only rows that share an id need another look
+    shared = docs.join(chosen.where("_rows > 1"), same, "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
+    once = shared.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return single.unionByName(once)
