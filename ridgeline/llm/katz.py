@@ -2,7 +2,7 @@
 
 Words are 64-bit keys (XXH64); an n-gram's key mixes the key of its context, the (n-1)-gram before, with
 the key of its last word, and a text starts in a fixed context and closes with an end token.  Texts
-are read once into blocks of about two million tokens with their own dictionaries.  For every order a
+are read once into blocks of about a million tokens with their own dictionaries.  For every order a
 block sends its distinct n-gram keys with their training counts, sorted and packed, to buckets
 of the key space; a bucket adds the counts up, keeps its part of the model, and answers
 each block in the order it asked.  So what is shuffled is distinct keys of blocks, never words or
@@ -331,7 +331,7 @@ def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
 
 
 def train_and_score(
-    docs: DataFrame, *, order: int = 3, is_held_out: Callable[[int | None], bool] = lambda i: False, block_tokens: int = 2_000_000, bucket_tokens: int = 2_000_000
+    docs: DataFrame, *, order: int = 3, is_held_out: Callable[[int | None], bool] = lambda i: False, block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000
 ) -> tuple[DataFrame, Model]:
     """Scores of all documents under a model of those not held out, and the model.
 
