@@ -211,3 +211,13 @@ def test_held_out_is_crc32(spark):
     rows = spark.range(50)
     found = [r.h for r in rows.select(common.held_out(rows["id"], 7, 2).alias("h")).collect()]
     assert found == [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(50)]
+
+
+def test_plain_characters_split_as_in_the_library():
+    """The claim behind ``PLAIN``: both engines put all its characters into the same classes."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for code in range(0xD800):
+        char = chr(code)
+        if token_counts.PLAIN.fullmatch(char):
+            text = f"a{char}b1{char}2 {char} x!{char}?"
+            assert token_counts.WORDS.findall(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], hex(code)
