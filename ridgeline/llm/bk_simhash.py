@@ -22,10 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import per_document, texts
+from ridgeline.llm.common import per_document, texts, utf8
 from ridgeline.operators.components import components
 from ridgeline.staging import stage
 
@@ -188,6 +188,13 @@ def _links(rows: list[tuple[bool, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds)], ["link", "used", "a", "b"])
 
 
+def fingerprint_classes(fps: DataFrame, *, radius: int = 4, limit: int = 4096) -> DataFrame:
+    """``fp, class`` for the distinct fingerprints of ``fps``: those that links of at most ``radius`` bits connect."""
+    distinct = fps.select("fp").distinct()
+    linked = components(link_shards(distinct, radius=radius, limit=limit), ends=("a", "b"), key="fp")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -195,28 +202,46 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, seed:
     """
     marked = stage(fingerprints(docs, shingle=shingle, seed=seed), "simhash")
     lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    links = link_shards(marked.select("fp").distinct(), radius=radius, limit=limit)
-    linked = components(links, ends=("a", "b"), key="fp")
-    classes = stage(lowest.join(linked, "fp", "left").withColumn("class", F.coalesce("component", "fp")), "simhash-classes")
+    classes = stage(lowest.join(fingerprint_classes(marked, radius=radius, limit=limit), "fp"), "simhash-classes")
     ids = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     members = classes.join(ids, "class").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(members, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, all columns as they are.
+def text_digest() -> Column:
+    """Tells rows with one id, or with none, apart by their texts."""
+    return F.unhex(F.sha2(utf8(F.col("text")), 256))
+
+
+def keep_smallest(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class the row of ``docs`` with the smallest id (null last) and then digest, all columns as they are.
+
+    ``classes`` has ``doc_id, digest, class`` for every row.  Of rows equal in id and text the one
+    that sorts first by its other columns stays.
+    """
+    rows = classes.groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n").alias("_rows")))
+    chosen = stage(rows.groupBy("class").agg(first.alias("first")).select("first._id", "first._digest", "first._rows"), "near-kept")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), text_digest().alias("digest"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
+    single = marked.join(chosen.where("_rows = 1"), same, "left_semi").select("row")
+    # only rows equal in id and text need another look, to keep one of them
+    repeated = marked.join(chosen.where("_rows > 1"), same).groupBy("_digest", "_id").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 4, radius: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
+    """One row of every class of ``near_duplicates``, all columns as they are; see ``keep_smallest``.
 
-    Rows that share an id, or have none, count as one document: the one that sorts first by its
-    other columns stays.  Exact deduplication before makes ids unique.
+    Rows are told apart by id and text, so unlike texts with one id, or without ids, stay in their own classes.
     """
-    found = near_duplicates(docs, **options)
-    chosen = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    chosen = stage(chosen.where("_stays").select("_id", "_rows"), "simhash-kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    single = docs.join(chosen.where("_rows = 1"), same, "left_semi")
-    # only rows that share an id need another look
-    shared = docs.join(chosen.where("_rows > 1"), same, "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
-    once = shared.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return single.unionByName(once)
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"), text_digest().alias("digest"))
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [_signed(simhash(t.as_py(), shingle, seed)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
+
+    marked = stage(marked.mapInArrow(task, "doc_id bigint, digest binary, fp bigint"), "simhash")
+    return keep_smallest(docs, marked.join(fingerprint_classes(marked, radius=radius, limit=limit), "fp"))
