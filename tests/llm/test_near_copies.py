@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from ridgeline.llm import bk_simhash
+import corpus_pipeline
+from ridgeline.llm import bk_simhash, shingle_links
 
 RANDOM = random.Random(23)
 SCHEMA = "doc_id bigint, text string, source string"
@@ -23,9 +24,61 @@ def kept(rows):
     return sorted((r.text, r.doc_id or 0) for r in rows.collect())
 
 
-@pytest.mark.parametrize("keep", [bk_simhash.keep_one])
+@pytest.mark.parametrize("keep", [bk_simhash.keep_one, shingle_links.keep_one])
 def test_every_class_keeps_one_row(spark, keep):
     docs = spark.createDataFrame(SHARED, SCHEMA)
     wanted = sorted(zip(UNLIKE, (0, 0, 0, 5, 5, 8)))
     found = keep(docs)
     assert found.columns == docs.columns and kept(found) == wanted
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def changed(text, least):
+    """Words replaced one by one while the similarity stays at ``least`` or above."""
+    while True:
+        words = text[-1].split()
+        words[RANDOM.randrange(len(words))] = f"new{RANDOM.randrange(10**6)}"
+        if similarity(text[0], " ".join(words)) < least:
+            return text[-1]
+        text = [text[0], " ".join(words)]
+
+
+def test_stage_finds_near_copies_down_to_four_fifths(spark):
+    pairs = [(t, changed([t], s)) for s in (0.8, 0.85, 0.9, 0.95) for _ in range(25) for t in [prose(300)]]
+    below = [(t, " ".join(w if i % 12 else f"new{i}" for i, w in enumerate(t.split()))) for _ in range(10) for t in [prose(300)]]
+    assert all(similarity(*p) >= 0.8 for p in pairs) and all(0.3 < similarity(*p) < 0.8 for p in below)
+    rows = [(i, t, "a") for i, t in enumerate(t for p in pairs + below for t in p)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stays = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()}
+    n = 2 * len(pairs)
+    assert stays == {*range(0, n, 2), *range(n, len(rows))}
+
+
+def test_classes_equal_brute_force(spark):
+    """Chains, a large family whose members are not all alike, texts sharing a long line, short and blank texts."""
+    base, line = prose(150), prose(60)
+    texts = [None, "", " \n", "one two", "One  two", "one three", *[f"{line} {prose(RANDOM.randrange(10, 60))}" for _ in range(90)]]
+    for _ in range(90):
+        words = base.split()
+        for _ in range(RANDOM.randrange(6)):
+            words[RANDOM.randrange(150)] = f"v{RANDOM.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [grams(t or "") for t in texts]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = [x if v == y else v for v in low]
+    assert 90 < len(set(low)) < 150
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in shingle_links.keep_one(docs).collect()) == sorted(set(low))
+    assert shingle_links.keep_one(docs.where("false")).collect() == []
