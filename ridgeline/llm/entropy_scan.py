@@ -33,12 +33,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits for each character of a window of 20 (at most 4.32).
 THRESHOLDS = {"^[0-9a-fA-F]+$": 3.0, "^[A-Z0-9]+$": 3.5, "^[a-z0-9]+$": 3.5, "": 3.8}
-#: Runs that are no secrets: UUIDs, dates and numbers, sample values, paths of plain words.
+#: A word of up to 15 letters that could stand in a dictionary: vowels, with at most three consonants in a row.
+_WORD_PART = "(?=[a-z]{2,15}[0-9]{0,4}(?:/|$))(?:[b-df-hj-np-tv-xz]{0,3}[aeiouy]{1,2})+[b-df-hj-np-tv-xz]{0,3}[0-9]{0,4}"
+#: Runs that are no secrets: UUIDs, dates and numbers, values with a sample word inside, paths of plain words.
+#: A sample word counts only inside the last part, and only if that is long enough for a value, not in a name or path.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     "^[0-9+/_=-]+$",
-    "(?i)example|sample|placeholder|changeme|x{6}",
-    "^(/?[a-z]{2,}[0-9]{0,4})+/?$",
+    "(?i)(?:^|[/_+-])(?=[A-Za-z0-9]{16,}=*$)[A-Za-z0-9]*(?:example|sample|placeholder|changeme|x{6})",
+    f"^/?(?:{_WORD_PART}/)+(?:{_WORD_PART})?$",
 )
 #: ``c log2 c`` for the counts a window can hold.
 _PLOGP = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(WINDOW + 1)) + ")"

@@ -76,3 +76,38 @@ def test_scan_matches_brute_force_on_random_texts(spark):
 
 def test_empty_table(spark):
     assert E.report(frame(spark, TEXTS).where("false")).collect() == []
+
+
+def random_keys(alphabet, n, length):
+    draw = random.Random(f"{alphabet}{length}")
+    keys = ("".join(draw.choice(alphabet) for _ in range(length)) for _ in range(3 * n))
+    return [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)][:n]
+
+
+def share_found(spark, texts, keys):
+    """Share of the keys of which a reported span covers half or more."""
+    rows = {r.doc_id: r.spans for r in E.report(frame(spark, texts)).collect()}
+    found = 0
+    for i, (text, key) in enumerate(zip(texts, keys)):
+        at = text.index(key)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in rows[i].split(",") if s]
+        found += any(2 * (min(b, at + len(key)) - max(a, at)) >= len(key) for a, b in spans)
+    return found / len(keys)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def test_random_keys_are_not_allowed_as_paths_or_samples(spark):
+    for length in (24, 32, 40):
+        keys = random_keys(LOWER + DIGITS, 150, length)
+        assert share_found(spark, [f"see {k} there" for k in keys], keys) >= 0.97, length
+    keys = random_keys(LOWER + UPPER + DIGITS, 150, 40)
+    for before in ("SAMPLE_KEY=", "examples/", "placeholder-", "path/to/sample_"):
+        assert share_found(spark, [f"see {before}{k} there" for k in keys], keys) >= 0.97, before
+    assert share_found(spark, [f"see {k}/example there" for k in keys], keys) >= 0.97
+
+
+def test_plain_paths_and_sample_values_stay_allowed(spark):
+    texts = ["docs/some/path/of/words1/and/more2024", "/usr/share/python3/lib/module12/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "123e4567-e89b-12d3-a456-426614174000"]
+    assert [r.spans for r in E.report(frame(spark, texts)).collect()] == [""] * len(texts)
