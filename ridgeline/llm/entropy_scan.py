@@ -6,8 +6,8 @@ matches, in code points.
 
 Base kinds are leftmost non-overlapping matches: ``assign`` (a named credential and its value),
 ``access`` (access keys) and ``hex`` (long hexadecimal runs).  The method adds the kind
-``entropy``: in each maximal run of key characters with a digit and a letter, a window moves one
-character at a time; the counts of the leaving and the entering character update the sum
+``entropy``: in each maximal run of key characters (a name before ``=`` is a run of its own) of at least
+20 with a digit and a letter, a window moves one character at a time; the counts of the leaving and the entering character update the sum
 of ``c log2 c``, which gives the Shannon entropy of the window.  From the first to the last window that
 reaches the threshold of the run's character class, the run is reported, unless it lies inside a base
 span or is on the allow list.
@@ -28,11 +28,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: A run is matched as a whole or not at all, so the least length can stand in the pattern.
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-KEY_RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: An equals sign ends a run, so a name before it is judged apart from its value; only padding at the end belongs to a run.
+KEY_RUN = "[A-Za-z0-9+/_-]{18,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits for each character of a window of 20 (at most 4.32).
-THRESHOLDS = {"^[0-9a-fA-F]+$": 3.0, "^[A-Z0-9]+$": 3.5, "^[a-z0-9]+$": 3.5, "": 3.8}
+THRESHOLDS = {"^[0-9a-fA-F]+=*$": 3.0, "^[A-Z0-9]+=*$": 3.5, "^[a-z0-9]+=*$": 3.5, "": 3.8}
 #: A word of up to 15 letters that could stand in a dictionary: vowels, with at most three consonants in a row.
 _WORD_PART = "(?=[a-z]{2,15}[0-9]{0,4}(?:/|$))(?:[b-df-hj-np-tv-xz]{0,3}[aeiouy]{1,2})+[b-df-hj-np-tv-xz]{0,3}[0-9]{0,4}"
 #: Runs that are no secrets: UUIDs, dates and numbers, values with a sample word inside, paths of plain words.

@@ -111,3 +111,20 @@ def test_random_keys_are_not_allowed_as_paths_or_samples(spark):
 def test_plain_paths_and_sample_values_stay_allowed(spark):
     texts = ["docs/some/path/of/words1/and/more2024", "/usr/share/python3/lib/module12/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "123e4567-e89b-12d3-a456-426614174000"]
     assert [r.spans for r in E.report(frame(spark, texts)).collect()] == [""] * len(texts)
+
+
+def test_named_values_are_judged_by_their_own_class(spark):
+    for alphabet in (DIGITS + "ABCDEF", DIGITS + "abcdef", DIGITS + UPPER, DIGITS + LOWER, DIGITS + LOWER + UPPER):
+        for length in (20, 32, 40):
+            keys = random_keys(alphabet, 100, length)
+            bare = share_found(spark, [f"see {k} there" for k in keys], keys)
+            for name in ("SIGNING=", "key=", "SIGNING_NAME_OF_2_PARTS=", "a=b="):
+                assert share_found(spark, [f"see {name}{k} there" for k in keys], keys) == bare, (alphabet, length, name)
+            assert bare >= (0.95 if length > 20 else 0.8), (alphabet, length)  # a key of one window has but one chance
+
+
+def test_padding_stays_with_its_value(spark):
+    key = random_keys(DIGITS + LOWER + UPPER, 1, 42)[0]
+    texts = [f"{key}==", f"x={key}= y", f"{key}==={key}"]
+    spans = [r.spans for r in E.report(frame(spark, texts)).collect()]
+    assert spans[0].endswith(":44") and spans[1].endswith(":45") and spans[2].count("entropy:") == 2
