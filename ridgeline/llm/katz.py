@@ -192,13 +192,13 @@ def _sum_counts(order: int, parts: list[tuple]) -> list[tuple]:
     out, at = [], 0
     for p, k in zip(parts, keys):
         mine = slice(at, at + len(k))
-        out.append(("counts", order, p.block, p.bucket, len(k), b"", pack(total[of[mine]].astype(np.uint32)), pack(owner[mine]), b""))
+        out.append(("counts", order, p.block, p.bucket, len(k), b"", pack(total[of[mine]].astype(np.uint64)), pack(owner[mine]), b""))
         at += len(k)
     seen = total > 0
     histogram = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)
     for which, figure in enumerate([seen.sum(), total.sum(), *histogram[1 : K + 2]]):
         out.append(("figures", order, "", which, int(figure), b"", b"", b"", b""))
-    out.append(("grams", order, "", parts[0].bucket, int(seen.sum()), pack_sorted(unique[seen]), pack(total[seen].astype(np.uint32)), b"", b""))
+    out.append(("grams", order, "", parts[0].bucket, int(seen.sum()), pack_sorted(unique[seen]), pack(total[seen].astype(np.uint64)), b"", b""))
     return out
 
 
@@ -214,7 +214,7 @@ def _sum_contexts(order: int, parts: list[tuple]) -> list[tuple]:
     for p, k in zip(parts, keys):
         mine = of[at : at + len(k)]
         # single precision in the answers: 6e-8 of a weight; the stored model keeps it whole
-        out.append(("contexts", order, p.block, p.bucket, len(k), b"", pack(base[mine].astype(np.uint32)), pack(alpha[mine].astype(np.float32)), b""))
+        out.append(("contexts", order, p.block, p.bucket, len(k), b"", pack(base[mine].astype(np.uint64)), pack(alpha[mine].astype(np.float32)), b""))
         at += len(k)
     seen = total > 0
     out.append(("weights", order, "", parts[0].bucket, int(seen.sum()), pack_sorted(unique[seen]), pack(base[seen]), pack(alpha[seen]), b""))
@@ -267,7 +267,7 @@ class Model:
 def _answers(row: dict, kind: str, order: int, columns: str) -> list[np.ndarray]:
     """What the buckets answered, put together in order of the keys."""
     parts = sorted((p for p in row["answers"] if p["kind"] == kind and p["order"] == order), key=lambda p: p["bucket"])
-    kinds = {"counts": (np.uint32, np.uint8), "contexts": (np.uint32, np.float32)}[kind]
+    kinds = {"counts": (np.uint64, np.uint8), "contexts": (np.uint64, np.float32)}[kind]
     return [np.concatenate([unpack(bytes(p[c]), k) for p in parts]) for c, k in zip(columns, kinds)]
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,3 +110,17 @@ def test_empty_table_and_no_training_text(spark):
     assert katz.train_and_score(docs.where("false"))[0].collect() == []
     rows = katz.train_and_score(docs.limit(5), is_held_out=lambda i: True)[0].collect()
     assert len(rows) == 5 and {(r.score, r.n_known, r.train_tokens) for r in rows} == {(0.0, 0, 0)}
+
+
+def test_counts_and_totals_beyond_32_bits():
+    keys, n = katz.np.array([5, 9], katz.np.uint64), 3 * 2**30
+    part = lambda block, *columns: types.SimpleNamespace(block=block, bucket=0, keys=katz.pack_sorted(keys), **dict(zip("abc", columns)))
+    counts = katz.pack(katz.np.array([n, 1], katz.np.uint32))
+    rows = katz._sum_counts(1, [part("x", counts), part("y", counts)])
+    answers = [{"kind": r[0], "order": r[1], "bucket": r[3], "a": r[6], "b": r[7]} for r in rows if r[2] == "x"]
+    assert katz._answers({"answers": answers}, "counts", 1, "ab")[0].tolist() == [2 * n, 2]
+    assert [katz.unpack(r[6], katz.np.uint64).tolist() for r in rows if r[0] == "grams"] == [[2 * n, 2]]
+    masses = [katz.pack(katz.np.array(v, float)) for v in ([n, 1], [n - 9, 0.5], [0.5, 0.5])]
+    rows = katz._sum_contexts(2, [part("x", *masses), part("y", *masses)])
+    answers = [{"kind": r[0], "order": r[1], "bucket": r[3], "a": r[6], "b": r[7]} for r in rows if r[2] == "x"]
+    assert katz._answers({"answers": answers}, "contexts", 2, "ab")[0].tolist() == [2 * n, 2]
