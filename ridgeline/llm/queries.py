@@ -17,9 +17,9 @@ BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Words and their predecessors; higher orders are a parameter of the operator."""
+    """Words and up to two predecessors; the order is a parameter of the operator."""
     docs = table(spark, folder, "documents")
-    scored, _ = katz.train_and_score(docs, order=2, is_held_out=katz.crc32_held_out(7, 2))
+    scored, _ = katz.train_and_score(docs, order=3, is_held_out=katz.crc32_held_out(7, 2))
     return scored
 
 

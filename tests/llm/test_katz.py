@@ -124,3 +124,13 @@ def test_counts_and_totals_beyond_32_bits():
     rows = katz._sum_contexts(2, [part("x", *masses), part("y", *masses)])
     answers = [{"kind": r[0], "order": r[1], "bucket": r[3], "a": r[6], "b": r[7]} for r in rows if r[2] == "x"]
     assert katz._answers({"answers": answers}, "contexts", 2, "ab")[0].tolist() == [2 * n, 2]
+
+
+def test_query_uses_the_default_order(monkeypatch):
+    from ridgeline.llm import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "table", lambda *_: None)
+    monkeypatch.setattr(katz, "train_and_score", lambda docs, *, order=3, **_: (asked.append(order), None))
+    queries.op1_lm_scores(None, "")
+    assert asked == [3]
