@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bk_simhash, entropy_scan, fuse_dedup, katz, mixing, pieces, quality_rules, shard_tree, token_counts, zstd_quality
+from ridgeline.llm import (
+    bk_simhash,
+    entropy_scan,
+    fuse_dedup,
+    katz,
+    lemp_search,
+    mixing,
+    pieces,
+    quality_rules,
+    shard_tree,
+    token_counts,
+    zstd_quality,
+)
 from ridgeline.llm.common import held_out, table
 
 #: Vocabulary files are parameters of the operators; these are the ones the queries use.
@@ -65,6 +77,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return bk_simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4, seed=42)
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lemp_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_sentencepiece": op2_sentencepiece,
@@ -76,5 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
+    "op11_lexical_search": op11_lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op4_sharding": shard_tree.oracle(8),
+    "op6_mixing": mixing.ORACLE,
+    "op7_exact_dedup": fuse_dedup.ORACLE,
+    "op11_lexical_search": lemp_search.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_sharding": shard_tree.oracle(8), "op6_mixing": mixing.ORACLE, "op7_exact_dedup": fuse_dedup.ORACLE}
