@@ -15,6 +15,7 @@ from ridgeline.llm import (
     katz,
     lemp_search,
     mixing,
+    phrase_automata,
     pieces,
     quality_rules,
     shard_tree,
@@ -81,6 +82,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lemp_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=20)
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_automata.collocations(table(spark, folder, "documents"), least=10, share=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_sentencepiece": op2_sentencepiece,
@@ -93,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op13_phrases": op13_phrases,
 }
 ORACLES: dict[str, str] = {
     "op4_sharding": shard_tree.oracle(8),
     "op6_mixing": mixing.ORACLE,
     "op7_exact_dedup": fuse_dedup.ORACLE,
     "op11_lexical_search": lemp_search.ORACLE,
+    "op13_phrases": phrase_automata.ORACLE,
 }
