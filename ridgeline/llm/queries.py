@@ -19,6 +19,7 @@ from ridgeline.llm import (
     pieces,
     quality_rules,
     shard_tree,
+    site_suffixes,
     token_counts,
     zstd_quality,
 )
@@ -82,6 +83,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lemp_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=20)
 
 
+def op12_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return site_suffixes.extract(table(spark, folder, "pages"), words=8, share=10)
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_automata.collocations(table(spark, folder, "documents"), least=10, share=50, top=2000)
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op12_page_text": op12_page_text,
     "op13_phrases": op13_phrases,
 }
 ORACLES: dict[str, str] = {
