@@ -132,6 +132,6 @@ def split(html: str) -> tuple[list[str] | None, list[tuple[bool, str]]]:
     """
     found = blocks(html)
     best = max((z for z, _ in found), default=PLAIN)
-    if best == PLAIN:
+    if best <= PLAIN:
         return None, [(z == ASIDE, t) for z, t in found]
     return [t for z, t in found if z == best], [(z == ASIDE, t) for z, t in found if z != best]

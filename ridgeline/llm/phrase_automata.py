@@ -139,7 +139,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids in _shards(batches):
             count = np.bincount(ids, minlength=len(words))[1:]
-            columns = [pa.array([lang] * len(count)), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
+            columns = [pa.array([lang] * len(count), pa.string()), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "f"])
 
     rows = _texts(docs).mapInArrow(task, "lang string, word string, f bigint")

@@ -127,7 +127,7 @@ def _repeated(distinct: DataFrame, words: int, share: int) -> DataFrame:
         for held in _streams(batches):
             for host, owner, digests, same, _, members in _windows(held, words):
                 on = np.bincount(np.unique(same * len(members) + owner) // len(members), minlength=len(digests))
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(digests)), pa.array(digests, pa.binary()), pa.array(on, pa.int64())], ["host", "window", "pages"])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(digests), pa.string()), pa.array(digests, pa.binary()), pa.array(on, pa.int64())], ["host", "window", "pages"])
 
     classes = distinct.select("host", "page", "other").mapInArrow(task, "host string, window binary, pages bigint")
     classes = classes.groupBy("host", "window").agg(F.sum("pages").alias("pages")).where("pages >= 2")
@@ -143,7 +143,7 @@ def _places(rows: DataFrame, words: int) -> DataFrame:
             for host, owner, digests, same, place, members in _windows(held, words):
                 window = pa.array(digests, pa.binary()).take(pa.array(same))
                 page = pa.array(members, pa.binary()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(same)), window, page, pa.array(place, pa.int64())], ["host", "window", "page", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(same), pa.string()), window, page, pa.array(place, pa.int64())], ["host", "window", "page", "at"])
 
     return rows.select("host", "page", "other").mapInArrow(task, "host string, window binary, page binary, at bigint")
 
