@@ -227,7 +227,7 @@ def keep_smallest(docs: DataFrame, classes: DataFrame) -> DataFrame:
     same = (F.col("digest") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
     single = marked.join(chosen.where("_rows = 1"), same, "left_semi").select("row")
     # only rows equal in id and text need another look, to keep one of them
-    repeated = marked.join(chosen.where("_rows > 1"), same).groupBy("_digest", "_id").agg(F.min("row").alias("row")).select("row")
+    repeated = marked.join(chosen.where("_rows > 1"), same).groupBy("_digest", "_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return single.unionByName(repeated).select("row.*")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import utf8
+from ridgeline.llm.common import BitTable, utf8
 from ridgeline.staging import stage
 
 PER_BUCKET = 100_000
@@ -115,8 +115,7 @@ def digested(docs: DataFrame, carry: Column) -> DataFrame:
             found = pa.array([hashlib.sha256(t.as_py().lower()).digest() for t in batch.column("_bytes")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "digest"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(task, f"row {kind}, digest binary")
+    return rows.mapInArrow(task, rows.select("row", F.lit(b"").alias("digest")).schema)
 
 
 def _number(start: int) -> Column:
@@ -176,29 +175,31 @@ def duplicate_groups(docs: DataFrame, *, batches: int = 3) -> DataFrame:
     across = entries.join(matched, "digest", "left_semi").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     alone = entries.join(matched, "digest", "left_anti").select("digest", "keep_id", "n")
     groups = stage(alone.unionByName(across).withColumnRenamed("n", "group_size"), "dedup-groups")
-    check_bytes(docs)
+    check_bytes(docs, groups.where("group_size > 1").select("digest"))
     return units.join(groups, "digest").select("doc_id", "digest", "copies", "keep_id", "group_size")
 
 
-def check_bytes(docs: DataFrame) -> None:
-    """Compares the bytes of all texts under each digest: the first and the last in order must be equal.
+def check_bytes(docs: DataFrame, digests: DataFrame) -> None:
+    """Compares the bytes of all texts under each of the ``digests``: the first and the last in order must be equal.
 
-    Copies collapse to two texts for each task before the shuffle.
+    Only rows that a bit table of the digests lets through leave their task, and copies collapse to two
+    texts for each task before the shuffle.
     """
-    ends = digested_bytes(docs).groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-    if not ends.where("low <> high").isEmpty():
-        raise ValueError("unequal texts share a SHA-256 digest")
-
-
-def digested_bytes(docs: DataFrame) -> DataFrame:
-    """``digest`` and the normalised ``bytes``."""
+    known = BitTable(digests.select(_number(8).alias("h")))
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [t.as_py().lower() for t in batch.column("_bytes")]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest() for t in low], pa.binary()), pa.array(low, pa.binary())], ["digest", "bytes"])
-
-    return docs.select(utf8(F.col("text")).alias("_bytes")).mapInArrow(task, "digest binary, bytes binary")
+            found = [hashlib.sha256(t).digest() for t in low]
+            keys = np.frombuffer(b"".join(d[8:16] for d in found), ">u8").astype(np.uint64)
+            passed = pa.array(known.holds(keys), pa.bool_())
+            whole = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(low, pa.binary())], ["digest", "bytes"])
+            yield whole.filter(passed)
+
+    texts = docs.select(utf8(F.col("text")).alias("_bytes")).mapInArrow(task, "digest binary, bytes binary")
+    ends = texts.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    if not ends.where("low <> high").isEmpty():
+        raise ValueError("unequal texts share a SHA-256 digest")
 
 
 def deduplicate(docs: DataFrame, *, batches: int = 3) -> DataFrame:
@@ -217,7 +218,7 @@ def keep_one(docs: DataFrame, *, batches: int = 3) -> DataFrame:
     same = (F.col("digest") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
     single = rows.join(stays.where("copies = 1"), same, "left_semi").select("row")
     # only rows equal in id and text need another look, to keep one of them
-    repeated = rows.join(stays.where("copies > 1"), same).groupBy("_digest", "_id").agg(F.min("row").alias("row")).select("row")
+    repeated = rows.join(stays.where("copies > 1"), same).groupBy("_digest", "_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return single.unionByName(repeated).select("row.*")
 
 

@@ -11,7 +11,7 @@ at blanks and tabs.  Everything is counted per language; a null language is ``un
 * Parts of a phrase are looked up by *composing* its queries with the transducers of their first words.
 
 An n-gram can only reach ``least`` if its parts do.  Bit tables of the frequent words and pairs, of at most
-``BITS`` bits, keep hopeless n-grams out of the shuffle.  They let a few through that the union drops; what
+``common.BITS`` bits, keep hopeless n-grams out of the shuffle.  They let a few through that the union drops; what
 they keep out cannot be a candidate, so counts are exact at every size.  Tables of more keys than bits let more through.
 
 Scores are exact integers of any size.  Null and empty texts have no words.  Repeated rows count as
@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import utf8
+from ridgeline.llm.common import BitTable, utf8
 from ridgeline.staging import stage
 
 _BREAK = 255  # no byte of UTF-8
 _FOLDED = bytes(_BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in bytes(range(256)).lower())
-#: Tokens of a shard, bits of a table at most, and the share of all words that a prefix range may have.
-SHARD, BITS, RANGES = 1 << 21, 1 << 28, 4096
+#: Tokens of a shard, and the number of prefix ranges that a word is spread over if all words were this one.
+SHARD, RANGES = 1 << 21, 4096
 _AUTOMATON = "lang string, head string, bucket int, words array<binary>, values array<binary>"
 
 
@@ -146,27 +146,6 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-class _Table:
-    """Bit table of keys: two bits of a 64-bit hash; a key that was put in is always found."""
-
-    def __init__(self, keys: DataFrame) -> None:
-        """``keys`` has a column ``h``; at most ``BITS`` bits come to the driver and the tasks."""
-        wanted = 16 * max(64, keys.count())
-        self.mask = min(1 << (wanted - 1).bit_length(), BITS) - 1
-        spots = F.array(F.col("h").bitwiseAND(self.mask), F.shiftrightunsigned("h", 32).bitwiseAND(self.mask))
-        bits = keys.select(F.explode(spots).alias("spot")).groupBy(F.shiftright("spot", 6).alias("at"))
-        found = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
-        self.cells = np.zeros(self.mask + 1 >> 6, np.uint64)
-        self.cells[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        def at(spot: np.ndarray) -> np.ndarray:
-            return (self.cells[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)
-
-        mask = np.uint64(self.mask)
-        return (at(hashes & mask) & at((hashes >> np.uint64(32)) & mask)).astype(bool)
-
-
 def _hashes(words: Iterable[bytes], seeds: Iterable[int]) -> np.ndarray:
     """What ``xxhash64`` gives in Spark when ``seeds`` are the hashes of the columns before."""
     return np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(words, seeds)], np.uint64)
@@ -176,7 +155,7 @@ def _start(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def _gram_rows(docs: DataFrame, size: int, known: _Table, pairs: _Table | None, parts: dict[tuple[str, str], int]) -> DataFrame:
+def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | None, parts: dict[tuple[str, str], int]) -> DataFrame:
     """Transducers of each shard's n-grams of ``size`` words, by first word and bucket."""
 
     def grams(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray]:
@@ -391,10 +370,10 @@ def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int
     limit = max(least, whole // RANGES)
     heavy = stage(words.where(F.col("f") > limit).select("lang", "word", F.ceil(F.col("f") / limit).cast("int").alias("parts")), "phrase-heavy")
     parts = {(r.lang, r.word): r.parts for r in heavy.collect()}  # fewer than RANGES words can be that frequent
-    known = _Table(words.select(F.xxhash64("lang", "word").alias("h")))
+    known = BitTable(words.select(F.xxhash64("lang", "word").alias("h")))
     pairs = stage(_union(_gram_rows(docs, 2, known, None, parts), 1, least), "phrase-pairs")
     flat2 = stage(_flat(pairs, 1), "phrase-two")
-    frequent = _Table(flat2.select(F.xxhash64("lang", "head", "rest").alias("h")))
+    frequent = BitTable(flat2.select(F.xxhash64("lang", "head", "rest").alias("h")))
     triples = stage(_union(_gram_rows(docs, 3, known, frequent, parts), 2, least), "phrase-triples")
     flat3 = stage(_flat(triples, 2), "phrase-three")
 

@@ -1,19 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-* Shingles: the distinct runs of ``size`` words, A-Z lower-cased; a shorter text is one shingle.
-* Candidates: texts that agree in all minima of a band of MinHash values.  At similarity 0.8 a pair shares
-  none of the 24 bands of 4 in 3 of a million cases, less above.  (SimHash would need 14 bits for
-  such pairs, and blocks of 64 / 15 bits shard nothing.)
-* Every link is verified: both texts' shingle sets are compared whole.  A bucket's texts are never all
-  paired at once.  Pivots are compared with the members of other classes and then leave the bucket:
-  members of its largest class while that finds links anywhere, then those of the smallest.  A bucket is
-  done when one class is left, so pairs go untested only where links connect them already.
-
-Null and blank texts are equal to each other.  Equal texts are one node; an empty table gives no class.
+"""Near copies by exact Jaccard similarity of word shingles, from BK-tree links and rare shingles.
+
+* Shingles: the distinct runs of ``size`` words, A-Z lower-cased; a shorter text is one shingle.  They are
+  64-bit hashes here, and a text is the sorted array of its hashes.
+* The SimHash operator's BK-trees give the first candidates: texts whose fingerprints differ in few bits.
+* A prefix filter gives all others.  Shingles have one global order, rare ones first.  Two texts of n and m shingles
+  at similarity s share at least s / (1 + s) * (n + m); so they share one among the first ``n - ceil(s n) + 1`` of each,
+  and at their first common one, at places i and j, ``min(n - i, m - j)`` is at least that.  Texts are filed under these
+  shingles with place and length.  The order comes from a sample of texts (of at most ``SAMPLE``, or one in
+  ``THIN`` where that is more); any order finds all pairs, a good one finds few others: a common line comes last and is no key.
+* Under a key a representative is compared with all members; members whose class differs go on, with four
+  times as many representatives in the next round.  A key is done when one class is left or when all that could be
+  the shorter text of a pair have been representatives.  Only classes at links matter, so pairs go
+  untested only where links connect them already.
+* Every link is verified on the whole arrays.  Each round is deleted when the next is written.
+
+Null and blank texts are one text.  Equal texts are one node; repeated rows and ids do not matter.  Very long texts
+are arrays of eight bytes a word.  An empty table gives no class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,121 +29,204 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bk_simhash import keep_smallest, text_digest
+from ridgeline.llm.bk_simhash import keep_smallest, link_shards, simhash, text_digest
 from ridgeline.llm.common import utf8
 from ridgeline.operators.components import components
-from ridgeline.staging import stage
+from ridgeline.staging import discard, new_path, stage, stage_at
 
-BANDS, EACH = 24, 4
-#: Pairs that pivots of the smallest classes may make in a bucket and round; at least one pivot is taken.
-ROUND_PAIRS = 100_000
+#: Texts in the sample that orders shingles, at most, unless one in THIN is more; shingles of the order that tasks get.
+SAMPLE, THIN, ORDERED = 16_384, 16, 1 << 21
+#: Nodes whose digests (32 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+FEW = 200_000
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: bytes, size: int) -> set[bytes]:
-    found = text.lower().split()  # bytes split on exactly the six ASCII blanks
-    return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
+class _Words(dict):
+    """Hashes of words, forgotten now and then so that they stay few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, 5)
+        return found
 
 
-def alike(a: set[bytes], b: set[bytes], percent: int) -> bool:
-    both = len(a & b)
+def shingle_hashes(text: bytes, size: int, words: _Words) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    found = text.lower().split()  # bytes split on exactly the six ASCII blanks
+    if len(found) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), 7)], np.uint64)
+    each = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    total = each[: len(each) - size + 1].copy()
+    for k in range(1, size):
+        total = total * _FACTOR + each[k : len(each) - size + 1 + k]
+    total = (total ^ (total >> np.uint64(32))) * _MIX
+    return np.unique(total ^ (total >> np.uint64(29)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _band_keys(found: set[bytes], factors: np.ndarray, masks: np.ndarray) -> list[int]:
-    """A signed key for each band."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    low = np.full(len(factors), 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        np.minimum(low, ((hashes[at : at + (1 << 12), None] ^ masks) * factors).min(axis=0), out=low)
-    keys = [xxhash.xxh64_intdigest(low[b * EACH : (b + 1) * EACH].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that several sampled texts have, sorted, and their classes of frequency."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), size, words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["key"])
+
+    thin = min(THIN, max(1, -(-docs.count() // SAMPLE)))
+    texts = docs.select(utf8(F.col("text")).alias("text")).where(F.crc32("text") % thin == 0)
+    counts = stage(texts.mapInArrow(task, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-order")
+    least, held = 2, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():  # one row for each count
+        held += r["keys"]
+        if held > ORDERED:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).orderBy("key").toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    ranks = np.minimum(255, 4 * np.log2(found.column("n").to_numpy().astype(float))).astype(np.uint8)
+    by_hash = np.argsort(keys)
+    return keys[by_hash], ranks[by_hash]
 
 
-def _marked(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """``doc_id, digest, n, bands``: the number of shingles and the keys of the bands."""
-    draw = np.random.default_rng(seed)
-    factors, masks = (draw.integers(0, 2**64, BANDS * EACH, np.uint64) for _ in range(2))
-    factors |= np.uint64(1)
+def _marked(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """``doc_id, digest, n, fp, keys``: number of shingles, fingerprint, and the first shingles in order."""
+    common, ranks = _order(docs, size)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for batch in batches:
-            sizes, bands = [], []
+            sizes, prints, keys = [], [], []
             for text in batch.column("text"):
-                found = shingles(text.as_py(), size)
+                text = text.as_py()
+                found = shingle_hashes(text, size, words)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    rank = np.where(common[at] == found, ranks[at], 0)
+                    ordered = found[np.argsort(rank, kind="stable")]
+                else:
+                    ordered = found
                 sizes.append(len(found))
-                bands.append(_band_keys(found, factors, masks))
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "bands"])
+                prints.append(simhash(text, size, seed))
+                keys.append(ordered[: len(found) - -(-percent * len(found) // 100) + 1].view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64())]
+            columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(task, "doc_id bigint, digest binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(task, "doc_id bigint, digest binary, n bigint, fp bigint, keys array<bigint>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts are alike."""
+def _arrays(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, hashes``: the shingle arrays of the texts with the digests ``node``."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), size, words).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    texts = docs.select(text_digest().alias("node"), utf8(F.col("text")).alias("text"))
+    wanted = texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node", "left_semi")
+    return wanted.mapInArrow(task, "node binary, hashes binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts are alike; only the arrays of ``b`` travel with the pairs."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
-                if a != last:
-                    last, held = a, shingles(x.as_py(), size)
-                keep.append(alike(held, shingles(y.as_py(), size), percent))
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                keep.append(alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("y"))
+    left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(task, "a binary, b binary")
 
 
-def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
+def _tree_pairs(marked: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: texts with one fingerprint and their first one, and the first ones of linked fingerprints."""
+    first = stage(marked.groupBy("fp").agg(F.min("digest").alias("a"), F.max("digest").alias("z")), "near-prints")
+    same = marked.join(first.where("a <> z"), "fp").select("a", F.col("digest").alias("b")).where("a <> b")
+    linked = link_shards(first.select("fp"), radius=radius)
+    ends = linked.join(first.select(F.col("fp").alias("a"), F.col("a").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("a").alias("_b")), "b")
+    return same.unionByName(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
+
+
+def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, digest, class`` for every row: texts that links of at least ``percent`` similarity connect."""
-    marked = stage(_marked(docs, size, seed), "near-bands")
-    nodes = marked.dropDuplicates(["digest"]).select(F.col("digest").alias("node"), "n", F.explode("bands").alias("bucket"))
-    shared = nodes.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    state = stage(nodes.join(shared, "bucket", "left_semi").withColumn("class", F.col("node")), "near-buckets")
-    involved = state.select(F.col("node").alias("digest")).distinct()
-    texts = docs.select(text_digest().alias("digest"), utf8(F.col("text")).alias("text")).join(involved, "digest", "left_semi")
-    texts = stage(texts.groupBy("digest").agg(F.min("text").alias("text")), "near-texts")
-
-    links, found, largest, turn = None, None, True, 0
+    spark = docs.sparkSession
+    marked = stage(_marked(docs, size, percent, seed), "near-marks")
+    rows = marked.select(F.col("digest").alias("node"), "n", F.posexplode("keys").alias("i", "key"))
+    # the shorter text of a pair has its key among the first of its shingles
+    rows = rows.withColumn("short", (100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("short").alias("any")).where("any and lo <> hi").select("key")
+    state = rows.join(shared, "key", "left_semi").withColumn("class", F.col("node"))
+    path = new_path(spark, "near-state")
+    state = stage_at(state, path)
+    trees = stage(_tree_pairs(marked, radius), "near-trees")
+    nodes = state.select("node").unionByName(trees.select(F.col("a").alias("node"))).unionByName(trees.select(F.col("b").alias("node")))
+    found_at = new_path(spark, "near-classes")
+    found = stage_at(nodes.distinct().withColumn("class", F.col("node")), found_at)
+    arrays = stage(_arrays(docs, found.select("node"), size), "near-arrays")
+
+    turn, most = 0, 1
     while True:
-        mixed = state.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-        state = stage(state.join(mixed, "bucket", "left_semi"), "near-state")
-        if state.isEmpty():
-            break
-        per_class = state.groupBy("bucket", "class").agg(F.count("*").alias("members"))
-        per_class = stage(per_class, "near-sizes")
-        if largest:
-            # any order serves; another one for each bucket and round spreads the pivots over the class
-            top = per_class.groupBy("bucket").agg(F.max(F.struct("members", "class")).alias("top")).select("bucket", F.col("top.class").alias("class"))
-            ranked, order, most = state.join(top, ["bucket", "class"], "left_semi"), [F.xxhash64("node", "bucket", F.lit(turn)), F.col("node")], 16
-            ranked = ranked.withColumn("all", F.lit(0).cast("bigint"))
-        else:
-            total = per_class.groupBy("bucket").agg(F.sum("members").alias("all"))
-            ranked = state.join(per_class, ["bucket", "class"]).join(total, "bucket")
-            order, most = [F.col("members"), F.col("class"), F.col("node")], 64
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("rank") <= most)
-        ranked = ranked.where((F.col("rank") == 1) | (F.col("rank") * F.col("all") <= ROUND_PAIRS))
-        pivots = stage(ranked.select("bucket", F.col("node").alias("_p"), F.col("n").alias("_m"), F.col("class").alias("_c")), "near-pivots")
-        near = F.least("n", "_m") * 100 >= F.greatest("n", "_m") * percent  # else the sizes forbid it
-        pairs = state.join(pivots, "bucket").where((F.col("class") != F.col("_c")) & near)
-        pairs = pairs.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
-        new = stage(_verified(pairs, texts, size, percent), "near-links")
-        used = (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_p"))
-        state = state.join(pivots.select(F.col("bucket").alias("_b"), "_p"), used, "left_anti")
-        if new.isEmpty():
-            largest = False
+        if turn == 0:
+            pairs, used = trees, None
         else:
-            links = new if links is None else links.unionByName(new)
-            found, largest = stage(components(links, key="node"), "near-classes"), True
-            state = state.drop("class").join(found, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+            open_ = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("short").alias("any"))
+            open_ = open_.where("any and lo <> hi").select("key")
+            before, path = path, new_path(spark, "near-state")
+            state = stage_at(state.join(open_, "key", "left_semi"), path)
+            discard(spark, before)
+            if state.isEmpty():
+                break
+            could = state.where("short")
+            if most == 1:
+                ranked = could.groupBy("key").agg(F.min(F.struct("node", "n", "i", "class")).alias("first")).select("key", "first.*")
+            else:
+                order = Window.partitionBy("key").orderBy("node")
+                ranked = could.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+            used_at = new_path(spark, "near-used")
+            used = stage_at(ranked.select("key", F.col("node").alias("_p"), F.col("n").alias("_m"), F.col("i").alias("_j"), F.col("class").alias("_c")), used_at)
+            near = F.least(F.col("n") - F.col("i"), F.col("_m") - F.col("_j")) * (100 + percent) >= percent * (F.col("n") + F.col("_m"))
+            pairs = state.join(used, "key").where((F.col("class") != F.col("_c")) & near)
+            pairs = pairs.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
+            most *= 4
+        links_at = new_path(spark, "near-links")
+        links = stage_at(_verified(pairs, arrays, percent), links_at)
+        new = None
+        if not links.isEmpty():
+            ends = links.join(found.select(F.col("node").alias("a"), F.col("class").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b")
+            new = stage(components(ends.select("ca", "cb"), key="class", ends=("ca", "cb")), "near-merged")
+            renamed = F.coalesce("component", "class").alias("class")
+            before, found_at = found_at, new_path(spark, "near-classes")
+            found = stage_at(found.join(new, "class", "left").select("node", renamed), found_at)
+            discard(spark, before)
+        if new is not None or used is not None:
+            next_ = state
+            if used is not None:
+                done = (F.col("key") == F.col("_k")) & (F.col("node") == F.col("_p"))
+                next_ = next_.join(used.select(F.col("key").alias("_k"), "_p"), done, "left_anti")
+            if new is not None:
+                next_ = next_.join(new, "class", "left").select("key", "node", "n", "i", "short", renamed)
+            before, path = path, new_path(spark, "near-state")
+            state = stage_at(next_.select("key", "node", "n", "i", "short", "class"), path)
+            discard(spark, before)
+        discard(spark, links_at)
+        if used is not None:
+            discard(spark, used_at)
         turn += 1
-    rows = marked.select("doc_id", "digest")
-    if found is None:
-        return rows.withColumn("class", F.col("digest"))
-    return rows.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("component", "digest").alias("class"))
+    named = marked.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
+    return named.select("doc_id", "digest", F.coalesce("class", "digest").alias("class"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

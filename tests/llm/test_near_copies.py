@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgeline.llm import bk_simhash, shingle_links
@@ -82,3 +83,49 @@ def test_classes_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in shingle_links.keep_one(docs).collect()) == sorted(set(low))
     assert shingle_links.keep_one(docs.where("false")).collect() == []
+
+
+def test_unlike_texts_with_a_common_line_make_few_pairs(spark, monkeypatch):
+    """Texts of 100 words that share 60 are no candidates: compared pairs grow no faster than the rows."""
+    asked = []
+    plain = shingle_links._verified
+
+    def counting(pairs, arrays, percent):
+        asked.append(pairs.count())
+        return plain(pairs, arrays, percent)
+
+    monkeypatch.setattr(shingle_links, "_verified", counting)
+    line, made = prose(60), []
+    for n in (150, 600):
+        asked.clear()
+        docs = spark.createDataFrame([(i, f"{prose(20)} {line} {prose(20)}", "a") for i in range(n)], SCHEMA)
+        assert shingle_links.keep_one(docs).count() == n
+        made.append(sum(asked))
+    assert made[0] <= 150 and made[1] <= 600
+
+
+def test_sizes_and_places_of_the_prefix_lose_no_pair(spark):
+    """Subsets and supersets right at the threshold, unsampled orders, and a family that needs several representatives."""
+    base = prose(120).split()
+    texts = [" ".join(base[a:b]) for a in range(0, 24, 3) for b in range(96, 121, 3)]
+    texts += [" ".join(base[:60] + base[60 + k :]) for k in range(0, 30, 2)]
+    sets = [grams(t) for t in texts]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = [x if v == y else v for v in low]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in shingle_links.keep_one(docs, percent=90).collect()) == sorted(set(low))
+
+
+def test_names_maps_and_long_texts(spark):
+    """Odd and clashing names, a MAP column on repeated rows, and a very long text, in both stages that choose a row."""
+    long = prose(60_000)
+    rows = [(3, long, {"a": 1}, "x"), (3, long, {"b": 2}, "x"), (4, long + " more", {}, "y"), (5, "one two", None, None), (5, "one two", None, None)]
+    schema = "doc_id bigint, text string, `my-col` map<string,int>, digest string"
+    docs = spark.createDataFrame(rows, schema).select("*", *(F.lit(1).alias(c) for c in ("class", "row", "keys", "n", "_id")))
+    for name, ids in (("exact_dedup", [3, 4, 5]), ("near_dedup", [3, 5])):
+        found = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        assert found.columns == docs.columns and sorted(r.doc_id for r in found.collect()) == ids, name

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from ridgeline.llm import phrase_automata
+from ridgeline.llm import common, phrase_automata
 
 RANDOM = random.Random(13)
 FIELDS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -89,6 +89,6 @@ def test_bit_table_never_loses_a_key(spark, monkeypatch):
     keys = spark.range(3000).select(F.lit("en").alias("lang"), F.concat(F.lit("k"), "id").alias("word"))
     own = [f"k{i}".encode() for i in range(3000)]
     for bits in (1 << 28, 1 << 12):
-        monkeypatch.setattr(phrase_automata, "BITS", bits)
-        held = phrase_automata._Table(keys.select(F.xxhash64("lang", "word").alias("h")))
+        monkeypatch.setattr(common, "BITS", bits)
+        held = common.BitTable(keys.select(F.xxhash64("lang", "word").alias("h")))
         assert held.holds(phrase_automata._hashes(own, [phrase_automata._start("en")] * 3000)).all()
