@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.operators import cmap
 from ridgeline.operators.components import components, lowest_reaching
@@ -40,6 +41,45 @@ def test_flood_equals_sequential_growth(spark, seed):
     assert got == sequential_flood(n, edges, seeds)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_flood_of_sparse_one_way_links(spark, seed):
+    """Trees, rings, long runs and dense kernels in one graph, so that every part of the contraction is used."""
+    rng = random.Random(100 + seed)
+    edges, n = [], 0
+    for _ in range(6):  # trees with runs
+        root, size = n, rng.randrange(2, 60)
+        edges += [(root + rng.randrange(max(0, i - rng.choice([1, 1, 1, 20])), i), root + i) for i in range(1, size)]
+        n += size
+    for _ in range(5):  # rings with tails
+        size = rng.randrange(2, 12)
+        edges += [(n + i, n + (i + 1) % size) for i in range(size)] + [(n + size - 1, n + size), (n + size, n + size + 1)]
+        n += size + 2
+    for _ in range(3):  # dense kernels
+        edges += [(n + rng.randrange(30), n + rng.randrange(30)) for _ in range(90)]
+        n += 30
+    edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 10)]
+    edges = [(u, v) for u, v in edges if u != v]
+    seeds = list(enumerate(rng.sample(range(n), n if seed % 2 else n // 3)))
+    ranks = {s: r for r, s in seeds}
+    nodes = table(spark, [(i, ranks.get(i)) for i in range(n)], "id bigint, rank bigint")
+    got = {r.id: r["rank"] for r in lowest_reaching(table(spark, edges, "u bigint, v bigint"), nodes).collect()}
+    assert got == sequential_flood(n, edges, seeds)
+
+
+@pytest.mark.parametrize("shape", ["up", "down", "mixed"])
+def test_long_one_way_chain(spark, shape):
+    """100,000 links one after the other, with labels that rise, fall, or are shuffled along the chain."""
+    n = 100_000
+    ranks = {"up": F.col("id"), "down": n - F.col("id"), "mixed": F.pmod(F.xxhash64("id"), F.lit(10**12))}[shape]
+    nodes = spark.range(n).select("id", ranks.alias("rank"))
+    edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = {r.id: r["rank"] for r in lowest_reaching(edges, nodes).collect()}
+    given, low = {r.id: r["rank"] for r in nodes.collect()}, 10**13
+    for i in range(n):
+        low = min(low, given[i])
+        assert got[i] == low
+
+
 def test_long_chain_components(spark):
     edges = [(i, i + 1) for i in range(200) if i != 120]
     got = {r.id: r.component for r in components(table(spark, edges, "a bigint, b bigint"), spark.range(210)).collect()}
