@@ -130,7 +130,35 @@ def segment_ball_overlap(t):
     return G.members(G.segment_balloverlap(t.ridge_in(), edges=t.ridge_knn(), thres=4.0))
 
 
-@query("segment_running_mean")
+RUNNING_MEAN = {
+    # both ends of the neighbour edges, and the edges that starts are compared along, both ways
+    "flat": f"""SELECT e.u, e.v, a.bx*b.bx+a.by*b.by+a.bz*b.bz AS bb FROM ridge_knn e JOIN ridge_in a ON a.ma_id = e.u JOIN ridge_in b ON b.ma_id = e.v
+      WHERE e.rank < 10 AND abs(a.theta - b.theta) < {RAD[10]}""",
+    "alike": f"SELECT u, v FROM flat WHERE bb > {COS[2]} UNION SELECT v, u FROM flat WHERE bb > {COS[2]}",
+    # a step starts regions if the last one labelled no ball, else every region grows by one ring
+    "grow": f"""
+      SELECT 0 AS step, ma_id, CAST(NULL AS BIGINT) AS seg, false AS fresh FROM ridge_in
+      UNION ALL
+      SELECT g.step + 1, g.ma_id, coalesce(g.seg, j.seg), j.seg IS NOT NULL
+      FROM grow g LEFT JOIN (
+        SELECT a.ma_id, a.ma_id + 1 AS seg FROM grow a
+        WHERE a.seg IS NULL AND NOT (SELECT bool_or(fresh) FROM grow)
+          AND NOT EXISTS (SELECT 1 FROM alike s JOIN grow b ON b.ma_id = s.v
+            WHERE s.u = a.ma_id AND b.seg IS NULL AND (md5(CAST(s.v AS VARCHAR)), s.v) < (md5(CAST(s.u AS VARCHAR)), s.u))
+        UNION ALL
+        SELECT f.v, min(m.seg) FROM flat f JOIN grow x ON x.ma_id = f.u JOIN grow y ON y.ma_id = f.v JOIN ridge_in b ON b.ma_id = f.v
+        JOIN (SELECT r.seg, sum(i.bx) AS mx, sum(i.by) AS my, sum(i.bz) AS mz FROM grow r JOIN ridge_in i ON i.ma_id = r.ma_id
+          WHERE r.seg IS NOT NULL GROUP BY r.seg) m ON m.seg = x.seg
+        WHERE y.seg IS NULL AND (SELECT bool_or(fresh) FROM grow)
+          AND (m.mx*b.bx+m.my*b.by+m.mz*b.bz)/sqrt(m.mx*m.mx+m.my*m.my+m.mz*m.mz) > {COS[2]}
+        GROUP BY f.v) j ON j.ma_id = g.ma_id
+      WHERE (SELECT bool_or(seg IS NULL) FROM grow)""",
+    "last_step": "SELECT ma_id, seg FROM grow WHERE step = (SELECT max(step) FROM grow)",
+    "kept": "SELECT ma_id, CASE WHEN count(*) OVER (PARTITION BY seg) >= 10 THEN seg ELSE 0 END AS seg FROM last_step",
+}
+
+
+@query("segment_running_mean", sql(DENSE.format("kept"), "ridge_knn", extra=RUNNING_MEAN))
 def segment_running_mean(t):
     return G.segment_running_mean(t.ridge_in(), edges=t.ridge_knn(), theta_deg=10.0)
 

@@ -1 +1,10 @@
+"""Operators on balls, sheets, clusters, maps and meshes.
 
+Task functions travel to the executors by value, so the package need not be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

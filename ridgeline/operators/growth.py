@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from ridgeline.functions.vec import Vec, acos_clamped
 from ridgeline.operators.components import lowest_reaching
 from ridgeline.operators.nearest import knn
-from ridgeline.staging import number_rows, stage
+from ridgeline.staging import discard, new_path, number_rows, stage, stage_at
 
 Predicate = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -192,9 +192,10 @@ def segment_running_mean(
 ) -> DataFrame:
     """Growth against the mean bisector of each region, in synchronous rounds.
 
-    A round of regions grows around the unlabelled balls whose id is the lowest among their
-    accepted neighbours; every frontier ball within ``deg`` of a region's mean joins the lowest
-    such region.  Regions start anew on what is left until nothing is.
+    Regions start at the free balls that come first among their accepted free neighbours in the order of a hash of
+    the id, so starts are spread evenly however ids run.  In a round every free ball next to a region
+    whose mean is within ``deg`` joins it, the one with the lowest label if there are several.  When no ball
+    joins, regions start anew on what is free until nothing is.
     """
     if edges is None:
         edges = stage(knn(atoms, k - 1), "edges")
@@ -202,38 +203,92 @@ def segment_running_mean(
     near = attach_ends(atoms, edges.where(F.col("rank") < k).select("u", "v"), ["bx", "by", "bz", "theta"])
     near = stage(near, "near")
     similar = near.where(accept(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"))).select("u", "v")
-    similar = stage(similar.unionByName(similar.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "similar")
+    similar = similar.unionByName(similar.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     flat = near.where(F.abs(F.col("u_theta") - F.col("v_theta")) < math.radians(theta_deg)) if theta_deg is not None else near
-    state = stage(atoms.select("ma_id", "bx", "by", "bz", F.lit(None).cast("bigint").alias("seg")), "round")
+    flat = stage(flat.select("u", "v"), "flat")
+    balls = stage(atoms.select("ma_id", "bx", "by", "bz"), "balls")
+    grown = _grow_by_means(balls, flat, similar, _cos(deg))
+    return relabel(stage(unmark_small(grown, mincount), "grown"))
+
+
+class _Increments:
+    """A table that grows by staged increments, which are merged every few additions."""
+
+    def __init__(self, empty: DataFrame, merge: Callable[[DataFrame], DataFrame], label: str, most: int = 8) -> None:
+        self.spark, self.merge, self.label, self.most = empty.sparkSession, merge, label, most
+        self.parts, self.paths = [empty], []
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > self.most:
+            path = new_path(self.spark, self.label)
+            whole = stage_at(self.now(), path)
+            self.close()
+            self.parts, self.paths = [whole], [path]
+
+    def now(self) -> DataFrame:
+        rows = self.parts[0]
+        for part in self.parts[1:]:
+            rows = rows.unionByName(part)
+        return self.merge(rows)
+
+    def close(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+
+def _grow_by_means(balls: DataFrame, flat: DataFrame, similar: DataFrame, least: float) -> DataFrame:
+    """``ma_id, seg`` of all balls.
+
+    Only what changed is written: the balls that joined, the sums they add to their regions, and the open pairs of a
+    free ball and a region next to it.
+    """
+    spark = balls.sparkSession
+    labels = _Increments(balls.select("ma_id", F.col("ma_id").alias("seg")).limit(0), lambda rows: rows, "joined")
+    free_at, links_at, seeded = None, None, 0
+    free, links = balls, similar
     while True:
-        free = state.where("seg IS NULL").select("ma_id")
+        before, free_at = free_at, new_path(spark, "free")
+        free = stage_at(free.join(labels.now().select("ma_id"), "ma_id", "left_anti") if seeded else free, free_at)
+        if before:
+            discard(spark, before)
         if free.isEmpty():
             break
-        # local minima of the free part start regions
-        inside = similar.join(free.select(F.col("ma_id").alias("u")), "u", "left_semi").join(free.select(F.col("ma_id").alias("v")), "v", "left_semi")
-        beaten = inside.where("v < u").select(F.col("u").alias("ma_id")).distinct()
-        seeds = free.join(beaten, "ma_id", "left_anti").select("ma_id", F.col("ma_id").alias("born"))
-        state = stage(
-            state.join(seeds, "ma_id", "left").select("ma_id", "bx", "by", "bz", F.coalesce("seg", F.col("born") + 1).alias("seg"), F.col("born").isNotNull().alias("fresh")),
-            "round",
-        )
-        while True:  # every round but the last labels another ball
-            taken = state.where("seg IS NOT NULL")
-            means = taken.groupBy("seg").agg(*(F.sum(f"b{a}").alias(f"m{a}") for a in "xyz"))
-            frontier = flat.join(taken.select(F.col("ma_id").alias("u"), "seg"), "u").join(
-                state.where("seg IS NULL").select(F.col("ma_id").alias("v")), "v", "left_semi"
-            ).join(means, "seg")
-            fits = Vec.of("m").unit().dot(Vec.of("v_b")) > _cos(deg)
-            joins = frontier.where(fits).groupBy(F.col("v").alias("ma_id")).agg(F.min("seg").alias("won"))
-            state = stage(
-                state.drop("fresh").join(joins, "ma_id", "left").select(
-                    "ma_id", "bx", "by", "bz", F.coalesce("seg", "won").alias("seg"), F.col("won").isNotNull().alias("fresh")
-                ),
-                "round",
-            )
-            if state.where("fresh").isEmpty():
+        u, v = (free.select(F.col("ma_id").alias(end)) for end in "uv")
+        before, links_at = links_at, new_path(spark, "links")
+        links = stage_at(links.join(u, "u", "left_semi").join(v, "v", "left_semi"), links_at)
+        if before:
+            discard(spark, before)
+        order = [F.struct(F.md5(F.col(end).cast("string")), F.col(end)) for end in "vu"]
+        beaten = links.where(order[0] < order[1]).select(F.col("u").alias("ma_id")).distinct()
+        fresh = free.join(beaten, "ma_id", "left_anti").withColumn("seg", F.col("ma_id") + 1)
+        fresh = stage(fresh, "joined")
+        seeded += 1
+        sums = _Increments(fresh.select("seg", "bx", "by", "bz").limit(0), _region_sums, "sums")
+        open_, open_at = None, None
+        while True:  # regions of earlier starts are next to nothing that fits, so only new ones grow
+            labels.add(fresh.select("ma_id", "seg"))
+            sums.add(fresh.select("seg", "bx", "by", "bz"))
+            reached = flat.join(fresh.select(F.col("ma_id").alias("u"), "seg"), "u").select(F.col("v").alias("ma_id"), "seg")
+            pairs = free.join(reached.distinct(), "ma_id")
+            if open_ is not None:
+                pairs = open_.unionByName(pairs).distinct()
+            before, open_at = open_at, new_path(spark, "open")
+            open_ = stage_at(pairs.join(labels.now().select("ma_id"), "ma_id", "left_anti"), open_at)
+            if before:
+                discard(spark, before)
+            means = sums.now().select("seg", *(F.col(f"b{a}").alias(f"m{a}") for a in "xyz"))
+            fits = open_.join(means, "seg").where(Vec.of("m").unit().dot(Vec.of("b")) > least)
+            fresh = stage(fits.groupBy("ma_id", "bx", "by", "bz").agg(F.min("seg").alias("seg")).select(free.columns + ["seg"]), "joined")
+            if fresh.isEmpty():
                 break
-    return relabel(stage(unmark_small(state.select("ma_id", "seg"), mincount), "grown"))
+        sums.close()
+        discard(spark, open_at)
+    return labels.now()
+
+
+def _region_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("seg").agg(*(F.sum(f"b{a}").alias(f"b{a}") for a in "xyz"))
 
 
 def unsegmented_report(atoms: DataFrame, labels: DataFrame, edges: DataFrame, *, k: int = 10) -> DataFrame:

@@ -1,252 +1,31 @@
-"""Exact nearest-neighbour joins by branch and bound over octal cell paths.
+"""Exact nearest-neighbour joins; the search itself is in ``regions``.
 
-Every item (point or triangle) gets an octal path: digit i names the octant it falls in at
-depth i of a grid over the data.  Prefixes of the paths are the nodes of a tree; a node is
-split while it holds more than ``leaf_size`` items, so cells follow the local density and no
-cell is ever large.  (query node, candidate node) pairs start at the roots and descend level
-by level.  A pair survives when the boxes are closer than the radius that is certain to hold
-enough candidates; the boxes are the tight boxes of the items, so the result is exact.  Pairs
-per query node stay few at every level, whatever the density, and no step joins all
-members of a dense cell with each other.
+Copies at one location are reduced to the ``k + 1`` lowest ids before anything is joined, which is exact because
+ties go to the lower id, and a location is asked for once however many points lie there.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.regions import nearest
 from ridgeline.staging import stage
 
-WORD = 21  # octal digits that fit a signed 64-bit number
-DEEPEST = 2 * WORD
-BOX = [f"{end}{axis}" for end in ("lo", "hi") for axis in "xyz"]
-
-
-@dataclass(frozen=True)
-class Tree:
-    nodes: DataFrame  # key, up (parent key), level, weight, lo*, hi*
-    items: DataFrame  # item, leaf, weight, lo*, hi* and the payload columns
-    per_level: dict[int, tuple[int, int]]  # level -> (nodes, leaves among them)
-
-    @property
-    def depth(self) -> int:
-        return max(level for level, (_, leaves) in self.per_level.items() if leaves)
-
-    @property
-    def first_leaf(self) -> int:
-        return min(level for level, (_, leaves) in self.per_level.items() if leaves)
-
-    def frontier_size(self, level: int) -> int:
-        """Nodes that cover all items at ``level``: those of the level and the leaves above."""
-        return self.per_level.get(level, (0, 0))[0] + sum(leaves for at, (_, leaves) in self.per_level.items() if at < level)
-
-    def frontier(self, level: int) -> DataFrame:
-        return self.nodes.where(f"level = {level} OR (leaf AND level < {level})")
-
-
-def _octal_path(x: str, y: str, z: str) -> str:
-    """42 octal digits of three 42-bit cell numbers; digit i interleaves the i-th bits."""
-    low = (1 << WORD) - 1
-
-    def word(c: str, high: bool) -> str:
-        bits = f"shiftright({c}, {WORD})" if high else f"({c} & {low}L)"
-        return f"cast(conv(bin({bits}), 8, 10) AS bigint)"  # bits read as octal digits
-
-    words = [f"cast({word(x, h)} * 4 + {word(y, h)} * 2 + {word(z, h)} AS string)" for h in (True, False)]
-    return "concat(" + ", ".join(f"lpad(conv({w}, 10, 8), {WORD}, '0')" for w in words) + ")"
-
-
-def plant(items: DataFrame, frame: tuple[list[float], float], leaf_size: int, count: int) -> Tree:
-    """Grow the tree over ``items`` (``item, weight, lo*, hi*``) inside the cube ``frame``."""
-    low, side = frame
-    top = (1 << DEEPEST) - 1
-    cells = [
-        f"cast(least(greatest(floor((((lo{a} + hi{a}) / 2) - {lo!r}D) / {side!r}D * {float(top)!r}D), 0L), {top}L) AS bigint)"
-        for a, lo in zip("xyz", low)
-    ]
-    placed = stage(items.withColumn("path", F.expr(_octal_path(*cells))), "placed")
-
-    boxes = [F.expr(f"{'min' if b.startswith('lo') else 'max'}({b})").alias(b) for b in BOX]
-    depth = min(DEEPEST, 1 + math.ceil(math.log(max(count / leaf_size, 1.0), 4)))
-    while True:
-        cell = F.substring("path", 1, depth)
-        fullest = placed.groupBy(cell.alias("cell")).count().agg(F.max("count")).first()[0] or 0
-        if fullest <= leaf_size or depth == DEEPEST:
-            break
-        depth = min(DEEPEST, depth + 4)
-
-    bottom = placed.groupBy(F.substring("path", 1, depth).alias("cell")).agg(
-        F.count("*").alias("held"), F.sum("weight").alias("weight"), *boxes
-    )
-    levels = bottom.withColumn("level", F.expr(f"explode(sequence(0, {depth}))")).withColumn("key", F.expr("substring(cell, 1, level)"))
-    pyramid = stage(
-        levels.groupBy("level", "key").agg(F.sum("held").alias("held"), F.sum("weight").alias("weight"), *boxes)
-        .withColumn("up", F.expr("substring(key, 1, level - 1)")),
-        "pyramid",
-    )
-    split = pyramid.where(f"held > {leaf_size} AND level < {depth}").selectExpr("key AS up", "level + 1 AS level")
-    roots = pyramid.where("level = 0")
-    nodes = roots.unionByName(pyramid.where("level > 0").join(split, ["up", "level"], "left_semi"))
-    nodes = stage(nodes.withColumn("leaf", F.expr(f"held <= {leaf_size} OR level = {depth}")), "nodes")
-    per_level = {r.level: (r.n, r.leaves) for r in nodes.groupBy("level").agg(F.count("*").alias("n"), F.expr("count_if(leaf)").alias("leaves")).collect()}
-
-    leaves = nodes.where("leaf").select("key", "level")
-    paths = placed.selectExpr(f"substring(path, 1, {depth}) AS cell").distinct()
-    home = (
-        paths.withColumn("level", F.expr(f"explode(sequence(0, {depth}))")).withColumn("key", F.expr("substring(cell, 1, level)"))
-        .join(leaves, ["key", "level"]).selectExpr("cell", "key AS leaf", "level AS leaf_level")
-    )
-    housed = placed.withColumn("cell", F.expr(f"substring(path, 1, {depth})")).join(home, "cell").drop("cell", "path")
-    return Tree(nodes, stage(housed, "housed"), per_level or {0: (0, 1)})
-
-
-# Squared smallest and largest distance between the boxes of a pair.
-NEAR2 = " + ".join(f"pow(greatest(0D, c_lo{a} - q_hi{a}, q_lo{a} - c_hi{a}), 2)" for a in "xyz")
-FAR2 = " + ".join(f"pow(greatest(c_hi{a} - q_lo{a}, q_hi{a} - c_lo{a}), 2)" for a in "xyz")
-
-
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.toDF(*(f"{prefix}{c}" for c in df.columns))
-
-
-def _descend(pairs: DataFrame, kids: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    """Replace one side of each pair by its children; childless nodes stay.
 
-    Children farther than the radius inherited from the parents are left out at once.
-    """
-    joined = pairs.join(_prefixed(kids, "n_"), F.expr(f"{prefix}key = n_up"), "left")
-    moved = joined.selectExpr(
-        *(c for c in pairs.columns if c not in columns),
-        *(f"coalesce(n_{c[len(prefix):]}, {c}) AS {c}" for c in columns),
-    )
-    return moved.where(f"bound2 IS NULL OR {NEAR2} <= bound2")
-
-
-def _prune(pairs: DataFrame, need: int) -> DataFrame:
-    """Per query keep the candidate nodes that can hold one of its ``need`` nearest."""
-    kept = [c for c in pairs.columns if c != "bound2"]
-    seen = pairs.selectExpr(*kept, f"{NEAR2} AS near2", f"{FAR2} AS far2").withColumn(
-        "before", F.expr("sum(c_weight) OVER (PARTITION BY q_key ORDER BY far2, c_key) - c_weight")
-    )
-    # a hair of slack: bounds and item distances round differently
-    bound = f"min(CASE WHEN before + c_weight >= {need} THEN far2 END) OVER (PARTITION BY q_key) * (1 + 1e-9D)"
-    return seen.withColumn("bound2", F.expr(bound)).where("bound2 IS NULL OR near2 <= bound2")
-
-
-START = 64  # nodes per side at the start of a search
-CROWD = 256  # candidate nodes beyond which a query leaf goes on as single points
-
-
-def candidate_leaves(queries: Tree, items: Tree, need: int) -> DataFrame:
-    """Pairs of a query leaf (or single query point, ``q_leaf`` false) and a candidate leaf."""
-    points = queries.items.selectExpr("concat('#', item) AS key", "leaf AS up", "false AS leaf", *BOX)
-    q_nodes = queries.nodes.select("key", "up", "level", "leaf", *BOX)
-    c_nodes = items.nodes.select("key", "up", "level", "leaf", "weight", *BOX)
-    q_cols = [f"q_{c}" for c in ["key", "leaf", *BOX]]
-    c_cols = [f"c_{c}" for c in ["key", "leaf", "weight", *BOX]]
-    state = [*q_cols, *c_cols, "bound2"]
-    # The first levels hold few nodes: start from the deepest level where both sides have at
-    # most START of them, as lists on a single row.
-    last = max(queries.depth, items.depth)
-    top = max(level for level in range(last + 1) if max(queries.frontier_size(level), items.frontier_size(level)) <= START)
-    q_top = _prefixed(queries.frontier(top).select("key", "leaf", *BOX), "q_").agg(F.expr(f"collect_list(struct({', '.join(q_cols)}))").alias("q"), F.lit(1).alias("one"))
-    c_top = _prefixed(items.frontier(top).select("key", "leaf", "weight", *BOX), "c_").agg(F.expr(f"collect_list(struct({', '.join(c_cols)}))").alias("c"), F.lit(1).alias("one"))
-    pairs = q_top.join(c_top, "one").selectExpr("explode(q) AS q", "c").selectExpr("q.*", "explode(c) AS c").selectExpr("*", "c.*").drop("c")
-    pairs = _prune(pairs.withColumn("bound2", F.lit(None).cast("double")).select(state), need).select(state)
-
-    finished: list[DataFrame] = []
-    for level in range(top + 1, last + 1):
-        pairs = _descend(pairs, q_nodes.where(f"level = {level}"), "q_", q_cols)
-        pairs = _descend(pairs, c_nodes.where(f"level = {level}"), "c_", c_cols)
-        pairs = _prune(pairs, need)
-        if level == last:
-            break
-        if level >= min(queries.first_leaf, items.first_leaf) + 1 or (level - top) % 4 == 0:
-            done = "min((q_leaf OR q_key LIKE '#%') AND c_leaf) OVER (PARTITION BY q_key)"
-            crowded = f"q_leaf AND count(*) OVER (PARTITION BY q_key) > {CROWD}"
-            pairs = stage(pairs.selectExpr(*state, f"{done} AS _done", f"{crowded} AS _crowded"), "pairs")
-            finished.append(pairs.where("_done").select(state))
-            busy = pairs.where("NOT _done")
-            crowd = busy.where("_crowded")
-            if crowd.isEmpty():
-                pairs = busy.select(state)
-            else:
-                single = _prune(_descend(crowd.select(state), points, "q_", q_cols), need)
-                pairs = busy.where("NOT _crowded").select(state).unionByName(single.select(state))
-        else:
-            pairs = pairs.select(state)
-    result = pairs.select(state)
-    for part in finished:
-        result = result.unionByName(part)
-    return result
-
-
-def closest(
-    queries: Tree, items: Tree, need: int, distance2: Callable[[DataFrame], DataFrame], order: str, payload: list[str], q_payload: list[str]
-) -> DataFrame:
-    """The ``need`` nearest item rows (``payload``) of every query item (``q_key``, ``q_payload``).
-
-    ``distance2`` adds ``d2`` (and may add more) to rows carrying both payloads; ``order`` ranks
-    them.  Payloads and order are SQL.
-    """
-    rows = queries.items.selectExpr("item", "leaf AS home", *(f"{b} AS i_{b}" for b in BOX))
-    kept = ["c_key", "c_weight", "bound2", *(f"c_{b}" for b in BOX)]
-    pairs = candidate_leaves(queries, items, need).select("q_key", "q_leaf", *kept)
-    by_leaf = pairs.where("q_leaf").join(rows, F.expr("q_key = home"))
-    by_point = pairs.where("NOT q_leaf").join(rows, F.expr("cast(substring(q_key, 2) AS bigint) = item"))
-    single = by_leaf.unionByName(by_point).selectExpr("item AS q_key", *kept, *(f"i_{b} AS q_{b}" for b in BOX))
-    pairs = _prune(single.where(f"bound2 IS NULL OR {NEAR2} <= bound2"), need)
-    pairs = stage(pairs.select("q_key", "c_key", "near2", "bound2", "before"), "leaves")
-    q_rows = queries.items.selectExpr("item AS q_key", *q_payload)
-    c_rows = items.items.selectExpr("leaf AS c_key", *payload)
-
-    # The leaves that made the bound give a sharp one: the need-th distance within them.
-    first = pairs.where(f"before < {need}").select("q_key", "c_key")
-    tried = distance2(first.join(q_rows, "q_key").join(c_rows, "c_key")).select("q_key", "d2")
-    nth = tried.withColumn("_n", F.expr("row_number() OVER (PARTITION BY q_key ORDER BY d2)")).where(f"_n <= {need}")
-    sharp = nth.groupBy("q_key").agg(F.expr(f"CASE WHEN count(*) = {need} THEN max(d2) END").alias("sharp2"))
-    # relative slack, so that no unit of length matters
-    limit = F.expr("coalesce(least(sharp2 * (1 + 1e-9D), bound2), double('infinity'))")
-    near = pairs.join(sharp, "q_key", "left").withColumn("_limit", limit).where("near2 <= _limit")
-    near = near.select("q_key", "c_key", "_limit").join(q_rows, "q_key").join(c_rows, "c_key")
-    hits = distance2(near).where("d2 <= _limit")
-    return hits.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY q_key ORDER BY {order})")).where(f"place <= {need}")
-
-
-def frame_of(*tables: DataFrame) -> tuple[list[float], float, list[int]]:
-    """Common cube (low corner, side) of several item tables, and their sizes."""
-    rows = [t.agg(F.count("*"), *(F.min(b) for b in BOX[:3]), *(F.max(b) for b in BOX[3:])).first() for t in tables]
-    filled = [r for r in rows if r[0]] or [(0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)]
-    low = [min(r[1 + i] for r in filled) for i in range(3)]
-    high = [max(r[4 + i] for r in filled) for i in range(3)]
-    side = max(h - lo for lo, h in zip(low, high)) or 1.0
-    return low, side, [r[0] for r in rows]
-
-
-def _places(points: DataFrame, key: str, prefix: str, keep: int) -> DataFrame:
-    """Distinct locations with their ``keep`` lowest ids: copies beyond those can never be
-    among the nearest of any query, because ties go to the lower id."""
+def places(points: DataFrame, key: str, prefix: str, keep: int) -> DataFrame:
+    """``id, xs, ids``: distinct locations with their ``keep`` lowest ids; ``id`` is the lowest.  Missing and NaN
+    coordinates are left out."""
     at = points.selectExpr(f"{key} AS id", *(f"cast({prefix}{a} AS double) + 0D AS {a}" for a in "xyz"))
     at = at.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in "xyz"))
     low = at.withColumn("_n", F.expr("row_number() OVER (PARTITION BY x, y, z ORDER BY id)")).where(f"_n <= {keep}")
     held = low.groupBy("x", "y", "z").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return held.selectExpr(
-        "ids[0] AS item", "cast(size(ids) AS bigint) AS weight", "ids",
-        *(f"{a} AS lo{a}" for a in "xyz"), *(f"{a} AS hi{a}" for a in "xyz"),
-    )
-
-
-def point_distance2(df: DataFrame) -> DataFrame:
-    return df.withColumn("d2", F.expr(" + ".join(f"(q{a} - c{a}) * (q{a} - c{a})" for a in "xyz")))
+    return held.selectExpr("ids[0] AS id", "array(x, y, z) AS xs", "ids")
 
 
 def knn(
     queries: DataFrame, k: int, *, key: str = "ma_id", prefix: str = "c",
-    points: DataFrame | None = None, points_key: str = "ma_id", points_prefix: str = "c", leaf_size: int | None = None,
+    points: DataFrame | None = None, points_key: str = "ma_id", points_prefix: str = "c",
 ) -> DataFrame:
     """Exact ``k`` nearest neighbours: ``u, v, rank, d2``, ordered by (d2, id).
 
@@ -254,25 +33,13 @@ def knn(
     """
     itself = points is None
     need = k + 1 if itself else k
-    size = leaf_size or max(32, 2 * need)
-    q_items = stage(_places(queries, key, prefix, need if itself else 1), "places")
-    c_items = q_items if itself else stage(_places(points, points_key, points_prefix, need), "places")
-    if itself:
-        low, side, (n,) = frame_of(q_items)
-        q_tree = c_tree = plant(q_items, (low, side), size, n)
-    else:
-        low, side, (nq, nc) = frame_of(q_items, c_items)
-        q_tree, c_tree = plant(q_items, (low, side), size, nq), plant(c_items, (low, side), size, nc)
-
-    here = [f"lo{a} AS q{a}" for a in "xyz"]
-    there = ["explode(ids) AS v", *(f"lo{a} AS c{a}" for a in "xyz")]
-    tie = "d2, v"  # equal distances go to the lower id
-    found = closest(q_tree, c_tree, need, point_distance2, tie, there, here)
-    lists = found.groupBy("q_key").agg(
-        F.expr("sort_array(collect_list(struct(place, v, d2)))").alias("l"), *(F.expr(f"first(q{a})").alias(f"q{a}") for a in "xyz")
-    )
-    asked = queries.selectExpr(f"{key} AS u", *(f"cast({prefix}{a} AS double) + 0D AS q{a}" for a in "xyz"))
-    rows = asked.join(lists, ["qx", "qy", "qz"])
+    asked = stage(places(queries, key, prefix, need if itself else 1), "places")
+    held = asked if itself else places(points, points_key, points_prefix, need)
+    items = stage(held.select(F.explode("ids").alias("id"), "xs"), "points")
+    lists = nearest(asked.select("id", "xs"), items, need)
+    at = [f"xs[{i}] AS q{a}" for i, a in enumerate("xyz")]
+    rows = queries.selectExpr(f"{key} AS u", *(f"cast({prefix}{a} AS double) + 0D AS q{a}" for a in "xyz"))
+    rows = rows.join(lists.selectExpr("found", *at), ["qx", "qy", "qz"])
     # a self join asked for one more; whether or not the point is listed itself, k remain
-    others = f"slice(filter(l, e -> e.v <> u), 1, {k})" if itself else "l"
-    return rows.selectExpr("u", f"posexplode({others}) AS (pos, e)").selectExpr("u", "e.v AS v", "pos + 1 AS rank", "e.d2 AS d2")
+    others = f"slice(filter(found, e -> e.id <> u), 1, {k})" if itself else "found"
+    return rows.selectExpr("u", f"posexplode({others}) AS (pos, e)").selectExpr("u", "e.id AS v", "pos + 1 AS rank", "e.d2 AS d2")

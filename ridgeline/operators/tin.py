@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.shapes import circumcentre_xy, double_area_xy, inside_xy, z_on_triangle
-from ridgeline.functions.vec import Vec, put
-from ridgeline.operators.nearest import _places, closest, frame_of, plant
+from ridgeline.functions.vec import Vec
+from ridgeline.operators.nearest import places
+from ridgeline.operators.regions import Kind, nearest
 from ridgeline.staging import stage
 
 CORNERS = "abc"
@@ -192,51 +197,78 @@ def simplify_candidates(vertex: DataFrame, face: DataFrame, *, threshold: float,
 
 # --- nearest location on a mesh ------------------------------------------------------
 
-def _dot(*pairs: tuple[str, str]) -> str:
-    return "(" + " + ".join(f"({p}) * ({q})" for p, q in pairs) + ")"
+def _triangle_boxes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    corners_ = t.reshape(-1, 3, 3)
+    return corners_.min(axis=1), corners_.max(axis=1)
 
 
-def _triangle_items(triangles: DataFrame) -> DataFrame:
-    """Search items with boxes, edges ``e0..e2``, normal ``n`` and the inward edge normals ``m0..m2``."""
-    box = [f"least(a{x}, b{x}, c{x}) AS lo{x}" for x in "xyz"] + [f"greatest(a{x}, b{x}, c{x}) AS hi{x}" for x in "xyz"]
-    items = triangles.selectExpr("f_id AS item", "1L AS weight", *box, *(f"{n}{x} AS t{i}{x}" for i, n in enumerate(CORNERS) for x in "xyz"))
-    t, e, n = [Vec.of(f"t{i}") for i in range(3)], [Vec.of(f"e{i}") for i in range(3)], Vec.of("n")
-    for i in range(3):
-        items = put(items, f"e{i}", t[(i + 1) % 3] - t[i])
-    items = put(items, "n", e[0].cross(e[1])).withColumn("nn", n.abs2())
+def _nearest_locations(q: np.ndarray, t: np.ndarray, best: bool = False) -> np.ndarray:
+    """Squared distances of all points ``q`` to all triangles ``t`` (nine numbers each).
+
+    The location is the foot of the perpendicular where it falls inside, else the best point of a side.
+    With ``best`` points and triangles go in pairs and the locations themselves are returned.
+    """
+    points = [q[:, a] if best else q[:, None, a] for a in range(3)]
+    corner = [[t[:, 3 * i + a] for a in range(3)] for i in range(3)]
+    side = [[corner[(i + 1) % 3][a] - corner[i][a] for a in range(3)] for i in range(3)]
+
+    def cross(u, v):
+        return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+    def dot(u, v):
+        return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+    normal = cross(side[0], side[1])
+    area = dot(normal, normal)
+    away = [[points[a] - corner[i][a] for a in range(3)] for i in range(3)]
+    inside = (area > 0) & (dot(away[0], cross(normal, side[0])) >= 0)
+    for i in (1, 2):
+        inside = inside & (dot(away[i], cross(normal, side[i])) >= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        height = dot(away[0], normal) / area
+    spots = [[points[a] - normal[a] * height for a in range(3)]]
     for i in range(3):
-        items = put(items, f"m{i}", n.cross(e[i]))
-    return items
+        length = dot(side[i], side[i])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(length > 0, np.clip(dot(away[i], side[i]) / length, 0.0, 1.0), 0.0)
+        spots.append([corner[i][a] + side[i][a] * share for a in range(3)])
+    gaps = []
+    for spot in spots:
+        gap = [points[a] - spot[a] for a in range(3)]
+        gaps.append(dot(gap, gap))
+    gaps[0] = np.where(inside, gaps[0], np.inf)
+    if not best:
+        return np.minimum(np.minimum(gaps[0], gaps[1]), np.minimum(gaps[2], gaps[3]))
+    which = np.argmin(np.stack(gaps), axis=0)
+    every = np.stack([np.stack(spot, axis=1) for spot in spots])
+    return every[which, np.arange(len(q))]
 
 
-def _with_nearest(df: DataFrame) -> DataFrame:
-    """Rows ``f*, d2`` for the location of a triangle nearest to point ``q``: the foot of the
-    perpendicular where it falls inside, and the best point of each side."""
-    height = f"({_dot(*((f'q{x} - t0{x}', f'n{x}') for x in 'xyz'))} / nn)"
-    inside = " AND ".join(f"{_dot(*((f'q{x} - t{i}{x}', f'm{i}{x}') for x in 'xyz'))} >= 0" for i in range(3))
-    found = [f"CASE WHEN nn > 0 AND {inside} THEN struct({', '.join(f'q{x} - n{x} * {height} AS f{x}' for x in 'xyz')}) END"]
-    for i in range(3):
-        along = _dot(*((f"q{x} - t{i}{x}", f"e{i}{x}") for x in "xyz"))
-        length = _dot(*((f"e{i}{x}", f"e{i}{x}") for x in "xyz"))
-        share = f"coalesce(least(1D, greatest(0D, try_divide({along}, {length}))), 0D)"
-        found.append(f"struct({', '.join(f't{i}{x} + e{i}{x} * {share} AS f{x}' for x in 'xyz')})")
-    rows = df.selectExpr("*", f"explode(array_compact(array({', '.join(found)}))) AS _at")
-    gap = " + ".join(f"(q{x} - _at.f{x}) * (q{x} - _at.f{x})" for x in "xyz")
-    return rows.selectExpr(*df.columns, *(f"_at.f{x} AS f{x}" for x in "xyz"), f"{gap} AS d2")
+TRIANGLES = Kind(9, _triangle_boxes, _nearest_locations)
 
 
 def nearest_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id", prefix: str = "") -> DataFrame:
-    """``key, f_id, fx, fy, fz, d2``: exact closest mesh location of every point."""
-    items = stage(_triangle_items(corners(face, vertex)), "triangles")
-    places = stage(_places(points, key, prefix, 1), "places")
-    low, side, (n_points, n_faces) = frame_of(places, items)
-    q_tree, t_tree = plant(places, (low, side), 32, n_points), plant(items, (low, side), 32, n_faces)
-    here = [f"lo{x} AS q{x}" for x in "xyz"]
-    there = ["item AS f_id", "nn", *(f"{v}{x}" for v in ("t0", "t1", "t2", "e0", "e1", "e2", "n", "m0", "m1", "m2") for x in "xyz")]
-    found = closest(q_tree, t_tree, 1, _with_nearest, "d2, f_id", there, here)
-    asked = points.selectExpr(key, *(f"cast({prefix}{x} AS double) + 0D AS q{x}" for x in "xyz"))
-    found = found.select("qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2")
-    return asked.join(found, ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")
+    """``key, f_id, fx, fy, fz, d2``: exact closest mesh location of every point.
+
+    Locations are compared by distance alone; the location itself is worked out once for each point, for the winner.
+    """
+    numbers = F.array(*(F.col(f"{n}{x}").cast("double") for n in CORNERS for x in "xyz"))
+    items = stage(corners(face, vertex).select(F.col("f_id").alias("id"), numbers.alias("xs")), "triangles")
+    asked = stage(places(points, key, prefix, 1).select("id", "xs"), "places")
+    found = nearest(asked, items, 1, TRIANGLES).where("size(found) > 0")
+    found = found.select("xs", F.col("found")[0]["d2"].alias("d2"), F.col("found")[0]["id"].alias("id"))
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("xs", 3), ("t", 9))]
+            spot = _nearest_locations(*at, best=True)
+            columns = [pa.array(at[0][:, a]) for a in range(3)] + [batch.column("f_id")] + [pa.array(spot[:, a]) for a in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("d2")], ["qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2"])
+
+    won = found.join(items.select("id", F.col("xs").alias("t")), "id").select("xs", F.col("id").alias("f_id"), "t", "d2")
+    feet = won.mapInArrow(task, "qx double, qy double, qz double, f_id bigint, fx double, fy double, fz double, d2 double")
+    rows = points.selectExpr(key, *(f"cast({prefix}{x} AS double) + 0D AS q{x}" for x in "xyz"))
+    return rows.join(feet, ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")
 
 
 def rms_to_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:

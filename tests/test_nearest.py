@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from ridgeline.operators import regions
 from ridgeline.operators.nearest import knn
 
 
@@ -31,8 +32,11 @@ def clouds():
     return {"even": even, "skewed": np.round(skewed, 9)}
 
 
+@pytest.mark.parametrize("size", [4096, 40])
 @pytest.mark.parametrize("name", ["even", "skewed"])
-def test_self_join_is_exact(spark, name):
+def test_self_join_is_exact(spark, monkeypatch, name, size):
+    """Also with many small regions, so that most queries are asked in several."""
+    monkeypatch.setattr(regions, "SIZE", size)
     xyz = clouds()[name]
     got = lists(knn(frame(spark, xyz), 9))
     expected = brute(xyz, xyz, 9, True)
@@ -46,7 +50,11 @@ def test_order_does_not_depend_on_the_unit(spark, unit):
     assert [got[i] for i in range(len(xyz))] == brute(xyz, xyz, 5, True)
 
 
-def test_two_tables(spark):
+@pytest.mark.parametrize(("size", "asked"), [(4096, 1 << 16), (20, 7)])
+def test_two_tables(spark, monkeypatch, size, asked):
+    """Queries far from all points and regions with fewer points than neighbours; many queries for a region."""
+    monkeypatch.setattr(regions, "SIZE", size)
+    monkeypatch.setattr(regions, "ASKED", asked)
     rng = np.random.default_rng(5)
     queries, points = rng.normal(size=(60, 3)) * 3, rng.normal(size=(300, 3))
     got = lists(knn(frame(spark, queries, "s_id", "p"), 4, key="s_id", prefix="p", points=frame(spark, points)))
