@@ -3,12 +3,12 @@
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line breaks, and pieces into words
 at blanks and tabs.  Everything is counted per language; a null language is ``und``.
 
-* A task builds *count transducers* from the sorted n-grams of a shard of tokens: one for each first
-  word, whose paths are the words that follow and whose last arcs carry counts.  States are closed in
-  sorted order and equal ones are stored once.
-* Transducers of one *prefix range* (a first word, cut into buckets where it is frequent) meet in a
-  task, which sums weights and keeps paths of at least ``least`` occurrences.
-* Parts of a phrase are looked up by *composing* its queries with the transducers of their first words.
+* A task builds *count transducers* from the sorted n-grams of a shard of tokens: one for each *prefix
+  range*, whose paths are n-grams and whose last arcs carry counts.  States are closed in
+  sorted order and equal ones are stored once.  A range holds first words by their hash; a frequent first word is spread
+  over several ranges by the words that follow.  Ranges follow the number of tokens, and each row holds an n-gram at least.
+* Transducers of one range meet in a task, which sums weights and keeps paths of at least ``least`` occurrences.
+* Parts of a phrase are looked up by *composing* them with the transducer of their prefix range.
 
 An n-gram can only reach ``least`` if its parts do.  Bit tables of the frequent words and pairs, of at most
 ``common.BITS`` bits, keep hopeless n-grams out of the shuffle.  They let a few through that the union drops; what
@@ -21,6 +21,7 @@ texts are one list of words in memory at a time.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ from ridgeline.staging import stage
 
 _BREAK = 255  # no byte of UTF-8
 _FOLDED = bytes(_BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in bytes(range(256)).lower())
-#: Tokens of a shard, and the number of prefix ranges that a word is spread over if all words were this one.
-SHARD, RANGES = 1 << 21, 4096
-_AUTOMATON = "lang string, head string, bucket int, words array<binary>, values array<binary>"
+#: Tokens of a shard, tokens whose n-grams make a prefix range, and the number of words that may be cut into several ranges.
+SHARD, RANGE, HEAVY = 1 << 21, 1 << 18, 1 << 16
+_AUTOMATON = "lang string, part bigint, words array<binary>, values array<binary>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -45,7 +46,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Builder:
-    """Acyclic transducer of the paths below one prefix, from runs in sorted order.
+    """Acyclic transducer of word sequences of one length, from runs in sorted order.
 
     A state is its labels, joined by line breaks, and its 64-bit values: counts in a last state,
     numbers of states in others.  The state after which nothing can follow is closed and looked up among
@@ -57,12 +58,8 @@ class Builder:
         self.open: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(depth - 1)]
         self.path: tuple[bytes, ...] = ()
 
-    def _state(self, labels: list[bytes], values: list[int] | np.ndarray) -> int:
-        state = (b"\n".join(labels), np.asarray(values, np.int64).tobytes())
-        return self.register.setdefault(state, len(self.register))
-
-    def add(self, prefix: tuple[bytes, ...], labels: list[bytes], counts: list[int] | np.ndarray) -> None:
-        """All words after ``prefix`` in order, with their counts; prefixes come in order, too."""
+    def add(self, prefix: tuple[bytes, ...], labels: list[bytes], counts: bytes) -> None:
+        """All words after ``prefix`` in order, with their counts as 64-bit integers; prefixes come in order, too."""
         same = 0
         while same < len(prefix) and self.path[same : same + 1] == prefix[same : same + 1]:
             same += 1
@@ -70,34 +67,70 @@ class Builder:
         for level in range(same, len(prefix)):
             self.open[level][0].append(prefix[level])
         self.path = prefix
-        number = self._state(labels, counts)
+        number = self.register.setdefault((b"\n".join(labels), counts), len(self.register))
         if prefix:
             self.open[-1][1].append(number)
 
     def _close(self, level: int) -> None:
         """States below ``level`` get no more arcs."""
         for at in range(len(self.path) - 1, level, -1):
-            self.open[at - 1][1].append(self._state(*self.open[at]))
+            labels, targets = self.open[at]
+            state = (b"\n".join(labels), array("q", targets).tobytes())
+            self.open[at - 1][1].append(self.register.setdefault(state, len(self.register)))
             self.open[at] = ([], [])
 
     def finish(self) -> tuple[list[bytes], list[bytes]]:
         self._close(0)
-        states = list(self.register)
+        words, values = [s[0] for s in self.register], [s[1] for s in self.register]
         if self.open:
-            labels, values = self.open[0]
-            states.append((b"\n".join(labels), np.asarray(values, np.int64).tobytes()))
-        return [s[0] for s in states], [s[1] for s in states]
+            labels, targets = self.open[0]
+            words.append(b"\n".join(labels))
+            values.append(array("q", targets).tobytes())
+        return words, values
+
+
+def add_paths(total: dict, words: list[bytes], values: list[bytes], depth: int, at: int = -1) -> None:
+    """Add the counts of all paths from a state to nested dictionaries of words."""
+    arcs = zip(words[at].split(b"\n"), memoryview(values[at]).cast("q").tolist())
+    if depth == 1:
+        held = total.get
+        for label, count in arcs:
+            total[label] = held(label, 0) + count
+    else:
+        for label, target in arcs:
+            below = total.get(label)
+            if below is None:
+                below = total[label] = {}
+            add_paths(below, words, values, depth - 1, target)
 
 
 def paths(words: list[bytes], values: list[bytes], depth: int, at: int = -1) -> Iterator[tuple[bytes, int]]:
     """Every path from a state, words joined by a blank, with its count."""
-    labels, targets = words[at].split(b"\n"), np.frombuffer(values[at], np.int64).tolist()
-    if depth == 1:
-        yield from zip(labels, targets)
-        return
-    for label, target in zip(labels, targets):
-        for rest, count in paths(words, values, depth - 1, target):
-            yield label + b" " + rest, count
+    for label, target in zip(words[at].split(b"\n"), memoryview(values[at]).cast("q").tolist()):
+        if depth == 1:
+            yield label, target
+        else:
+            for rest, count in paths(words, values, depth - 1, target):
+                yield label + b" " + rest, count
+
+
+def transducer(total: dict, depth: int, least: int) -> tuple[list[bytes], list[bytes]] | None:
+    """Transducer of the paths with at least ``least`` occurrences in nested dictionaries; None if there are none."""
+    build, some = Builder(depth), False
+
+    def walk(below: dict, prefix: tuple[bytes, ...]) -> None:
+        nonlocal some
+        if len(prefix) == depth - 1:
+            kept = sorted((w, c) for w, c in below.items() if c >= least)
+            if kept:
+                some = True
+                build.add(prefix, [w for w, _ in kept], array("q", [c for _, c in kept]).tobytes())
+            return
+        for word in sorted(below):
+            walk(below[word], (*prefix, word))
+
+    walk(total, ())
+    return build.finish() if some else None
 
 
 class _Numbers(dict):
@@ -155,11 +188,25 @@ def _start(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | None, parts: dict[tuple[str, str], int]) -> DataFrame:
-    """Transducers of each shard's n-grams of ``size`` words, by first word and bucket."""
+class _Ranges:
+    """Which prefix range an n-gram falls in: one for each first word, several for a frequent one."""
+
+    def __init__(self, n: int, shares: dict[tuple[str, str], int]) -> None:
+        self.n, self.shares = n, shares
+
+    def share(self, lang: str, word: bytes) -> int:
+        return self.shares.get((lang, word.decode()), 1) if self.shares else 1
+
+    def of(self, lang: str, head: bytes, spread: int) -> int:
+        home = xxhash.xxh64_intdigest(head, _start(lang)) >> 2
+        return (home % self.n + spread % self.share(lang, head)) % self.n
+
+
+def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | None, ranges: _Ranges) -> DataFrame:
+    """Transducers of each shard's n-grams of ``size`` words, cut into prefix ranges."""
 
     def grams(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray]:
-        """Frequent words in order and their hashes; the sorted n-grams as columns of word numbers, and counts."""
+        """Frequent words in order and their hashes; the n-grams as columns of word numbers, and counts."""
         hashes = _hashes(words, [_start(lang)] * len(words))
         keep = known.holds(hashes)
         keep[0] = False
@@ -188,37 +235,35 @@ def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | No
             order, hashes, columns, count = grams(lang, words, ids)
             if not len(count):
                 continue
-            share = np.array([parts.get((lang, w.decode()), 1) for w in order] if parts else [1] * len(order), np.uint64)
-            mixed = hashes[columns[1]] if size == 2 else hashes[columns[1]] * np.uint64(31) + hashes[columns[2]]
-            bucket = (mixed % share[columns[0]]).astype(np.int64)
-            moved = np.lexsort((*reversed(columns[1:]), bucket, columns[0]))
-            columns, bucket, count = [c[moved] for c in columns], bucket[moved], count[moved]
-            new = np.flatnonzero(np.diff(columns[0], prepend=-1) | np.diff(bucket, prepend=-1))
-            run = new
-            if size == 3:
-                run = np.union1d(new, np.flatnonzero(np.diff(columns[1], prepend=-1)))
-            tails = columns[-1].tolist()
-            heads, buckets, states, values = [], [], [], []
-            bounds = [*run.tolist(), len(count)]
-            firsts, last = set(new.tolist()), None
-            for a, b in zip(bounds, bounds[1:]):
-                if a in firsts:
-                    if last is not None:
-                        found = last.finish()
+            share = np.array([ranges.share(lang, w) for w in order], np.uint64)
+            spread = hashes[columns[1]] if size == 2 else hashes[columns[1]] * np.uint64(31) + hashes[columns[2]]
+            home = (hashes >> np.uint64(2)) % np.uint64(ranges.n)
+            part = ((home[columns[0]] + spread % share[columns[0]]) % np.uint64(ranges.n)).astype(np.int64)
+            moved = np.lexsort((*reversed(columns), part))
+            columns, part, count = [c[moved] for c in columns], part[moved], np.ascontiguousarray(count[moved], np.int64)
+            new = np.diff(part, prepend=-1) != 0
+            run = new.copy()
+            for c in columns[:-1]:
+                run |= np.diff(c, prepend=-1) != 0
+            starts = np.flatnonzero(run)
+            tails, stops, fresh = columns[-1].tolist(), [*starts[1:].tolist(), len(count)], new[starts].tolist()
+            prefixes = list(zip(*([order[i] for i in c[starts].tolist()] for c in columns[:-1])))
+            parts, states, values, build = part[np.flatnonzero(new)], [], [], None
+            for a, b, prefix, first in zip(starts.tolist(), stops, prefixes, fresh):
+                if first:
+                    if build is not None:
+                        found = build.finish()
                         states.append(found[0])
                         values.append(found[1])
-                    last = Builder(size - 1)
-                    heads.append(order[columns[0][a]].decode())
-                    buckets.append(int(bucket[a]))
-                prefix = (order[columns[1][a]],) if size == 3 else ()
-                last.add(prefix, [order[t] for t in tails[a:b]], count[a:b])
-            found = last.finish()
+                    build = Builder(size)
+                build.add(prefix, [order[t] for t in tails[a:b]], count[a:b].tobytes())
+            found = build.finish()
             states.append(found[0])
             values.append(found[1])
             blobs = pa.list_(pa.binary())
-            arrays = [pa.array([lang] * len(heads)), pa.array(heads), pa.array(buckets, pa.int32()), pa.array(states, blobs), pa.array(values, blobs)]
-            for at in range(0, len(heads), 20_000):  # batches of bounded size
-                yield pa.RecordBatch.from_arrays([x.slice(at, 20_000) for x in arrays], ["lang", "head", "bucket", "words", "values"])
+            arrays = [pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(states, blobs), pa.array(values, blobs)]
+            for at in range(0, len(parts), 1000):  # batches of bounded size
+                yield pa.RecordBatch.from_arrays([x.slice(at, 1000) for x in arrays], ["lang", "part", "words", "values"])
 
     return _texts(docs).mapInArrow(task, _AUTOMATON)
 
@@ -227,122 +272,100 @@ def _union(rows: DataFrame, depth: int, least: int) -> DataFrame:
     """One transducer for each prefix range: weights summed, paths below ``least`` dropped."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         key, total = None, {}
 
-        def closed() -> None:
-            kept = sorted((tuple(p.split(b" ")), c) for p, c in total.items() if c >= least)
-            if kept:
-                build, at = Builder(depth), 0
-                while at < len(kept):
-                    prefix, end = kept[at][0][:-1], at
-                    while end < len(kept) and kept[end][0][:-1] == prefix:
-                        end += 1
-                    build.add(prefix, [p[-1] for p, _ in kept[at:end]], [c for _, c in kept[at:end]])
-                    at = end
-                out.append((*key, *build.finish()))
-
-        def written() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-            arrays = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "head", "bucket", "words", "values"])
+        def closed() -> Iterator[pa.RecordBatch]:
+            found = transducer(total, depth, least)
+            if found is not None:
+                blobs = pa.list_(pa.binary())
+                arrays = [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([found[0]], blobs), pa.array([found[1]], blobs)]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "part", "words", "values"])
 
         for batch in batches:
-            for lang, head, bucket, words, values in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "bucket", "words", "values"))):
-                if (lang, head, bucket) != key:
-                    if key is not None:
-                        closed()
-                    key, total = (lang, head, bucket), {}
-                for path, count in paths(words, values, depth):
-                    total[path] = total.get(path, 0) + count
-            if len(out) >= 10_000:
-                yield written()
-        if key is not None:
-            closed()
-        if out:
-            yield written()
-
-    keys = ["lang", "head", "bucket"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, _AUTOMATON)
+            for lang, part, words, values in zip(*(batch.column(c) for c in ("lang", "part", "words", "values"))):
+                if (lang.as_py(), part.as_py()) != key:
+                    yield from closed()
+                    key, total = (lang.as_py(), part.as_py()), {}
+                add_paths(total, words.as_py(), values.as_py(), depth)
+        yield from closed()
+
+    return rows.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(task, _AUTOMATON)
 
 
 def _flat(automata: DataFrame, depth: int) -> DataFrame:
-    """``lang, head, rest, a`` of every path."""
+    """``lang, phrase, a`` of every path."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, heads, rests, counts = [], [], [], []
-            for lang, head, words, values in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "words", "values"))):
-                for path, count in paths(words, values, depth):
-                    langs.append(lang)
-                    heads.append(head)
-                    rests.append(path.decode())
-                    counts.append(count)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(heads, pa.string()), pa.array(rests, pa.string()), pa.array(counts, pa.int64())], ["lang", "head", "rest", "a"])
+            for lang, words, values in zip(*(batch.column(c) for c in ("lang", "words", "values"))):
+                found = list(paths(words.as_py(), values.as_py(), depth))
+                phrases = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
+                columns = [pa.array([lang.as_py()] * len(found), pa.string()), phrases, pa.array([c for _, c in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "a"])
 
-    return automata.select("lang", "head", "words", "values").mapInArrow(task, "lang string, head string, rest string, a bigint")
+    return automata.select("lang", "words", "values").mapInArrow(task, "lang string, phrase string, a bigint")
 
 
-_QUERY = "lang string, head string, bucket int, kind int, f bigint, words array<binary>, values array<binary>, next string, phrase string, a bigint, side string"
-
-
-def _queries(flat: DataFrame, parts: dict[tuple[str, str], int]) -> DataFrame:
-    """The parts of each phrase as rows of their first word: ``side`` is the part's name, ``next`` its second word."""
-    names = ["lang", "head", "bucket", "next", "phrase", "a", "side"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+def _queries(flat: DataFrame, ranges: _Ranges) -> DataFrame:
+    """The parts of each phrase in the ranges that know them: ``head`` and ``next`` word, ``side`` names the part."""
+    names = ["lang", "part", "head", "next", "phrase", "a", "side"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, head, rest, a in zip(*(c.to_pylist() for c in batch.columns)):
-                words, phrase = [head, *rest.split(" ")], f"{head} {rest}"
+            for lang, phrase, a in zip(*(c.to_pylist() for c in batch.columns)):
+                words = phrase.split(" ")
                 for cut in range(1, len(words)):
-                    for side, part in ((f"l{cut}", words[:cut]), (f"r{cut}", words[cut:])):
-                        share = parts.get((lang, part[0]), 1)
-                        bucket = 0
-                        if share > 1:  # a single word is known in all its buckets, a pair in the one of its second word
-                            spread = xxhash.xxh64_intdigest(part[1].encode(), _start(lang)) if len(part) > 1 else xxhash.xxh64_intdigest(phrase)
-                            bucket = spread % share
-                        rows.append((lang, part[0], bucket, part[1] if len(part) > 1 else None, phrase, a, side))
+                    for side, piece in ((f"l{cut}", words[:cut]), (f"r{cut}", words[cut:])):
+                        # all ranges of a word know its count; a pair is known in the one of its second word
+                        spread = xxhash.xxh64_intdigest(piece[1].encode(), _start(lang)) if len(piece) > 1 else xxhash.xxh64_intdigest(phrase.encode())
+                        part = ranges.of(lang, piece[0].encode(), spread)
+                        rows.append((lang, part, piece[0], piece[1] if len(piece) > 1 else None, phrase, a, side))
             columns = zip(*rows) if rows else ([] for _ in names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return flat.mapInArrow(task, "lang string, head string, bucket int, next string, phrase string, a bigint, side string")
+    return flat.mapInArrow(task, "lang string, part bigint, head string, next string, phrase string, a bigint, side string")
+
+
+_QUERY = ["lang", "part", "kind", "head", "f", "words", "values", "next", "phrase", "a", "side"]
 
 
-def _composed(queries: DataFrame, words: DataFrame, pairs: DataFrame, heavy: DataFrame) -> DataFrame:
-    """``lang, phrase, a, side, f``: every part's count, from the transducer of its first word."""
+def _composed(queries: DataFrame, words: DataFrame, pairs: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """``lang, phrase, a, side, f``: the count of every part, from the words and the transducer of its range."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, single, arcs = None, 0, {}
+        key, single, arcs = None, {}, {}
         for batch in batches:
             rows = []
-            for lang, head, bucket, kind, f, labels, values, follow, phrase, a, side in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, head, bucket) != key:
-                    key, single, arcs = (lang, head, bucket), 0, {}
+            for lang, part, kind, head, f, labels, values, follow, phrase, a, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, part) != key:
+                    key, single, arcs = (lang, part), {}, {}
                 if kind == 0:
-                    single = f
+                    single[head] = f
                 elif kind == 1:
-                    arcs = dict(paths(labels, values, 1))
+                    add_paths(arcs, labels, values, 2)
                 else:
-                    rows.append((lang, phrase, a, side, single if follow is None else arcs[follow.encode()]))
+                    rows.append((lang, phrase, a, side, single[head] if follow is None else arcs[head.encode()][follow.encode()]))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "phrase", "a", "side", "f"])
 
-    blobs, none = F.lit(None).cast("array<binary>"), F.lit(None)
-    spread = words.join(F.broadcast(heavy), ["lang", "word"], "left")  # at most RANGES rows
-    spread = spread.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    empty = {"f": none.cast("bigint"), "words": blobs, "values": blobs, "next": none.cast("string"), "phrase": none.cast("string"), "a": none.cast("bigint"), "side": none.cast("string")}
+    spread = words.join(F.broadcast(heavy), ["lang", "word"], "left")  # fewer than HEAVY rows
+    spread = spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    part = F.expr(f"(shiftrightunsigned(xxhash64(lang, word), 2) % {n}L + i) % {n}L")
+    blobs = F.lit(None).cast("array<binary>")
+    empty = {"head": "string", "f": "bigint", "next": "string", "phrase": "string", "a": "bigint", "side": "string"}
+    empty = {c: F.lit(None).cast(k) for c, k in empty.items()} | {"words": blobs, "values": blobs}
 
     def shaped(rows: DataFrame, kind: int) -> DataFrame:
         rows = rows.withColumns({c: v for c, v in empty.items() if c not in rows.columns})
-        return rows.withColumn("kind", F.lit(kind)).select(*(c.split()[0] for c in _QUERY.split(", ")))
+        return rows.withColumn("kind", F.lit(kind)).select(_QUERY)
 
-    keys = ["lang", "head", "bucket"]
-    rows = shaped(spread.select("lang", F.col("word").alias("head"), "bucket", "f"), 0).unionByName(shaped(pairs, 1)).unionByName(shaped(queries, 2))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(task, "lang string, phrase string, a bigint, side string, f bigint")
+    rows = shaped(spread.select("lang", part.alias("part"), F.col("word").alias("head"), "f"), 0)
+    rows = rows.unionByName(shaped(pairs, 1)).unionByName(shaped(queries, 2))
+    rows = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "kind")
+    return rows.mapInArrow(task, "lang string, phrase string, a bigint, side string, f bigint")
 
 
 def _scored(parts: DataFrame) -> DataFrame:
@@ -367,20 +390,21 @@ def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = counts.where(F.col("f") >= least)
     whole = counts.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first().n
-    limit = max(least, whole // RANGES)
-    heavy = stage(words.where(F.col("f") > limit).select("lang", "word", F.ceil(F.col("f") / limit).cast("int").alias("parts")), "phrase-heavy")
-    parts = {(r.lang, r.word): r.parts for r in heavy.collect()}  # fewer than RANGES words can be that frequent
+    limit = max(RANGE, whole // HEAVY)
+    heavy = words.where(F.col("f") > limit).select("lang", "word", F.ceil(F.col("f") / limit).cast("int").alias("shares"))
+    heavy = stage(heavy, "phrase-heavy")
+    # fewer than HEAVY words can be that frequent
+    ranges = _Ranges(max(1, whole // RANGE), {(r.lang, r.word): r.shares for r in heavy.collect()})
     known = BitTable(words.select(F.xxhash64("lang", "word").alias("h")))
-    pairs = stage(_union(_gram_rows(docs, 2, known, None, parts), 1, least), "phrase-pairs")
-    flat2 = stage(_flat(pairs, 1), "phrase-two")
-    frequent = BitTable(flat2.select(F.xxhash64("lang", "head", "rest").alias("h")))
-    triples = stage(_union(_gram_rows(docs, 3, known, frequent, parts), 2, least), "phrase-triples")
-    flat3 = stage(_flat(triples, 2), "phrase-three")
-
-    flat = flat2.unionByName(flat3)
-    scored = _scored(_composed(_queries(flat, parts), words, pairs, heavy))
-    inner = F.split("rest", " ")
-    inside = flat3.select("lang", F.explode(F.array(F.concat_ws(" ", "head", inner[0]), F.col("rest"))).alias("phrase"), F.col("a").alias("longer"))
+    pairs = stage(_union(_gram_rows(docs, 2, known, None, ranges), 2, least), "phrase-pairs")
+    two = stage(_flat(pairs, 2), "phrase-two")
+    both = F.split("phrase", " ")
+    frequent = BitTable(two.select(F.xxhash64("lang", both[0], both[1]).alias("h")))
+    three = stage(_flat(_union(_gram_rows(docs, 3, known, frequent, ranges), 3, least), 3), "phrase-three")
+
+    scored = _scored(_composed(_queries(two.unionByName(three), ranges), words, pairs, heavy, ranges.n))
+    ends = F.array(F.concat_ws(" ", both[0], both[1]), F.concat_ws(" ", both[1], both[2]))
+    inside = three.select("lang", F.explode(ends).alias("phrase"), F.col("a").alias("longer"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = scored.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

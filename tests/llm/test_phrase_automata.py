@@ -2,6 +2,7 @@
 
 import random
 import re
+from array import array
 from collections import Counter, defaultdict
 
 import pytest
@@ -48,11 +49,11 @@ def texts(n):
     return out + [("en", None), (None, ""), ("xx", " .,"), ("de", "long " * 5000), ("yy", "x" * 100_000)]
 
 
-@pytest.mark.parametrize(("shard", "ranges"), [(1 << 21, 4096), (200, 20)])
-def test_equals_counts_of_all_ngrams(spark, monkeypatch, shard, ranges):
-    """Also with tiny shards and with frequent first words cut into many buckets."""
+@pytest.mark.parametrize(("shard", "size"), [(1 << 21, 1 << 18), (200, 30)])
+def test_equals_counts_of_all_ngrams(spark, monkeypatch, shard, size):
+    """Also with tiny shards and with frequent first words spread over many ranges."""
     monkeypatch.setattr(phrase_automata, "SHARD", shard)
-    monkeypatch.setattr(phrase_automata, "RANGES", ranges)
+    monkeypatch.setattr(phrase_automata, "RANGE", size)
     docs = texts(300)
     docs += docs[:40]
     frame = spark.createDataFrame([(lang, t, 1, "x") for lang, t in docs], "lang string, text string, head int, phrase string").repartition(4)
@@ -77,9 +78,14 @@ def test_transducer_round_trip(depth):
     for g in grams:
         runs[g[:-1]].append(g[-1])
     for prefix, labels in runs.items():
-        build.add(prefix, labels, [weights[prefix + (x,)] for x in labels])
+        build.add(prefix, labels, array("q", [weights[prefix + (x,)] for x in labels]).tobytes())
     words, values = build.finish()
     assert list(phrase_automata.paths(words, values, depth)) == [(b" ".join(g), weights[g]) for g in grams]
+    total = {}
+    for _ in range(2):
+        phrase_automata.add_paths(total, words, values, depth)
+    twice = phrase_automata.transducer(total, depth, 4)
+    assert list(phrase_automata.paths(*twice, depth)) == [(b" ".join(g), 2 * weights[g]) for g in grams if weights[g] >= 2]
     assert len(set(zip(words[:-1], values[:-1]))) == len(words) - 1
 
 
