@@ -118,31 +118,70 @@ def smooth(vertex: DataFrame, face: DataFrame, *, up_only: bool = True) -> DataF
     return moved.withColumn("z", lifted).drop("z_hat")
 
 
-def _cells(x: Column, y: Column, size: Column) -> list[Column]:
-    return [F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y")]
+#: Cells that a face's longer extent may span at most.
+CELLS = 256
+
+
+def _filed(rows: DataFrame) -> DataFrame:
+    """Faces under the cells they touch: ``power, cell_x, cell_y``; cells have the size ``2 ^ power``.
+
+    The size follows the height over the longest side, so cells are as small as the face is thin (down to a
+    part in ``CELLS`` of its extent).  In each column of cells the sides are clipped to the column, which gives the range of
+    rows; it is widened by more than rounding can amount to.
+    """
+    ends = [("a", "b"), ("b", "c"), ("c", "a")]
+
+    def extent(axis: str) -> Column:
+        return F.greatest(*(f"{n}{axis}" for n in CORNERS)) - F.least(*(f"{n}{axis}" for n in CORNERS))
+
+    def length(p: str, q: str) -> Column:
+        dx, dy = F.col(f"{q}x") - F.col(f"{p}x"), F.col(f"{q}y") - F.col(f"{p}y")
+        return F.sqrt(dx * dx + dy * dy)
+
+    span = F.greatest(extent("x"), extent("y"))
+    height = F.abs(double_area_xy(*_abc())) / F.greatest(*(length(p, q) for p, q in ends))
+    power = F.ceil(F.log2(F.greatest(height, span / CELLS))).cast("int")
+    filed = rows.withColumn("power", power).withColumn("_s", F.pow(F.lit(2.0), F.col("power").cast("double")))
+    low, high = F.least(*(f"{n}x" for n in CORNERS)), F.greatest(*(f"{n}x" for n in CORNERS))
+    filed = filed.withColumn("cell_x", F.explode(F.sequence(F.floor(low / F.col("_s")), F.floor(high / F.col("_s")))))
+    x0, x1 = F.col("cell_x") * F.col("_s"), (F.col("cell_x") + 1) * F.col("_s")
+    lows, highs = [], []
+    for p, q in ends:
+        px, py, qx, qy = (F.col(c) for c in (f"{p}x", f"{p}y", f"{q}x", f"{q}y"))
+        left, right = F.least(px, qx), F.greatest(px, qx)
+
+        def height_at(x: Column, px=px, py=py, qx=qx, qy=qy, left=left, right=right) -> Column:
+            return py + (qy - py) * F.try_divide(F.least(F.greatest(x, left), right) - px, qx - px)
+
+        touches = (right >= x0) & (left <= x1)
+        upright = px == qx
+        lows.append(F.when(touches, F.when(upright, F.least(py, qy)).otherwise(F.least(height_at(x0), height_at(x1)))))
+        highs.append(F.when(touches, F.when(upright, F.greatest(py, qy)).otherwise(F.greatest(height_at(x0), height_at(x1)))))
+    margin = 1e-12 * (extent("y") + F.greatest(*(F.abs(f"{n}y") for n in CORNERS)))
+    first, last = (F.floor((end + side * margin) / F.col("_s")) for end, side in ((F.least(*lows), -1.0), (F.greatest(*highs), 1.0)))
+    return filed.withColumn("cell_y", F.explode(F.sequence(first, last))).drop("_s")
+
+
+def _met(points: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Points ``key, at_x, at_y`` with the faces that share a cell with them."""
+    filed = stage(_filed(rows), "filed")
+    sizes = filed.select("power").distinct().agg(F.collect_list("power").alias("powers"))  # exponents only: a short list
+    asked = points.select(F.col(key), F.col("x").alias("at_x"), F.col("y").alias("at_y")).crossJoin(F.broadcast(sizes))
+    asked = asked.withColumn("power", F.explode("powers")).withColumn("_s", F.pow(F.lit(2.0), F.col("power").cast("double")))
+    cells = [F.floor(F.col(f"at_{axis}") / F.col("_s")).alias(f"cell_{axis}") for axis in "xy"]
+    return asked.select(key, "at_x", "at_y", "power", *cells).join(filed, ["power", "cell_x", "cell_y"])
 
 
 def locate_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:
     """``key, f_id, z_hat``: face below each point (lowest id on shared borders) and its height.
 
-    A face is filed under cells of about its own size, at most four of them; a point looks up
-    its cell once per size in use, so neither large nor small faces meet many points needlessly.
+    A face is filed under the cells of about its own width that it touches; a point looks up its cell once
+    for each size in use, so neither large nor small nor thin faces meet many points needlessly.
     Faces without an area in plan have no height to give and are left out.
     """
-    area = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
-    rows = stage(corners(face, vertex).where(area != 0), "corners")
-    span = F.greatest(F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx"), F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy"))
-    power = F.ceil(F.log2(span)).cast("int")
-    filed = rows.withColumn("power", power).withColumn("_s", F.pow(F.lit(2.0), F.col("power").cast("double")))
-    for axis in "xy":
-        lo, hi = F.least(f"a{axis}", f"b{axis}", f"c{axis}"), F.greatest(f"a{axis}", f"b{axis}", f"c{axis}")
-        filed = filed.withColumn(f"cell_{axis}", F.explode(F.sequence(F.floor(lo / F.col("_s")), F.floor(hi / F.col("_s")))))
-    sizes = rows.select(power.alias("power")).distinct().agg(F.collect_list("power").alias("powers"))  # exponents only: a short list
-    asked = points.select(F.col(key), F.col("x").alias("at_x"), F.col("y").alias("at_y")).crossJoin(F.broadcast(sizes))
-    asked = asked.withColumn("power", F.explode("powers"))
-    asked = asked.select(key, "at_x", "at_y", "power", *_cells(F.col("at_x"), F.col("at_y"), F.pow(F.lit(2.0), F.col("power").cast("double"))))
+    rows = stage(corners(face, vertex).where(double_area_xy(*_abc()) != 0), "corners")
     a, b, c = _abc()
-    hits = asked.join(filed.drop("_s"), ["power", "cell_x", "cell_y"]).where(inside_xy(a, b, c, F.col("at_x"), F.col("at_y")))
+    hits = _met(points, rows, key).where(inside_xy(a, b, c, F.col("at_x"), F.col("at_y")))
     z = z_on_triangle(a, b, c, F.col("at_x"), F.col("at_y"))
     best = hits.groupBy(key).agg(F.min(F.struct(F.col("f_id"), z.alias("z_hat"))).alias("m"))
     return points.select(key).join(best, key, "left").select(key, "m.f_id", "m.z_hat")
