@@ -179,15 +179,63 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _hashes(words: Iterable[bytes], seeds: Iterable[int]) -> np.ndarray:
-    """What ``xxhash64`` gives in Spark when ``seeds`` are the hashes of the columns before."""
-    return np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(words, seeds)], np.uint64)
+def _hashes(words: Iterable[bytes], seed: int) -> np.ndarray:
+    """What ``xxhash64`` gives in Spark for a language and each word, when ``seed`` is the hash of the language."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, seed) for w in words], np.uint64)
+
+
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    total = first * np.uint64(0x9E3779B97F4A7C15) + second
+    return (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _start(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
+def _counted(columns: list[np.ndarray], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of word numbers below ``n`` in order, and how often each occurs."""
+    bits = max(1, n).bit_length()
+    head, used = columns[0], bits
+    steps = []  # where the numbers would not fit in 64 bits, prefixes are numbered first
+    for c in columns[1:]:
+        if used + bits > 62:
+            prefix, head = np.unique(head, return_inverse=True)
+            steps.append(prefix)
+            used = len(prefix).bit_length()
+        head, used = (head << bits) | c, used + bits
+    key, count = np.unique(head, return_counts=True)
+    found, mask = [], (1 << bits) - 1
+    while len(found) < len(columns) - 1:
+        found.append(key & mask)
+        key = key >> bits
+        if steps and len(found) == len(columns) - 2:
+            key = steps.pop()[key]
+    return [key, *reversed(found)], count
+
+
+def _automata(lang: str, order: list[bytes], columns: list[np.ndarray], part: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A row for each prefix range of sorted n-grams."""
+    new = np.diff(part, prepend=-1) != 0
+    run = new.copy()
+    for c in columns[:-1]:
+        run |= np.diff(c, prepend=-1) != 0
+    starts = np.flatnonzero(run)
+    tails, stops, fresh = [order[t] for t in columns[-1].tolist()], [*starts[1:].tolist(), len(count)], new[starts].tolist()
+    prefixes = zip(*([order[i] for i in c[starts].tolist()] for c in columns[:-1]))
+    builds: list[Builder] = []
+    packed = np.ascontiguousarray(count, np.int64).tobytes()
+    for a, b, prefix, first in zip(starts.tolist(), stops, prefixes, fresh):
+        if first:
+            builds.append(Builder(len(columns)))
+        builds[-1].add(prefix, tails[a:b], packed[8 * a : 8 * b])
+    found = [b.finish() for b in builds]
+    blobs = pa.list_(pa.binary())
+    arrays = [pa.array([lang] * len(found), pa.string()), pa.array(part[new], pa.int64()), pa.array([f[0] for f in found], blobs), pa.array([f[1] for f in found], blobs)]
+    return pa.RecordBatch.from_arrays(arrays, ["lang", "part", "words", "values"])
+
+
 class _Ranges:
     """Which prefix range an n-gram falls in: one for each first word, several for a frequent one."""
 
@@ -206,64 +254,34 @@ def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | No
     """Transducers of each shard's n-grams of ``size`` words, cut into prefix ranges."""
 
     def grams(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray]:
-        """Frequent words in order and their hashes; the n-grams as columns of word numbers, and counts."""
-        hashes = _hashes(words, [_start(lang)] * len(words))
+        """Frequent words in order and their hashes; the sorted n-grams as columns of word numbers, and counts."""
+        hashes = _hashes(words, _start(lang))
         keep = known.holds(hashes)
         keep[0] = False
         kept = sorted(np.flatnonzero(keep).tolist(), key=words.__getitem__)
-        rank = np.zeros(len(words), np.int64)
-        rank[kept] = np.arange(1, len(kept) + 1)
+        rank = np.full(len(words), -1, np.int64)
+        rank[kept] = np.arange(len(kept))
         order, hashes, ids = [words[i] for i in kept], hashes[kept], rank[ids]
-        whole = (ids[:-1] > 0) & (ids[1:] > 0)
-        key = ((ids[:-1] - 1) << 32) | (ids[1:] - 1)
-        pair, count = np.unique(key[whole], return_counts=True)
-        first, second = pair >> 32, pair & 0xFFFFFFFF
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
         if size == 2:
-            return order, hashes, [first, second], count
-        frequent = pairs.holds(_hashes(map(order.__getitem__, second.tolist()), hashes[first].tolist()))
-        pair, first, second = pair[frequent], first[frequent], second[frequent]
-        if not len(pair):
-            return order, hashes, [pair, pair, pair], pair
-        at = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-        whole &= pair[at] == key
-        both = np.flatnonzero(whole[:-1] & whole[1:])
-        triple, count = np.unique((at[both] << 32) | (ids[both + 2] - 1), return_counts=True)
-        return order, hashes, [first[triple >> 32], second[triple >> 32], triple & 0xFFFFFFFF], count
+            return order, hashes, *_counted([ids[at], ids[at + 1]], len(order))
+        at = at[pairs.holds(_pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))]
+        at = at[np.flatnonzero(np.diff(at) == 1)]  # both pairs of the triple
+        return order, hashes, *_counted([ids[at], ids[at + 1], ids[at + 2]], len(order))
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids in _shards(batches):
             order, hashes, columns, count = grams(lang, words, ids)
-            if not len(count):
-                continue
             share = np.array([ranges.share(lang, w) for w in order], np.uint64)
-            spread = hashes[columns[1]] if size == 2 else hashes[columns[1]] * np.uint64(31) + hashes[columns[2]]
             home = (hashes >> np.uint64(2)) % np.uint64(ranges.n)
+            spread = hashes[columns[1]] if size == 2 else hashes[columns[1]] * np.uint64(31) + hashes[columns[2]]
             part = ((home[columns[0]] + spread % share[columns[0]]) % np.uint64(ranges.n)).astype(np.int64)
-            moved = np.lexsort((*reversed(columns), part))
-            columns, part, count = [c[moved] for c in columns], part[moved], np.ascontiguousarray(count[moved], np.int64)
-            new = np.diff(part, prepend=-1) != 0
-            run = new.copy()
-            for c in columns[:-1]:
-                run |= np.diff(c, prepend=-1) != 0
-            starts = np.flatnonzero(run)
-            tails, stops, fresh = columns[-1].tolist(), [*starts[1:].tolist(), len(count)], new[starts].tolist()
-            prefixes = list(zip(*([order[i] for i in c[starts].tolist()] for c in columns[:-1])))
-            parts, states, values, build = part[np.flatnonzero(new)], [], [], None
-            for a, b, prefix, first in zip(starts.tolist(), stops, prefixes, fresh):
-                if first:
-                    if build is not None:
-                        found = build.finish()
-                        states.append(found[0])
-                        values.append(found[1])
-                    build = Builder(size)
-                build.add(prefix, [order[t] for t in tails[a:b]], count[a:b].tobytes())
-            found = build.finish()
-            states.append(found[0])
-            values.append(found[1])
-            blobs = pa.list_(pa.binary())
-            arrays = [pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(states, blobs), pa.array(values, blobs)]
-            for at in range(0, len(parts), 1000):  # batches of bounded size
-                yield pa.RecordBatch.from_arrays([x.slice(at, 1000) for x in arrays], ["lang", "part", "words", "values"])
+            moved = np.argsort(part.astype(np.uint16) if ranges.n <= 1 << 16 else part, kind="stable")
+            columns, part, count = [c[moved] for c in columns], part[moved], count[moved]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            block = starts[np.flatnonzero(np.diff(starts // 50_000, prepend=-1))].tolist()  # whole ranges, few in memory as rows
+            for a, b in zip(block, [*block[1:], len(part)]):
+                yield _automata(lang, order, [c[a:b] for c in columns], part[a:b], count[a:b])
 
     return _texts(docs).mapInArrow(task, _AUTOMATON)
 
@@ -293,17 +311,19 @@ def _union(rows: DataFrame, depth: int, least: int) -> DataFrame:
 
 
 def _flat(automata: DataFrame, depth: int) -> DataFrame:
-    """``lang, phrase, a`` of every path."""
+    """``lang, phrase, a`` of every path, and ``h``, the hash of its first two words."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, values in zip(*(batch.column(c) for c in ("lang", "words", "values"))):
                 found = list(paths(words.as_py(), values.as_py(), depth))
                 phrases = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
+                ends = list(zip(*(p.split(b" ", 2)[:2] for p, _ in found)))
+                pair = _pair_hashes(*(_hashes(e, _start(lang.as_py())) for e in ends))
                 columns = [pa.array([lang.as_py()] * len(found), pa.string()), phrases, pa.array([c for _, c in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pair.view(np.int64))], ["lang", "phrase", "a", "h"])
 
-    return automata.select("lang", "words", "values").mapInArrow(task, "lang string, phrase string, a bigint")
+    return automata.select("lang", "words", "values").mapInArrow(task, "lang string, phrase string, a bigint, h bigint")
 
 
 def _queries(flat: DataFrame, ranges: _Ranges) -> DataFrame:
@@ -325,7 +345,7 @@ def _queries(flat: DataFrame, ranges: _Ranges) -> DataFrame:
             columns = zip(*rows) if rows else ([] for _ in names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return flat.mapInArrow(task, "lang string, part bigint, head string, next string, phrase string, a bigint, side string")
+    return flat.select("lang", "phrase", "a").mapInArrow(task, "lang string, part bigint, head string, next string, phrase string, a bigint, side string")
 
 
 _QUERY = ["lang", "part", "kind", "head", "f", "words", "values", "next", "phrase", "a", "side"]
@@ -399,7 +419,7 @@ def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int
     pairs = stage(_union(_gram_rows(docs, 2, known, None, ranges), 2, least), "phrase-pairs")
     two = stage(_flat(pairs, 2), "phrase-two")
     both = F.split("phrase", " ")
-    frequent = BitTable(two.select(F.xxhash64("lang", both[0], both[1]).alias("h")))
+    frequent = BitTable(two.select("h"))
     three = stage(_flat(_union(_gram_rows(docs, 3, known, frequent, ranges), 3, least), 3), "phrase-three")
 
     scored = _scored(_composed(_queries(two.unionByName(three), ranges), words, pairs, heavy, ranges.n))

@@ -97,4 +97,15 @@ def test_bit_table_never_loses_a_key(spark, monkeypatch):
     for bits in (1 << 28, 1 << 12):
         monkeypatch.setattr(common, "BITS", bits)
         held = common.BitTable(keys.select(F.xxhash64("lang", "word").alias("h")))
-        assert held.holds(phrase_automata._hashes(own, [phrase_automata._start("en")] * 3000)).all()
+        assert held.holds(phrase_automata._hashes(own, phrase_automata._start("en"))).all()
+
+
+@pytest.mark.parametrize("n", [5, 1 << 20, 1 << 30])
+def test_counts_of_rows_of_numbers(n):
+    """Also of numbers that do not fit in 64 bits together."""
+    np = phrase_automata.np
+    for width in (2, 3):
+        rows = [[RANDOM.choice([0, 1, n // 2, n - 1]) for _ in range(width)] for _ in range(200)]
+        columns, count = phrase_automata._counted([np.array(c, np.int64) for c in zip(*rows)], n)
+        assert dict(zip(zip(*(c.tolist() for c in columns)), count.tolist())) == Counter(map(tuple, rows))
+        assert list(zip(*(c.tolist() for c in columns))) == sorted(set(map(tuple, rows)))
