@@ -125,7 +125,19 @@ def match_edges(t):
     return cube_match(t)
 
 
-@query("match_edges_surface")
+# All points of a half-node lie on one side of its cube, so the plane through them is level in the axis without spread.
+HALF_PLANES = {
+    "half_points": "SELECT 2*s.seg + s.half - 1 AS h, c.px, c.py, c.pz FROM spoke_rows s JOIN cube c ON c.s_id = s.s_id",
+    "half_planes": "SELECT h, count(*) AS n, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz, var_pop(px) < 1e-9 AS flat_x, var_pop(py) < 1e-9 AS flat_y FROM half_points GROUP BY h",
+    "verdicts": """SELECT m.x, m.y, avg(CASE WHEN CASE WHEN g.flat_x THEN abs(q.px - g.mx) WHEN g.flat_y THEN abs(q.py - g.my) ELSE abs(q.pz - g.mz) END < 0.1 THEN 1 ELSE 0 END) > 0.9 AS matches
+      FROM matched m JOIN half_planes a ON a.h = xor(m.x, 1) JOIN half_planes b ON b.h = xor(m.y, 1)
+      JOIN half_planes g ON g.h = CASE WHEN a.n > b.n THEN a.h ELSE b.h END JOIN half_points q ON q.h = CASE WHEN a.n > b.n THEN b.h ELSE a.h END GROUP BY m.x, m.y""",
+}
+
+
+@query("match_edges_surface", sql(
+    "SELECT m.x, m.y, CASE WHEN v.matches THEN 'match' ELSE 'intersect' END AS other_kind FROM matched m LEFT JOIN verdicts v ON v.x = m.x AND v.y = m.y",
+    "cube_in", "cube_links", extra={**{k: SIDED[k] for k in list(SIDED)[: list(SIDED).index("matched") + 1]}, **HALF_PLANES}))
 def match_edges_surface(t):
     return M.match_edges(cube_links(t), cube_nodes(t), variant="surface", points=M.half_node_points(cube_sided(t)), surface=cube(t)).select("x", "y", "other_kind")
 
@@ -198,7 +210,24 @@ def orient_faces(t):
     return oriented(t).select("face", "h", "pos")
 
 
-@query("two_means")
+# Rounds go on while a spoke of any sheet changes its half; sheets that have settled stay as they are.
+LLOYD = {
+    **{k: SIDED[k] for k in ("sided", "spoke_rows")},
+    "lloyd": """
+      SELECT 0 AS step, row_number() OVER (ORDER BY seg, half, s_id) AS id, seg, -fx/l AS x, -fy/l AS y, -fz/l AS z, half, true AS changed
+      FROM (SELECT *, nullif(sqrt(fx*fx+fy*fy+fz*fz), 0) AS l FROM spoke_rows) u WHERE l IS NOT NULL
+      UNION ALL
+      SELECT step + 1, id, seg, x, y, z, near, near <> half FROM (
+       SELECT r.*, CASE WHEN m.x2 IS NULL OR (r.x-m.x1)*(r.x-m.x1)+(r.y-m.y1)*(r.y-m.y1)+(r.z-m.z1)*(r.z-m.z1) <= (r.x-m.x2)*(r.x-m.x2)+(r.y-m.y2)*(r.y-m.y2)+(r.z-m.z2)*(r.z-m.z2) THEN 1 ELSE 2 END AS near
+       FROM lloyd r JOIN (SELECT seg, avg(x) FILTER (half = 1) AS x1, avg(y) FILTER (half = 1) AS y1, avg(z) FILTER (half = 1) AS z1,
+         avg(x) FILTER (half = 2) AS x2, avg(y) FILTER (half = 2) AS y2, avg(z) FILTER (half = 2) AS z2 FROM lloyd GROUP BY seg) m ON m.seg = r.seg
+       WHERE (SELECT bool_or(changed) FROM lloyd)) n""",
+}
+
+
+@query("two_means", sql(
+    "SELECT seg, half, count(*) AS points, avg(x) AS fx, avg(y) AS fy, avg(z) AS fz FROM lloyd WHERE step = (SELECT max(step) FROM lloyd) GROUP BY seg, half",
+    "cube_in", extra=LLOYD, rounded="fx fy fz"), rounded="fx fy fz")
 def two_means(t):
     return M.two_means(cube_sided(t))[1]
 
@@ -207,7 +236,19 @@ def planes(t):
     return t.share("cube_planes", lambda: B.face_planes(found(t), M.half_node_points(cube_sided(t)), cube(t)))
 
 
-@query("face_planes")
+# Planes are known by the axis in which the points of a face have no spread.
+PLANES = {
+    "used": "SELECT h, face FROM faces WHERE cycle OR h = face",
+    "face_points": "SELECT DISTINCT u.face, s.s_id FROM used u JOIN spoke_rows s ON 2*s.seg + s.half - 1 = u.h",
+    "face_spread": """SELECT f.face, count(*) AS n, avg(px) AS rx, avg(py) AS ry, avg(pz) AS rz, var_pop(px) < 1e-9 AS flat_x, var_pop(py) < 1e-9 AS flat_y
+      FROM face_points f JOIN cube c ON c.s_id = f.s_id GROUP BY f.face""",
+    "planes": """SELECT face, n, rx, ry, rz, CASE WHEN flat_x THEN 1.0 ELSE 0.0 END::DOUBLE AS nx, CASE WHEN flat_y AND NOT flat_x THEN 1.0 ELSE 0.0 END::DOUBLE AS ny,
+      CASE WHEN flat_x OR flat_y THEN 0.0 ELSE 1.0 END::DOUBLE AS nz FROM face_spread""",
+}
+PLANE_COLS = "rx ry rz nx ny nz"
+
+
+@query("face_planes", sql("SELECT * FROM planes", "cube_in", "cube_links", extra={**SIDED, **PLANES}, rounded=PLANE_COLS), rounded=PLANE_COLS)
 def face_planes(t):
     return planes(t)
 
@@ -216,12 +257,44 @@ def lines(t):
     return t.share("cube_ridges", lambda: B.ridge_lines(found(t), planes(t)))
 
 
-@query("ridge_lines")
+LINE_COLS = "rx ry rz tx ty tz"
+
+
+# The planes of a sheet stand upright on each other along two axes: each gives one coordinate of the line.
+@query("ridge_lines", sql(
+    """SELECT a.h // 2 AS seg, p.nx*p.rx + q.nx*q.rx AS rx, p.ny*p.ry + q.ny*q.ry AS ry, p.nz*p.rz + q.nz*q.rz AS rz,
+      p.ny*q.nz - p.nz*q.ny AS tx, p.nz*q.nx - p.nx*q.nz AS ty, p.nx*q.ny - p.ny*q.nx AS tz
+     FROM faces a JOIN faces b ON b.h = a.h + 1 JOIN planes p ON p.face = a.face JOIN planes q ON q.face = b.face WHERE a.h % 2 = 0""",
+    "cube_in", "cube_links", extra={**SIDED, **PLANES}, rounded=LINE_COLS), rounded=LINE_COLS)
 def ridge_lines(t):
     return lines(t)
 
 
-@query("corner_points")
+# A corner of a cube is known where all three faces around it are closed; it lies at +-5 of the centre.
+CORNERS = {
+    **SIDED,
+    **ORDER,
+    "turned": f"SELECT f.face, f.h, f.pos, z.size FROM ({FLIP}) f JOIN sized z ON z.h = f.h",
+    "darts": "SELECT a.face, a.h, a.pos, a.size, b.h AS next_h FROM turned a JOIN turned b ON b.face = a.face AND b.pos = (a.pos + 1) % a.size",
+    "meeting": """SELECT d.face, d.h, d.pos, d.size, e.cube, e.corner, count(*) OVER w AS around, min(d.h) OVER w AS hub FROM darts d
+      JOIN ends e ON e.sheet = d.h // 2 JOIN ends f ON f.sheet = d.next_h // 2 AND f.cube = e.cube AND f.corner = e.corner WINDOW w AS (PARTITION BY e.cube, e.corner)""",
+    "corners": """SELECT face, h, pos, size, hub AS corner, CAST(30*cube + 5 - 10*(corner % 2) AS DOUBLE) AS x, CAST(5 - 10*((corner // 2) % 2) AS DOUBLE) AS y, CAST(5 - 10*(corner // 4) AS DOUBLE) AS z
+      FROM meeting WHERE around = 3""",
+}
+
+
+# Beside a locked edge an orbit may close around two corners at once; no two of its lines cross in plan.
+ORBITS = {
+    **CORNERS,
+    "turns": "SELECT h, xor(next_h, 1) AS onto FROM darts",
+    "orbit_walk": "SELECT h AS root, h AS node FROM turns UNION SELECT w.root, t.onto FROM orbit_walk w JOIN turns t ON t.h = w.node WHERE t.onto IN (SELECT h FROM turns)",
+    "orbits": "SELECT w.root AS h, min(w.node) AS corner FROM orbit_walk w JOIN turns t ON t.h = w.node GROUP BY w.root HAVING bool_or(t.onto = w.root)",
+}
+
+
+@query("corner_points", sql(
+    "SELECT o.h, o.corner, c.x, c.y, c.z FROM orbits o LEFT JOIN corners c ON c.h = o.h", "cube_in", "cube_links", extra=ORBITS, rounded="x y z", digits=5),
+    rounded="x y z", digits=5)
 def corner_points(t):
     return B.corner_points(oriented(t), lines(t))
 
@@ -244,7 +317,14 @@ def reconstruct(t):
     )
 
 
-@query("reconstruct_triangles")
+TRIANGLE_COLS = " ".join(f"{p}{a}" for p in "abcn" for a in "xyz")
+
+
+@query("reconstruct_triangles", sql(
+    """SELECT a.face, CAST(b.pos - 1 AS BIGINT) AS tri, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, p.nx, p.ny, p.nz
+     FROM corners a JOIN corners b ON b.face = a.face AND b.pos >= 1 JOIN corners c ON c.face = a.face AND c.pos = b.pos + 1 JOIN planes p ON p.face = a.face
+     WHERE a.pos = 0 AND a.face IN (SELECT face FROM corners GROUP BY face HAVING count(*) = max(size))""",
+    "cube_in", "cube_links", extra={**CORNERS, **PLANES}, rounded=TRIANGLE_COLS, digits=5), rounded=TRIANGLE_COLS, digits=5)
 def reconstruct_triangles(t):
     return B.reconstruct(cube_sided(t), cube(t), found(t), oriented(t)).select("face", "tri", *(f"{p}{a}" for p in ("a", "b", "c", "n") for a in "xyz"))
 

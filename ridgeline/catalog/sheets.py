@@ -456,11 +456,6 @@ def sided(t):
     return t.share("sided", lambda: N.spoke_sides(t.ridge_in(), t.ridge_labels()))
 
 
-@query("spoke_sides")
-def spoke_sides(t):
-    return sided(t).select("seg", "ma_id", "one_side")
-
-
 # On the ridge cloud the axis of a sheet is the y axis, so the side is the sign of ky.
 RIDGE_SIDED = {
     "sided": "SELECT *, ky > 0 AS one_side FROM ridge_in",
@@ -471,11 +466,18 @@ RIDGE_SIDED = {
     "normals": "SELECT *, gy*mbz-gz*mby AS ux, gz*mbx-gx*mbz AS uy, gx*mby-gy*mbx AS uz FROM means",
     "measures": """SELECT s.seg, s.ma_id, s.one_side, mr/cos(mt/2) + (mcx-cx)*mbx+(mcy-cy)*mby+(mcz-cz)*mbz AS x, r AS radius, theta AS ma_theta,
       ((cx-mcx)*ux+(cy-mcy)*uy+(cz-mcz)*uz)/sqrt(ux*ux+uy*uy+uz*uz) AS ma_planfit,
-      acos(greatest(-1.0, least(1.0, (mbx*bx+mby*by+mbz*bz)/(sqrt(mbx*mbx+mby*mby+mbz*mbz)*sqrt(bx*bx+by*by+bz*bz))))) AS ma_bisec_diff
+      acos(greatest(-1.0, least(1.0, (mbx*bx+mby*by+mbz*bz)/(sqrt(mbx*mbx+mby*mby+mbz*mbz)*sqrt(bx*bx+by*by+bz*bz))))) AS ma_bisec_diff,
+      acos(greatest(-1.0, least(1.0, CASE WHEN one_side THEN 1 ELSE -1 END*(gx*kx+gy*ky+gz*kz)/(sqrt(gx*gx+gy*gy+gz*gz)*sqrt(kx*kx+ky*ky+kz*kz))))) AS biseco_diff
       FROM sided s JOIN normals m ON m.seg = s.seg""",
+    "six": "SELECT *, CASE WHEN radius <= abs(x) THEN 2*acos(greatest(-1.0, least(1.0, radius/x))) END AS ma_thetap FROM measures",
 }
 
 
+@query("spoke_sides", sql("SELECT seg, ma_id, one_side FROM sided", "ridge_in", extra={"sided": RIDGE_SIDED["sided"]}))
+def spoke_sides(t):
+    return sided(t).select("seg", "ma_id", "one_side")
+
+
 @query("half_sheets", sql("SELECT seg, half, count(*) AS points, avg(fx) AS fx, avg(fy) AS fy, avg(fz) AS fz FROM halves GROUP BY seg, half", "ridge_in", extra={k: RIDGE_SIDED[k] for k in ("sided", "halves")}, rounded="fx fy fz", digits=5), rounded="fx fy fz", digits=5)
 def half_sheets(t):
     return N.half_sheets(sided(t)).select("seg", F.col("half"), "points", "fx", "fy", "fz")
@@ -486,9 +488,12 @@ def sheet_axis(t):
     return N.sheet_measures(sided(t)).select("seg", "ma_id", "x")
 
 
-@query("sheet_measures", sql("SELECT seg, ma_id, radius, ma_theta, ma_planfit, CASE WHEN radius <= abs(x) THEN 2*acos(greatest(-1.0, least(1.0, radius/x))) END AS ma_thetap FROM measures", "ridge_in", extra=RIDGE_SIDED, rounded="radius ma_theta:4 ma_planfit:4 ma_thetap:4"), rounded="radius ma_theta:4 ma_planfit:4 ma_thetap:4")
+SIX = " ".join(f"{m}:4" for m in N.MEASURES)
+
+
+@query("sheet_measures", sql(f"SELECT seg, ma_id, one_side, x, {', '.join(N.MEASURES)} FROM six", "ridge_in", extra=RIDGE_SIDED, rounded="x:4 " + SIX), rounded="x:4 " + SIX)
 def sheet_measures(t):
-    return N.sheet_measures(sided(t)).select("seg", "ma_id", "radius", "ma_theta", "ma_planfit", "ma_thetap")
+    return N.sheet_measures(sided(t))
 
 
 @query("sheet_regularity", sql(
@@ -498,34 +503,97 @@ def sheet_regularity(t):
     return N.sheet_regularity(N.sheet_measures(sided(t)))
 
 
-@query("sheet_regressions", sql(
-    """SELECT seg, measure, count(*) AS n, CASE WHEN count(y) = count(*) AND var_pop(x) > 0 THEN regr_slope(y, x) END AS slope, CASE WHEN count(y) = count(*) AND var_pop(x) > 0 THEN regr_intercept(y, x) END AS intercept
-     FROM (SELECT seg, x, 'radius' AS measure, radius AS y FROM measures UNION ALL SELECT seg, x, 'ma_thetap', CASE WHEN radius <= abs(x) THEN 2*acos(radius/x) END FROM measures) l GROUP BY seg, measure""",
-    "ridge_in", extra=RIDGE_SIDED, rounded="slope:4 intercept:4"), rounded="slope:4 intercept:4")
+# Least squares of each measure (to 6 digits, so that what is constant but for rounding is constant) on x.  The p-value
+# is the finite sum of the t distribution for whole degrees of freedom v: terms are quotients of gamma functions.
+REGRESSED = {
+    **RIDGE_SIDED,
+    "tall": " UNION ALL ".join(f"SELECT seg, x, '{m}' AS measure, round({m}, 6) + 0.0 AS y FROM six" for m in N.MEASURES),
+    "figures": """SELECT seg, measure, count(*) AS n, count(y) = count(*) AND count(x) = count(*) AND var_pop(x) > 0 AS whole, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+      CASE WHEN var_pop(y) > 0 THEN greatest(-1.0, least(1.0, covar_pop(y, x) / sqrt(var_pop(x) * var_pop(y)))) ELSE 0.0 END AS r, var_pop(y) AS vy, var_pop(x) AS vx FROM tall GROUP BY seg, measure""",
+    "angled": "SELECT *, CAST(n - 2 AS DOUBLE) AS v, sqrt(1 - r*r) AS cs, abs(r) AS sn, asin(abs(r)) AS angle FROM figures",
+    "regressed": """SELECT seg, measure, n, CASE WHEN whole THEN slope END AS slope, CASE WHEN whole THEN intercept END AS intercept, CASE WHEN whole THEN r END AS r_value,
+      CASE WHEN whole THEN sqrt((1 - r*r) * vy / vx / v) END AS std_err,
+      CASE WHEN whole THEN 1 - CASE WHEN n % 2 = 0
+        THEN sn * list_sum(list_transform(range(0, CAST(v / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cs, 2 * k)))
+        ELSE 2 / pi() * (angle + sn * coalesce(list_sum(list_transform(range(0, CAST((v - 1) / 2 AS BIGINT)), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(cs, 2 * k + 1))), 0)) END END AS p_value
+      FROM angled""",
+}
+FIVE = ("slope", "intercept", "r_value", "p_value", "std_err")
+DIGITS = "slope:4 intercept:4 r_value:4 p_value:5 std_err:5"
+
+
+@query("sheet_regressions", sql("SELECT * FROM regressed", "ridge_in", extra=REGRESSED, rounded=DIGITS), rounded=DIGITS)
 def sheet_regressions(t):
-    tall = N.regressions(N.sheet_measures(sided(t)), with_p=False)
-    return tall.where(F.col("measure").isin("radius", "ma_thetap")).select("seg", "measure", "n", "slope", "intercept")
+    """All six measures with their five figures; the measures are taken to six digits."""
+    measures = N.sheet_measures(sided(t))
+    return N.regressions(measures.withColumns({m: F.round(m, 6) for m in N.MEASURES}))
+
 
+WIDE_DIGITS = "regularity_ratio ma_planfit_rms:4 " + " ".join(f"{m}_{f}" for m in N.MEASURES for f in DIGITS.split())
 
-@query("analyse_sheets")
+
+@query("analyse_sheets", sql(
+    f"""SELECT r.seg, greatest(one, others) / (one + others) AS regularity_ratio, rms AS ma_planfit_rms, w.* EXCLUDE (seg) FROM (
+      SELECT seg, count(*) FILTER (one_side) AS one, count(*) FILTER (NOT one_side) AS others, sqrt(avg(round(ma_planfit, 6)*round(ma_planfit, 6))) AS rms FROM measures GROUP BY seg) r
+      JOIN (SELECT seg, {', '.join(f"max({f}) FILTER (measure = '{m}') AS {m}_{f}" for m in N.MEASURES for f in FIVE)} FROM regressed GROUP BY seg) w ON w.seg = r.seg""",
+    "ridge_in", extra=REGRESSED, rounded=WIDE_DIGITS), rounded=WIDE_DIGITS)
 def analyse_sheets(t):
-    return N.analyse_sheets(t.ridge_in(), t.ridge_labels())
+    return N.analyse_sheets(t.ridge_in(), t.ridge_labels(), digits=6)
 
 
 # --- fitting and thinning --------------------------------------------------------------
 
-@query("fit_planes")
+# A face of a ridge falls off at half the ridge's angle to either side; its normal has its larger component positive.
+@query("fit_planes", sql(
+    """SELECT sheet, face, count(*) AS n, avg(px) AS rx, avg(py) AS ry, avg(pz) AS rz, any_value(CASE WHEN steep THEN cos(alpha/2) ELSE (1-2*face)*cos(alpha/2) END) AS nx, 0.0::DOUBLE AS ny,
+      any_value(CASE WHEN steep THEN (1-2*face)*sin(alpha/2) ELSE sin(alpha/2) END) AS nz
+     FROM (SELECT *, cos(alpha/2) >= sin(alpha/2)*(1-1e-6) AS steep FROM ridge) r GROUP BY sheet, face""",
+    "ridge", rounded="rx ry rz nx:4 ny:4 nz:4"), rounded="rx ry rz nx:4 ny:4 nz:4")
 def fit_planes(t):
     return P.fit_plane(t.ridge(), ["sheet", "face"])
 
 
-@query("fit_lines")
+# Ball centres of a sheet lie in the plane x = x0, where the axis has a closed form.
+@query("fit_lines", sql(
+    """SELECT seg, n, rx, ry, rz, 0.0::DOUBLE AS tx, CASE WHEN lead < 0 THEN -ty ELSE ty END AS ty, CASE WHEN lead < 0 THEN -tz ELSE tz END AS tz FROM (
+      SELECT *, CASE WHEN abs(ty) >= abs(tz)*(1-1e-6) THEN ty ELSE tz END AS lead FROM (
+       SELECT seg, n, rx, ry, rz, cos(turn) AS ty, sin(turn) AS tz FROM (
+        SELECT seg, count(*) AS n, avg(cx) AS rx, avg(cy) AS ry, avg(cz) AS rz, atan2(2*covar_pop(cy, cz), var_pop(cy) - var_pop(cz))/2 AS turn FROM ridge_in GROUP BY seg) a) b) c""",
+    "ridge_in", rounded="rx ry rz tx:4 ty:4 tz:4"), rounded="rx ry rz tx:4 ty:4 tz:4")
 def fit_lines(t):
     return P.fit_line(t.ridge_in().join(t.ridge_labels(), "ma_id"), ["seg"], "c")
 
 
-@query("ransac_planes")
+def _ransac_round(no: int, points: str) -> dict[str, str]:
+    """Names of one round: the lots, the planes through the three lowest, and the best of them."""
+    return {
+        f"lots{no}": f"""SELECT p.*, trial, row_number() OVER (PARTITION BY sheet, trial ORDER BY md5(concat_ws(' ', '0', '{no}', CAST(trial AS VARCHAR), CAST(s_id AS VARCHAR))), s_id) AS place
+          FROM {points} p, (SELECT unnest(range(10)) AS trial) t""",
+        f"three{no}": f"""SELECT sheet, trial, {', '.join(f"max(p{a}) FILTER (place = {i}) AS {n}{a}" for i, n in ((1, 'a'), (2, 'b'), (3, 'c')) for a in 'xyz')},
+          {', '.join(f"max(s_id) FILTER (place = {i}) AS k{i}" for i in (1, 2, 3))} FROM lots{no} WHERE place <= 3 GROUP BY sheet, trial HAVING count(*) = 3""",
+        f"cross{no}": f"""SELECT *, (by-ay)*(cz-az)-(bz-az)*(cy-ay) AS ux, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS uy, (bx-ax)*(cy-ay)-(by-ay)*(cx-ax) AS uz FROM three{no}""",
+        f"plane{no}": f"""SELECT sheet, trial, k1, k2, k3, ax AS rx, ay AS ry, az AS rz, ux/l AS nx, uy/l AS ny, uz/l AS nz
+          FROM (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS l FROM cross{no}) c WHERE l*l >= 1e-28""",
+        f"near{no}": f"SELECT p.sheet, p.trial, q.s_id FROM plane{no} p JOIN {points} q ON q.sheet = p.sheet WHERE abs((q.px-p.rx)*p.nx+(q.py-p.ry)*p.ny+(q.pz-p.rz)*p.nz) < 0.05",
+        f"best{no}": f"""SELECT * FROM (SELECT p.*, c.inliers, row_number() OVER (PARTITION BY p.sheet ORDER BY c.inliers DESC, p.trial) AS n
+          FROM plane{no} p JOIN (SELECT sheet, trial, count(*) AS inliers FROM near{no} GROUP BY sheet, trial) c ON c.sheet = p.sheet AND c.trial = p.trial) x WHERE n = 1""",
+    }
+
+
+RANSAC = {
+    **_ransac_round(1, "ridge"),
+    "left1": """SELECT r.* FROM ridge r JOIN best1 b ON b.sheet = r.sheet
+      WHERE NOT EXISTS (SELECT 1 FROM near1 x WHERE x.sheet = b.sheet AND x.trial = b.trial AND x.s_id = r.s_id)""",
+    **_ransac_round(2, "left1"),
+}
+RANSAC_COLS = "sheet, inliers, k1, k2, k3, rx, ry, rz, nx, ny, nz"
+
+
+@query("ransac_planes", sql(
+    f"SELECT 1 AS round, {RANSAC_COLS} FROM best1 UNION ALL SELECT 2, {RANSAC_COLS} FROM best2", "ridge", extra=RANSAC, rounded="rx ry rz nx:4 ny:4 nz:4"),
+    rounded="rx ry rz nx:4 ny:4 nz:4")
 def ransac_planes(t):
+    """The picks are columns, so the rows can be recomputed from them."""
     return P.ransac_planes(t.ridge(), "sheet")
 
 

@@ -17,7 +17,9 @@ from .vec import Vec, choose, clamp, put
 
 def _largest_positive(v: Vec) -> Vec:
     ax, ay, az = F.abs(v.x), F.abs(v.y), F.abs(v.z)
-    lead = F.when((ax >= ay) & (ax >= az), v.x).when(ay >= az, v.y).otherwise(v.z)
+    # components that are equal but for rounding count as equal, so the sign does not hang on the last bits
+    near = 1.0 - 1e-6
+    lead = F.when((ax >= ay * near) & (ax >= az * near), v.x).when(ay >= az * near, v.y).otherwise(v.z)
     sign = F.when(lead < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     return v * sign
 

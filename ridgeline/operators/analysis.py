@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ridgeline.functions.symmetric3 import with_axis
 from ridgeline.functions.vec import Vec, angle, choose, put
@@ -63,49 +62,64 @@ def sheet_measures(sided: DataFrame) -> DataFrame:
     )
 
 
-def _beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    from math import lgamma
-
-    a, x = np.asarray(a, float), np.asarray(x, float)
-    swap = x > (a + 1) / (a + b + 2)
-    p, q = np.where(swap, b, a), np.where(swap, a, b)
-    z = np.where(swap, 1 - x, x)
-    tiny = 1e-300
-    c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 400):
-        for top in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
-            d = 1 + top * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + top / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-    logs = np.array([lgamma(i + j) - lgamma(i) - lgamma(j) for i, j in zip(p, q)])
-    with np.errstate(divide="ignore"):
-        front = np.exp(logs + p * np.log(z) + q * np.log1p(-z)) / p
-    value = np.where(z <= 0, 0.0, front * h)
-    return np.where(swap, 1 - value, value)
-
-
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    """p-value of a correlation: t distribution with n - 2 degrees of freedom."""
-    out = pd.Series(np.nan, index=r.index)
-    known = r.notna() & (n > 2)
-    if known.any():
-        free = (n[known] - 2).to_numpy(float)
-        rr = r[known].to_numpy(float)
-        t2 = rr * rr * free / ((1 - rr + 1e-20) * (1 + rr + 1e-20))
-        out[known] = _beta_tail(free / 2, 0.5, free / (free + t2))
-    pair = r.notna() & (n == 2)
-    out[pair] = 0.0
-    return out.where(out.notna(), None)
-
-
-def regressions(measures: DataFrame, with_p: bool = True) -> DataFrame:
-    """``seg, measure, n, slope, intercept, r_value, std_err[, p_value]`` by least squares on ``x``.
+def _log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: Stirling's series 15 further on, and back by the recurrence."""
+    s, product = z + 15.0, z
+    for i in range(1, 15):
+        product = product * (z + float(i))
+    series = 1.0 / (12.0 * s) - 1.0 / (360.0 * s**3) + 1.0 / (1260.0 * s**5) - 1.0 / (1680.0 * s**7)
+    return (s - 0.5) * F.log(s) - s + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
+def _beta_fraction(p: Column, q: Column, z: Column, rounds: Column) -> Column:
+    """Continued fraction of the incomplete beta function, folded from the front (modified Lentz)."""
+
+    def solid(x: Column) -> Column:
+        return F.when(F.abs(x) < 1e-300, 1e-300).otherwise(x)
+
+    def state(c: Column, d: Column, h: Column) -> Column:
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def further(acc: Column, top: Column) -> Column:
+        d = 1.0 / solid(1.0 + top * acc["d"])
+        c = solid(1.0 + top / acc["c"])
+        return state(c, d, acc["h"] * d * c)
+
+    def step(acc: Column, term: Column) -> Column:
+        # term i is the odd one of round m = (i + 1) / 2 or the even one of m = i / 2
+        m = F.ceil(term / 2).cast("double")
+        even = -(p + m) * (p + q + m) * z / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
+        odd = m * (q - m) * z / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
+        return further(acc, F.when(term % 2 == 1, odd).otherwise(even))
+
+    first = 1.0 / solid(1.0 - (p + q) * z / (p + 1.0))
+    return F.aggregate(F.sequence(F.lit(1), rounds), state(F.lit(1.0), first, first), step)["h"]
+
+
+def two_sided_p(r: Column | str, n: Column | str) -> Column:
+    """p-value of a correlation: t distribution with n - 2 degrees of freedom, which is an incomplete beta function
+    of 1 - r^2.  NULL without a correlation or below two points; 0 for two points."""
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    free = (n - 2) / 2.0
+    rest = (1.0 - r) * (1.0 + r)
+    swap = rest > (free + 1.0) / (free + 2.5)
+    given = F.struct(
+        free.alias("a"), swap.alias("swap"), F.when(swap, 0.5).otherwise(free).alias("p"), F.when(swap, free).otherwise(0.5).alias("q"),
+        F.when(swap, r * r).otherwise(rest).alias("z"), (100 + 8 * F.sqrt(free)).cast("int").alias("rounds"),
+    )
+
+    def value(g: Column) -> Column:
+        log_beta = _log_gamma(g["a"] + 0.5) - _log_gamma(g["a"]) - 0.5 * math.log(math.pi)
+        front = F.exp(log_beta + g["p"] * F.log(g["z"]) + g["q"] * F.log(1.0 - g["z"])) / g["p"]
+        part = F.when(g["z"] > 0, front * _beta_fraction(g["p"], g["q"], g["z"], g["rounds"])).otherwise(0.0)
+        return F.when(g["swap"], 1.0 - part).otherwise(part)
+
+    known = F.when(r.isNotNull() & (n > 2), F.array(given))
+    return F.when(r.isNotNull() & (n == 2), 0.0).otherwise(F.transform(known, value)[0])
+
+
+def regressions(measures: DataFrame) -> DataFrame:
+    """``seg, measure, n, slope, intercept, r_value, std_err, p_value`` by least squares on ``x``.
 
     A measure missing on one ball leaves its five figures NULL for the sheet.
     """
@@ -124,10 +138,8 @@ def regressions(measures: DataFrame, with_p: bool = True) -> DataFrame:
         "intercept": F.col("m") - F.col("slope") * F.col("mx"),
         "std_err": F.when(whole, F.when(F.col("balls") == 2, F.lit(0.0)).otherwise(error)),
     })
-    kept = ["seg", "measure", F.col("balls").alias("n"), "slope", "intercept", "r_value", "std_err"]
-    if with_p:
-        kept.append(two_sided_p(F.col("r_value"), F.col("balls")).alias("p_value"))
-    return out.select(*kept)
+    p_value = two_sided_p(F.col("r_value"), F.col("balls")).alias("p_value")
+    return out.select("seg", "measure", F.col("balls").alias("n"), "slope", "intercept", "r_value", "std_err", p_value)
 
 
 def sheet_regularity(measures: DataFrame) -> DataFrame:
@@ -139,9 +151,11 @@ def sheet_regularity(measures: DataFrame) -> DataFrame:
     )
 
 
-def analyse_sheets(atoms: DataFrame, labels: DataFrame) -> DataFrame:
-    """One wide row per sheet with all figures."""
+def analyse_sheets(atoms: DataFrame, labels: DataFrame, *, digits: int | None = None) -> DataFrame:
+    """One wide row per sheet with all figures; measures may be rounded to ``digits`` first."""
     measures = sheet_measures(spoke_sides(atoms, labels))
+    if digits is not None:
+        measures = measures.withColumns({m: F.round(m, digits) for m in MEASURES})
     figures = ("slope", "intercept", "r_value", "p_value", "std_err")
     tall = regressions(measures)
     wide = tall.groupBy("seg").agg(*(F.max(F.when(F.col("measure") == m, F.col(f))).alias(f"{m}_{f}") for m in MEASURES for f in figures))

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from ridgeline.functions.shapes import Plane, point_plane_distance
 from ridgeline.functions.symmetric3 import with_axis
 from ridgeline.functions.vec import Vec
+from ridgeline.staging import stage
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -44,30 +45,50 @@ def fit_line(df: DataFrame, by: list[str], prefix: str = "p") -> DataFrame:
     )
 
 
+def _picks(left: DataFrame, by: str, key: str, round_no: int, trials: int, seed: int) -> DataFrame:
+    """Per group and trial the three points with the lowest keyed hash: ``by, trial, place`` and the point.
+
+    One pass keeps the points whose hash is below a bound for some trial; a trial expects ``wanted`` of them,
+    whatever the size of the group.  Only these few are ranked.  Groups where a trial got fewer than three are passed again
+    with a higher bound.
+    """
+    sizes = stage(left.groupBy(by).agg(F.count("*").alias("_size")).where("_size >= 3"), "sizes")
+    found, wanted, done = None, 32, None
+    while True:
+        lot = f"md5(concat_ws(' ', '{seed}', '{round_no}', cast(t AS string), cast({key} AS string)))"
+        lots = F.expr(f"transform(sequence(0, {trials - 1}), t -> struct(t AS trial, {lot} AS lot))")
+        # the first 15 hexadecimal digits are a number below 2^60
+        low = f"filter(_lots, e -> cast(conv(substring(e.lot, 1, 15), 16, 10) AS double) < {wanted * 2.0**60!r}D / _size)"
+        rows = left.join(sizes, by).withColumn("_lots", lots).withColumn("_lot", F.explode(F.expr(low)))
+        rows = rows.select(*left.columns, "_lot.trial", "_lot.lot")
+        order = Window.partitionBy(by, "trial").orderBy("lot", key)
+        three = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3).drop("lot")
+        three = stage(three, "picks")
+        whole = three.groupBy(by).agg(F.count("*").alias("_picked")).where(F.col("_picked") == 3 * trials).select(by)
+        part = three.join(whole, by, "left_semi")
+        found = part if found is None else found.unionByName(part)
+        sizes = stage(sizes.join(whole, by, "left_anti"), "sizes")
+        if sizes.isEmpty():
+            return found
+        wanted *= 32
+
+
 def ransac_planes(
     df: DataFrame, by: str, *, key: str = "s_id", prefix: str = "p", threshold: float = 0.05, n_planes: int = 2, iterations: int = 10, seed: int = 0
 ) -> DataFrame:
-    """Per group up to ``n_planes`` planes, each the best of ``iterations`` random triples.
+    """Per group up to ``n_planes`` planes, each the best of ``iterations`` random triples (the earliest among equals).
 
-    Triples are the three points with the lowest keyed hash, so a run can be repeated.  A
+    Triples are the three points with the lowest keyed hash (``k1, k2, k3``), so a run can be repeated.  A
     group with fewer than 3 points left yields no further plane.
     """
     left = df.select(by, key, *(f"{prefix}{a}" for a in "xyz"))
     found: list[DataFrame] = []
-    from ridgeline.staging import stage  # staging is only needed between rounds
-
     for round_no in range(1, n_planes + 1):
-        triples = None
-        for trial in range(iterations):
-            lot = F.xxhash64(F.lit(seed), F.lit(round_no), F.lit(trial), F.col(key))
-            # min_by keeps three rows per group and task, never the group
-            draw = Window.partitionBy(by).orderBy(lot, key)
-            picked = left.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= 3)
-            three = picked.groupBy(by).agg(*(F.max(F.when(F.col("_n") == i, F.col(f"{prefix}{a}"))).alias(f"a{i}{a}") for i in (1, 2, 3) for a in "xyz"))
-            three = three.withColumn("trial", F.lit(trial))
-            triples = three if triples is None else triples.unionByName(three)
+        spots = [F.max(F.when(F.col("place") == i, F.col(f"{prefix}{a}"))).alias(f"a{i}{a}") for i in (1, 2, 3) for a in "xyz"]
+        names = [F.max(F.when(F.col("place") == i, F.col(key))).alias(f"k{i}") for i in (1, 2, 3)]
+        triples = _picks(left, by, key, round_no, iterations, seed).groupBy(by, "trial").agg(*spots, *names)
         plane = Plane.through(Vec.of("a1"), Vec.of("a2"), Vec.of("a3"))
-        proposals = stage(triples.select(by, "trial", *plane.cols("")).where("nx IS NOT NULL"), "proposals")
+        proposals = stage(triples.select(by, "trial", "k1", "k2", "k3", *plane.cols("")).where("nx IS NOT NULL"), "proposals")
         scored = left.join(proposals, by).where(point_plane_distance(Vec.of(prefix), Plane.of("")) < threshold)
         counts = scored.groupBy(by, "trial").agg(F.count("*").alias("inliers"))
         best = counts.groupBy(by).agg(F.max_by("trial", F.struct("inliers", -F.col("trial"))).alias("trial"), F.max("inliers").alias("inliers"))
@@ -79,4 +100,4 @@ def ransac_planes(
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.select(by, "round", "inliers", "rx", "ry", "rz", "nx", "ny", "nz")
+    return out.select(by, "round", "inliers", "k1", "k2", "k3", "rx", "ry", "rz", "nx", "ny", "nz")
