@@ -154,7 +154,12 @@ RUNNING_MEAN = {
         GROUP BY f.v) j ON j.ma_id = g.ma_id
       WHERE (SELECT bool_or(seg IS NULL) FROM grow)""",
     "last_step": "SELECT ma_id, seg FROM grow WHERE step = (SELECT max(step) FROM grow)",
-    "kept": "SELECT ma_id, CASE WHEN count(*) OVER (PARTITION BY seg) >= 10 THEN seg ELSE 0 END AS seg FROM last_step",
+    "region_sums": "SELECT l.seg, sum(i.bx) AS x, sum(i.by) AS y, sum(i.bz) AS z FROM last_step l JOIN ridge_in i ON i.ma_id = l.ma_id GROUP BY l.seg",
+    "close_pairs": f"""SELECT DISTINCT a.seg AS a, b.seg AS b FROM alike s JOIN last_step a ON a.ma_id = s.u JOIN last_step b ON b.ma_id = s.v JOIN region_sums p ON p.seg = a.seg JOIN region_sums q ON q.seg = b.seg
+      WHERE a.seg <> b.seg AND (p.x*q.x+p.y*q.y+p.z*q.z)/(sqrt(p.x*p.x+p.y*p.y+p.z*p.z)*sqrt(q.x*q.x+q.y*q.y+q.z*q.z)) > {COS[2]}""",
+    "joined_walk": "SELECT DISTINCT seg AS root, seg AS node FROM last_step UNION SELECT w.root, c.b FROM joined_walk w JOIN close_pairs c ON c.a = w.node",
+    "joined": "SELECT l.ma_id, m.seg FROM last_step l JOIN (SELECT node, min(root) AS seg FROM joined_walk GROUP BY node) m ON m.node = l.seg",
+    "kept": "SELECT ma_id, CASE WHEN count(*) OVER (PARTITION BY seg) >= 10 THEN seg ELSE 0 END AS seg FROM joined",
 }
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ridgeline.functions.vec import Vec, acos_clamped
-from ridgeline.operators.components import lowest_reaching
+from ridgeline.operators.components import components, lowest_reaching
 from ridgeline.operators.nearest import knn
 from ridgeline.staging import discard, new_path, number_rows, stage, stage_at
 
@@ -195,7 +195,8 @@ def segment_running_mean(
     Regions start at the free balls that come first among their accepted free neighbours in the order of a hash of
     the id, so starts are spread evenly however ids run.  In a round every free ball next to a region
     whose mean is within ``deg`` joins it, the one with the lowest label if there are several.  When no ball
-    joins, regions start anew on what is free until nothing is.
+    joins, regions start anew on what is free until nothing is.  Regions that meet along accepted neighbours and whose
+    means are within ``deg`` become one then, so a flat stretch is one region wherever it was started.
     """
     if edges is None:
         edges = stage(knn(atoms, k - 1), "edges")
@@ -207,7 +208,8 @@ def segment_running_mean(
     flat = near.where(F.abs(F.col("u_theta") - F.col("v_theta")) < math.radians(theta_deg)) if theta_deg is not None else near
     flat = stage(flat.select("u", "v"), "flat")
     balls = stage(atoms.select("ma_id", "bx", "by", "bz"), "balls")
-    grown = _grow_by_means(balls, flat, similar, _cos(deg))
+    similar = stage(similar, "similar")
+    grown = _merge_by_means(balls, similar, stage(_grow_by_means(balls, flat, similar, _cos(deg)), "regions"), _cos(deg))
     return relabel(stage(unmark_small(grown, mincount), "grown"))
 
 
@@ -287,6 +289,18 @@ def _grow_by_means(balls: DataFrame, flat: DataFrame, similar: DataFrame, least:
     return labels.now()
 
 
+def _merge_by_means(balls: DataFrame, similar: DataFrame, grown: DataFrame, least: float) -> DataFrame:
+    """``ma_id, seg`` after joining regions that links of close means connect; the lowest label stays."""
+    ends = [grown.select(F.col("ma_id").alias(end), F.col("seg").alias(name)) for end, name in (("u", "a"), ("v", "b"))]
+    meet = similar.join(ends[0], "u").join(ends[1], "v").where("a < b").select("a", "b").distinct()
+    sums = stage(_region_sums(grown.join(balls, "ma_id")), "sums")
+    for end in "ab":
+        meet = meet.join(sums.select(F.col("seg").alias(end), *(F.col(f"b{x}").alias(f"{end}m{x}") for x in "xyz")), end)
+    close = meet.where(Vec.of("am").unit().dot(Vec.of("bm").unit()) > least).select("a", "b")
+    joined = components(close, key="seg")
+    return grown.join(joined, "seg", "left").select("ma_id", F.coalesce("component", "seg").alias("seg"))
+
+
 def _region_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("seg").agg(*(F.sum(f"b{a}").alias(f"b{a}") for a in "xyz"))
 
