@@ -12,7 +12,8 @@
   times as many representatives in the next round.  A key is done when one class is left or when all that could be
   the shorter text of a pair have been representatives.  Only classes at links matter, so pairs go
   untested only where links connect them already.
-* Every link is verified on the whole arrays.  Each round is deleted when the next is written.
+* Every link is verified on the whole arrays, which are made for the texts of a round's pairs only.  Each round is deleted when
+  the next is written.
 
 Null and blank texts are one text.  Equal texts are one node; repeated rows and ids do not matter.  Very long texts
 are arrays of eight bytes a word.  An empty table gives no class.
@@ -20,7 +21,7 @@ are arrays of eight bytes a word.  An empty table gives no class.
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bk_simhash import keep_smallest, link_shards, simhash, text_digest
-from ridgeline.llm.common import utf8
+from ridgeline.llm.common import BitTable, utf8
 from ridgeline.operators.components import components
 from ridgeline.staging import discard, new_path, stage, stage_at
 
@@ -95,7 +96,7 @@ def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """``doc_id, digest, n, fp, keys``: number of shingles, fingerprint, and the first shingles in order."""
+    """``node, doc_id, digest, n, fp, keys``: a number for each row, number of shingles, fingerprint, and the first shingles in order."""
     common, ranks = _order(docs, size)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +115,42 @@ def _marked(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
                 sizes.append(len(found))
                 prints.append(simhash(text, size, seed))
                 keys.append(ordered[: len(found) - -(-percent * len(found) // 100) + 1].view(np.int64))
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64())]
+            columns = [*(batch.column(c) for c in ("node", "doc_id", "digest")), pa.array(sizes, pa.int64())]
             columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "digest", "n", "fp", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(task, "doc_id bigint, digest binary, n bigint, fp bigint, keys array<bigint>")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), utf8(F.col("text")).alias("text")
+    )
+    return rows.mapInArrow(task, "node bigint, doc_id bigint, digest binary, n bigint, fp bigint, keys array<bigint>")
+
+
+def _filed(marked: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """``key, node, n, i, short`` of the shingles that several texts are filed under.
+
+    Most are filed under by one text only.  The keys alone are counted; a bit table of those that come twice keeps the
+    others in their tasks.  ``short`` marks places where the shorter text of a pair can have its first common shingle.
+    """
+    twice = stage(marked.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "near-twice")
+    known = BitTable(twice.select(F.col("key").alias("h")))
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.diff(batch.column("keys").offsets.to_numpy())
+            keys = batch.column("keys").flatten().to_numpy()
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(held) - held, held)
+            at = np.flatnonzero(known.holds(keys.view(np.uint64)))
+            row = pa.array(np.repeat(np.arange(len(batch)), held)[at])
+            columns = [pa.array(keys[at]), batch.column("node").take(row), batch.column("n").take(row), pa.array(place[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "i"])
+
+    rows = marked.select("keys", "node", "n").mapInArrow(task, "key bigint, node bigint, n bigint, i bigint")
+    rows = rows.join(twice, "key", "left_semi").join(first.select("node"), "node", "left_semi")
+    return rows.withColumn("short", (100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n"))
 
 
 def _arrays(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, hashes``: the shingle arrays of the texts with the digests ``node``."""
+    """``node, hashes``: the shingle arrays of some texts, given as ``node, digest``."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -131,9 +158,9 @@ def _arrays(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             found = [shingle_hashes(t.as_py(), size, words).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
 
-    texts = docs.select(text_digest().alias("node"), utf8(F.col("text")).alias("text"))
-    wanted = texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node", "left_semi")
-    return wanted.mapInArrow(task, "node binary, hashes binary").dropDuplicates(["node"])
+    texts = docs.select(text_digest().alias("digest"), utf8(F.col("text")).alias("text"))
+    wanted = texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "digest").select("node", "text")
+    return wanted.mapInArrow(task, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -148,13 +175,13 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(task, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint")
 
 
 def _tree_pairs(marked: DataFrame, radius: int) -> DataFrame:
     """``a, b``: texts with one fingerprint and their first one, and the first ones of linked fingerprints."""
-    first = stage(marked.groupBy("fp").agg(F.min("digest").alias("a"), F.max("digest").alias("z")), "near-prints")
-    same = marked.join(first.where("a <> z"), "fp").select("a", F.col("digest").alias("b")).where("a <> b")
+    first = stage(marked.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")), "near-prints")
+    same = marked.join(first.where("a <> z"), "fp").select("a", F.col("node").alias("b")).where("a <> b")
     linked = link_shards(first.select("fp"), radius=radius)
     ends = linked.join(first.select(F.col("fp").alias("a"), F.col("a").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("a").alias("_b")), "b")
     return same.unionByName(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
@@ -164,18 +191,15 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int =
     """``doc_id, digest, class`` for every row: texts that links of at least ``percent`` similarity connect."""
     spark = docs.sparkSession
     marked = stage(_marked(docs, size, percent, seed), "near-marks")
-    rows = marked.select(F.col("digest").alias("node"), "n", F.posexplode("keys").alias("i", "key"))
-    # the shorter text of a pair has its key among the first of its shingles
-    rows = rows.withColumn("short", (100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("short").alias("any")).where("any and lo <> hi").select("key")
-    state = rows.join(shared, "key", "left_semi").withColumn("class", F.col("node"))
+    first = stage(marked.groupBy("digest").agg(F.min("node").alias("node")), "near-first")  # equal texts are one node
     path = new_path(spark, "near-state")
-    state = stage_at(state, path)
-    trees = stage(_tree_pairs(marked, radius), "near-trees")
-    nodes = state.select("node").unionByName(trees.select(F.col("a").alias("node"))).unionByName(trees.select(F.col("b").alias("node")))
+    state = stage_at(_filed(marked, first, percent).withColumn("class", F.col("node")), path)
+    trees = stage(_tree_pairs(marked.join(first, ["digest", "node"], "left_semi").select("fp", "node"), radius), "near-trees")
     found_at = new_path(spark, "near-classes")
-    found = stage_at(nodes.distinct().withColumn("class", F.col("node")), found_at)
-    arrays = stage(_arrays(docs, found.select("node"), size), "near-arrays")
+    nodes = state.select("node").unionByName(trees.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    found = stage_at(nodes.withColumn("class", F.col("node")), found_at)
+    arrays: list[DataFrame] = []
+    seen: list[DataFrame] = []
 
     turn, most = 0, 1
     while True:
@@ -201,8 +225,17 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int =
             pairs = state.join(used, "key").where((F.col("class") != F.col("_c")) & near)
             pairs = pairs.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
             most *= 4
-        links_at = new_path(spark, "near-links")
-        links = stage_at(_verified(pairs, arrays, percent), links_at)
+        pairs_at, links_at = new_path(spark, "near-pairs"), new_path(spark, "near-links")
+        pairs = stage_at(pairs, pairs_at)
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for nodes in seen:
+            asked = asked.join(nodes, "node", "left_anti")
+        asked = stage(asked, "near-asked")
+        if not asked.isEmpty():
+            seen.append(asked)
+            arrays.append(stage(_arrays(docs, first.join(asked, "node", "left_semi"), size), "near-arrays"))
+        links = stage_at(_verified(pairs, functools.reduce(DataFrame.unionByName, arrays), percent) if arrays else pairs, links_at)
+        discard(spark, pairs_at)
         new = None
         if not links.isEmpty():
             ends = links.join(found.select(F.col("node").alias("a"), F.col("class").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b")
@@ -225,8 +258,8 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int =
         if used is not None:
             discard(spark, used_at)
         turn += 1
-    named = marked.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-    return named.select("doc_id", "digest", F.coalesce("class", "digest").alias("class"))
+    named = first.join(found, "node", "left").select("digest", F.coalesce("class", "node").alias("class"))
+    return marked.select("doc_id", "digest").join(named, "digest")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
