@@ -16,6 +16,8 @@ from ridgeline.operators import atoms as A
 from ridgeline.operators import cmap as M
 from ridgeline.operators import reconstruct as B
 from ridgeline.operators.analysis import spoke_sides
+from ridgeline.plans.pipeline import run_path
+from ridgeline.staging import new_path
 
 # Axis of the edge, and the coordinates along (k), and across it (k+1, k+2), rotated into x, y, z.
 CUBE = """
@@ -320,15 +322,38 @@ def reconstruct(t):
 TRIANGLE_COLS = " ".join(f"{p}{a}" for p in "abcn" for a in "xyz")
 
 
-@query("reconstruct_triangles", sql(
+TRIANGLES_SQL = sql(
     """SELECT a.face, CAST(b.pos - 1 AS BIGINT) AS tri, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, p.nx, p.ny, p.nz
      FROM corners a JOIN corners b ON b.face = a.face AND b.pos >= 1 JOIN corners c ON c.face = a.face AND c.pos = b.pos + 1 JOIN planes p ON p.face = a.face
      WHERE a.pos = 0 AND a.face IN (SELECT face FROM corners GROUP BY face HAVING count(*) = max(size))""",
-    "cube_in", "cube_links", extra={**CORNERS, **PLANES}, rounded=TRIANGLE_COLS, digits=5), rounded=TRIANGLE_COLS, digits=5)
+    "cube_in", "cube_links", extra={**CORNERS, **PLANES}, rounded=TRIANGLE_COLS, digits=5)
+
+
+@query("reconstruct_triangles", TRIANGLES_SQL, rounded=TRIANGLE_COLS, digits=5)
 def reconstruct_triangles(t):
     return B.reconstruct(cube_sided(t), cube(t), found(t), oriented(t)).select("face", "tri", *(f"{p}{a}" for p in ("a", "b", "c", "n") for a in "xyz"))
 
 
+def cube_job(t, **options):
+    """The whole path over both sides of the cubes, with the sheets they are made of."""
+    wide = cube(t)
+    labels = wide.select(F.col("s_id").alias("ma_id"), F.col("sheet").alias("seg"))
+    return run_path(t.spark, wide, A.stack_sides(wide), new_path(t.spark, "whole"), labels=labels, links=cube_links(t), **options)
+
+
+@query("whole_path", TRIANGLES_SQL, rounded=TRIANGLE_COLS, digits=5)
+def whole_path(t):
+    """From balls of both sides to triangles in one job of resumable steps."""
+    return cube_job(t).table("triangles").select("face", "tri", *(f"{p}{a}" for p in ("a", "b", "c", "n") for a in "xyz"))
+
+
+@query("whole_path_surface", TRIANGLES_SQL, rounded=TRIANGLE_COLS, digits=5)
+def whole_path_surface(t):
+    """The same with interior balls only and links matched by surface; no two sides of a cube are coplanar twice."""
+    job = cube_job(t, only_interior=True, variant="surface")
+    return job.table("triangles").select("face", "tri", *(f"{p}{a}" for p in ("a", "b", "c", "n") for a in "xyz"))
+
+
 # On the ridge cloud the ridge of a sheet is the line x = x0, z = 10, over the extent of its balls.
 @query("wedge", sql(
     "SELECT sheet AS seg, CAST(20*b AS DOUBLE) AS x0, CAST(10 AS DOUBLE) AS z0, max(y1) - min(y1) AS length FROM (SELECT sheet, b, ciy AS y1 FROM ridge) r GROUP BY sheet, b", "ridge", rounded="x0:4 z0:4 length:4"), rounded="x0:4 z0:4 length:4")

@@ -245,6 +245,11 @@ def orient(ordered: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def map_links(sided: DataFrame, links: DataFrame, nodes: DataFrame, *, variant: str = "angle", surface: DataFrame | None = None) -> DataFrame:
+    """``match_edges`` with the points of the half-nodes at hand."""
+    return match_edges(links, nodes, variant=variant, points=half_node_points(sided), surface=surface)
+
+
 def build_map(
     sided: DataFrame, links: DataFrame, *, variant: str = "angle", surface: DataFrame | None = None, merge_matching: bool | None = None, **node_options
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -253,7 +258,7 @@ def build_map(
     Doubly matching pairs are merged with ``variant='surface'`` unless asked otherwise.
     """
     nodes = stage(half_nodes(sided, **node_options), "half_nodes")
-    matched = stage(match_edges(links, nodes, variant=variant, points=half_node_points(sided), surface=surface), "match")
+    matched = stage(map_links(sided, links, nodes, variant=variant, surface=surface), "match")
     merge = variant == "surface" if merge_matching is None else merge_matching
     removed = stage(removed_nodes(matched, nodes, merge_matching=merge), "removed")
     left = stage(drop_splitting(*contract(matched.select("x", "y"), removed)), "left")

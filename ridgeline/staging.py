@@ -58,6 +58,17 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Leave an empty file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True).close()
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str, *, start: int = 0, label: str = "numbered") -> DataFrame:
     """Dense global row number along ``order`` without a single-task window.
 
