@@ -10,7 +10,8 @@ Training is one task on the bounded sample; its result, two dictionaries and a f
 ``2 * dictionary + 1 KB`` bytes), goes with the scoring tasks, which read each whole text once and
 shuffle nothing.
 
-Null counts as empty; an empty text has its own defined score, the calibrated share of label 1.
+Null counts as empty; an empty text has its own defined score, the calibrated share of label 1.  Repeated rows are
+scored alike and count once in the sample; so do ids with several texts.  An empty table gives no rows.
 Without labelled rows of both kinds every score is that share (0.5 if there are none).
 """
 
@@ -22,10 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import per_document, texts, utf8
+from ridgeline.staging import stage
 
 LEVEL = 3
 
@@ -76,23 +78,29 @@ def _train(rows: list[tuple[bytes, int]], dictionary: int) -> dict:
     return {"share": share, "weights": _logistic(x, y).tolist(), "dictionaries": dictionaries}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, dictionary: int = 65_536) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, dictionary: int = 65_536, sample_bytes: int = 64_000_000) -> dict:
     """The model from the labelled rows of ``docs``: ``labels`` has ``doc_id`` and ``quality``.
 
-    At most ``per_label`` whole texts of each label are used; that is the bound of the one task.
+    At most ``per_label`` whole texts of each label with at most ``sample_bytes / 2`` bytes together are used, one for each
+    id (the first in order of its rows' texts); that is the bound of the one task.
     """
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     picked = [marks.where(F.col("quality") == k).orderBy(order, "doc_id").limit(per_label) for k in (0, 1)]
-    sample = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # copies collapse before the shuffle
+    rows = stage(rows.select("doc_id", "text", order.alias("rank"), F.length("text").alias("size"), F.col("quality").cast("int").alias("quality")), "quality-sample")
+    run = Window.partitionBy("quality").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = rows.select("doc_id", (F.sum("size").over(run) <= sample_bytes // 2).alias("fits")).where("fits")  # per_label rows of each label
+    sample = rows.join(F.broadcast(few), "doc_id", "left_semi")
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["rank", "text"])
         model = _train(list(zip(group["text"], group["quality"])), dictionary)
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    rows = sample.select(F.lit(0).alias("all"), order.alias("rank"), "text", F.col("quality").cast("int").alias("quality"))
-    found = rows.groupBy("all").applyInPandas(train, "model binary").first()  # one small row
+    sample = sample.select(F.lit(0).alias("all"), "rank", "text", "quality")
+    found = sample.groupBy("all").applyInPandas(train, "model binary").first()  # one small row
     return pickle.loads(bytes(found[0])) if found else {"share": 0.5, "weights": None, "dictionaries": {}}
 
 
