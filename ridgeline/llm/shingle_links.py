@@ -150,7 +150,7 @@ def _filed(marked: DataFrame, first: DataFrame, percent: int) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, hashes``: the shingle arrays of some texts, given as ``node, digest``."""
+    """``node, hashes``: the shingle arrays of some texts, given as ``node, digest, copies``."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -159,23 +159,38 @@ def _arrays(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
 
     texts = docs.select(text_digest().alias("digest"), utf8(F.col("text")).alias("text"))
-    wanted = texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "digest").select("node", "text")
-    return wanted.mapInArrow(task, "node bigint, hashes binary").dropDuplicates(["node"])
+    wanted = texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "digest")
+    once = wanted.where("copies = 1").select("node", "text")  # only texts that several rows have are brought together
+    several = wanted.where("copies > 1").groupBy("node").agg(F.min("text").alias("text"))
+    return once.unionByName(several).mapInArrow(task, "node bigint, hashes binary")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts are alike; only the arrays of ``b`` travel with the pairs."""
+    """The pairs ``a, b`` whose texts are alike.
+
+    The array of ``a`` goes once to where its pairs are compared, and the arrays of ``b`` one by one; arrays that no pair
+    needs do not travel where the pairs are few enough to be broadcast.
+    """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                keep.append(alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
+            for a, b, hashes in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes")):
+                found = np.frombuffer(hashes.as_py(), np.uint64)
+                if b is None:  # comes first among the rows of its text
+                    last, held = a, found
+                    keep.append(False)
+                else:
+                    keep.append(a == last and alike(held, found, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint")
+    few = pairs.count() <= FEW  # 16 bytes each
+    firsts, seconds = pairs.select(F.col("a").alias("node")).distinct(), pairs.select("a", "b", F.col("b").alias("node"))
+    own = arrays.join(F.broadcast(firsts) if few else firsts, "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "hashes")
+    others = arrays.join(F.broadcast(seconds) if few else seconds, "node").select("a", "b", "hashes")
+    rows = own.unionByName(others).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    return rows.mapInArrow(task, "a bigint, b bigint")
 
 
 def _tree_pairs(marked: DataFrame, radius: int) -> DataFrame:
@@ -191,7 +206,7 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int =
     """``doc_id, digest, class`` for every row: texts that links of at least ``percent`` similarity connect."""
     spark = docs.sparkSession
     marked = stage(_marked(docs, size, percent, seed), "near-marks")
-    first = stage(marked.groupBy("digest").agg(F.min("node").alias("node")), "near-first")  # equal texts are one node
+    first = stage(marked.groupBy("digest").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "near-first")  # equal texts are one node
     path = new_path(spark, "near-state")
     state = stage_at(_filed(marked, first, percent).withColumn("class", F.col("node")), path)
     trees = stage(_tree_pairs(marked.join(first, ["digest", "node"], "left_semi").select("fp", "node"), radius), "near-trees")
@@ -258,7 +273,7 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, radius: int =
         if used is not None:
             discard(spark, used_at)
         turn += 1
-    named = first.join(found, "node", "left").select("digest", F.coalesce("class", "node").alias("class"))
+    named = first.drop("copies").join(found, "node", "left").select("digest", F.coalesce("class", "node").alias("class"))
     return marked.select("doc_id", "digest").join(named, "digest")
 
 
