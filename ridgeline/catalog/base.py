@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import atoms as A
 from ridgeline.operators.nearest import knn
-from ridgeline.staging import stage
+from ridgeline.staging import spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,10 +150,15 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def part(self) -> DataFrame:
+        """``part`` in tasks of bounded rows: its files are small and every row becomes balls or faces."""
+        rows = self.table("part")
+        return spread(rows, rows.count())
+
     def adapter(self, text: str, *names: str) -> DataFrame:
         for name in names:
             text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
-        return self.spark.sql(text, **{name: self.table(name) for name in names})
+        return self.spark.sql(text, **{name: self.part() if name == "part" else self.table(name) for name in names})
 
     def emb(self) -> DataFrame:
         return self.adapter(EMB.format(*range(7)), "embeddings")

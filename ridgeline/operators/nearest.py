@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.regions import nearest
-from ridgeline.staging import stage
+from ridgeline.staging import large, stage
 
 
 def places(points: DataFrame, key: str, prefix: str, keep: int) -> DataFrame:
@@ -39,7 +39,7 @@ def knn(
     lists = nearest(asked.select("id", "xs"), items, need)
     at = [f"xs[{i}] AS q{a}" for i, a in enumerate("xyz")]
     rows = queries.selectExpr(f"{key} AS u", *(f"cast({prefix}{a} AS double) + 0D AS q{a}" for a in "xyz"))
-    rows = rows.join(lists.selectExpr("found", *at), ["qx", "qy", "qz"])
+    rows = rows.join(large(lists.selectExpr("found", *at)), ["qx", "qy", "qz"])
     # a self join asked for one more; whether or not the point is listed itself, k remain
     others = f"slice(filter(found, e -> e.id <> u), 1, {k})" if itself else "found"
     return rows.selectExpr("u", f"posexplode({others}) AS (pos, e)").selectExpr("u", "e.id AS v", "pos + 1 AS rank", "e.d2 AS d2")

@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 
 from ridgeline.staging import stage
 
-#: Items of a region, regions at most, queries that a task answers for one copy of a region, items of a leaf.
+#: Items of a region, regions at most, queries answered by one copy of a region, items of a leaf.
 SIZE, MOST, ASKED, LEAF = 4096, 1 << 17, 1 << 16, 32
+#: Copies of regions that a task answers one after the other, and tasks for which fewer are taken: starting a task costs
+#: as much as many a region.
+EACH, TASKS = 16, 48
 SLACK = 1 + 1e-9  # for bounds that are rounded differently from distances
 
 
@@ -208,7 +211,12 @@ def _boxes(items: DataFrame, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.nda
 _FOUND = "id bigint, xs array<double>, found array<struct<d2:double,id:bigint>>, limit double, others array<bigint>"
 
 
-def _asked(queries: DataFrame, items: DataFrame, kind: Kind, need: int, parts: int, map_: tuple | None = None) -> DataFrame:
+def _tasks(copies: int) -> int:
+    """Tasks for so many copies of regions."""
+    return max(1, min(copies, TASKS), math.ceil(copies / EACH))
+
+
+def _asked(queries: DataFrame, items: DataFrame, kind: Kind, need: int, map_: tuple | None = None) -> DataFrame:
     """Answers of each query (``region, id, xs, limit``) from the region it names.
 
     With ``map_``, the regions' numbers, boxes and sizes, ``others`` tells which regions may hold closer items.
@@ -227,7 +235,10 @@ def _asked(queries: DataFrame, items: DataFrame, kind: Kind, need: int, parts: i
         at = at[numbers[at] != region]
         if not len(at):
             return limits, [[] for _ in q]
-        return limits, [numbers[at[_near2(x, x, lows[at], highs[at]) <= limit]].tolist() for x, limit in zip(q, limits)]
+        gap = np.maximum(0.0, np.maximum(lows[at] - q[:, None], q[:, None] - highs[at]))
+        within = gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1] + gap[..., 2] * gap[..., 2] <= limits[:, None]
+        who, what = np.nonzero(within)
+        return limits, [x.tolist() for x in np.split(numbers[at[what]], np.cumsum(np.bincount(who, minlength=len(q)))[:-1])]
 
     def answer(region: int, part: Region, ids: np.ndarray, q: np.ndarray, limits: np.ndarray) -> pa.RecordBatch:
         groups = Halves(q, q)
@@ -289,6 +300,7 @@ def _asked(queries: DataFrame, items: DataFrame, kind: Kind, need: int, parts: i
 
     load = queries.groupBy("region").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("salts"))
     load = stage(load, "region-load")  # a row for each region
+    parts = _tasks(load.agg(F.sum("salts")).first()[0] or 0)
     spread = F.broadcast(load)
     rows = queries.join(spread, "region").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     rows = rows.select("region", "salt", F.lit(True).alias("query"), "id", "xs", "limit")
@@ -315,13 +327,12 @@ def nearest(queries: DataFrame, items: DataFrame, need: int, kind: Kind = POINTS
     held = stage(_dealt(items, planes, kind), "region-items")
     map_ = _boxes(held, kind)
     own = _dealt(queries, planes, POINTS).withColumn("limit", F.lit(math.inf))
-    parts = min(20_000, 8 + 4 * len(map_[0]))
-    first = stage(_asked(stage(own, "region-queries"), held, kind, need, parts, map_), "region-first")
+    first = stage(_asked(stage(own, "region-queries"), held, kind, need, map_), "region-first")
     alone = first.where("size(others) = 0").select("id", "xs", "found")
     more = first.where("size(others) > 0").select(F.explode("others").alias("region"), "id", "xs", "limit")
     if depth == 0:
         return alone
-    rest = _asked(stage(more, "region-more"), held, kind, need, parts).select("id", "xs", "found")
+    rest = _asked(stage(more, "region-more"), held, kind, need).select("id", "xs", "found")
     both = first.where("size(others) > 0").select("id", "xs", "found").unionByName(rest).groupBy("id").agg(
         F.first("xs").alias("xs"), F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, need).alias("found")
     )

@@ -13,7 +13,7 @@ from ridgeline.functions.shapes import circumcentre_xy, double_area_xy, inside_x
 from ridgeline.functions.vec import Vec
 from ridgeline.operators.nearest import places
 from ridgeline.operators.regions import Kind, nearest
-from ridgeline.staging import stage
+from ridgeline.staging import large, stage
 
 CORNERS = "abc"
 
@@ -22,7 +22,7 @@ def corners(face: DataFrame, vertex: DataFrame) -> DataFrame:
     """Faces with the coordinates ``a*, b*, c*`` of their vertices."""
     out = face.select("f_id", "v0", "v1", "v2")
     for i, name in enumerate(CORNERS):
-        out = out.join(vertex.select(F.col("v_id").alias(f"v{i}"), *(F.col(x).alias(f"{name}{x}") for x in "xyz")), f"v{i}")
+        out = out.join(large(vertex.select(F.col("v_id").alias(f"v{i}"), *(F.col(x).alias(f"{name}{x}") for x in "xyz"))), f"v{i}")
     return out
 
 
@@ -304,10 +304,10 @@ def nearest_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, ke
             columns = [pa.array(at[0][:, a]) for a in range(3)] + [batch.column("f_id")] + [pa.array(spot[:, a]) for a in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("d2")], ["qx", "qy", "qz", "f_id", "fx", "fy", "fz", "d2"])
 
-    won = found.join(items.select("id", F.col("xs").alias("t")), "id").select("xs", F.col("id").alias("f_id"), "t", "d2")
+    won = found.join(large(items.select("id", F.col("xs").alias("t"))), "id").select("xs", F.col("id").alias("f_id"), "t", "d2")
     feet = won.mapInArrow(task, "qx double, qy double, qz double, f_id bigint, fx double, fy double, fz double, d2 double")
     rows = points.selectExpr(key, *(f"cast({prefix}{x} AS double) + 0D AS q{x}" for x in "xyz"))
-    return rows.join(feet, ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")
+    return rows.join(large(feet), ["qx", "qy", "qz"]).select(key, "f_id", "fx", "fy", "fz", "d2")
 
 
 def rms_to_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:

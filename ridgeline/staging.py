@@ -7,6 +7,7 @@ executor, and their sizes are known to the optimizer afterwards.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -52,6 +53,24 @@ def stage_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is to shuffle both sides.
+
+    What grows with the input must not be sent whole through the driver.  Staged ids and labels take so few bytes
+    in their files that Spark would broadcast millions of rows of them.
+    """
+    return df.hint("merge")
+
+
+#: Rows of a task where the work of a row is far more than its bytes in a file tell.
+ROWS = 50_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, which has ``rows`` rows, in tasks of about ``ROWS`` however few bytes they take."""
+    return df.repartition(max(1, math.ceil(rows / ROWS)), *keys)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -65,3 +65,27 @@ def test_fewer_points_than_neighbours_and_missing_balls(spark):
     xyz = np.array([[0.0, 0, 0], [1, 0, 0], [5, 0, 0], [np.nan, 0, 0]])
     got = lists(knn(frame(spark, xyz), 9))
     assert got == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
+
+
+def test_a_task_answers_several_regions(spark, monkeypatch):
+    """Tasks of the search follow the regions at a fraction, and no query is lost where regions share a task."""
+    rng = np.random.default_rng(5)
+    at = rng.random((4000, 3))
+    monkeypatch.setattr(regions, "SIZE", 8)
+    whole, tasks = regions._asked, []
+
+    def counted(*given):
+        found = whole(*given)
+        tasks.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(regions, "_asked", counted)
+    items = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(at)], "id bigint, xs array<double>")
+    found = {r.id: r.found[0] for r in regions.nearest(items.where("id % 5 = 0"), items.where("id % 5 <> 0"), 1).collect()}
+    assert len(tasks) == 2 and max(tasks) <= 100  # 512 regions
+    other = np.flatnonzero(np.arange(4000) % 5)
+    for i in range(0, 4000, 5):
+        gap = at[other] - at[i]
+        d2 = gap[:, 0] ** 2 + gap[:, 1] ** 2 + gap[:, 2] ** 2
+        assert (found[i].d2, found[i].id) == (d2.min(), other[np.argmin(d2)])
+    assert len(found) == 800
