@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ridgeline.functions.symmetric3 import with_axis
 from ridgeline.functions.vec import Vec, angle, choose, put
 from ridgeline.operators.fitting import moments
+from ridgeline.staging import large
 
 MEASURES = ("radius", "ma_theta", "ma_bisec_diff", "ma_thetap", "ma_planfit", "biseco_diff")
 
 
 def spoke_sides(atoms: DataFrame, labels: DataFrame) -> DataFrame:
     """Balls with ``seg`` and ``one_side``: which way the spoke pair turns about the sheet's axis."""
-    rows = atoms.join(labels.where("seg <> 0"), "ma_id")
+    rows = atoms.join(large(labels.where("seg <> 0")), "ma_id")
     axes = with_axis(moments(rows, ["seg"], "k"), "s", "t", largest=True).select("seg", "tx", "ty", "tz")
     turned = rows.join(axes, "seg")
     return turned.withColumn("one_side", F.coalesce(Vec.of("t").dot(Vec.of("k")) > 0, F.lit(False))).drop("tx", "ty", "tz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.staging import discard, new_path, stage, stage_at
+from ridgeline.staging import discard, large, new_path, stage, stage_at
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -16,9 +16,9 @@ def _stars(pairs: DataFrame) -> DataFrame:
     """
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-    floor = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    pulled = both.where("v > u").join(large(low), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    floor = pulled.groupBy("u").agg(F.min("v").alias("m"))
+    moved = pulled.join(large(floor), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return floor.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
@@ -48,7 +48,7 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, *, key: str
     if vertices is None:
         roots = pairs.select(F.col("v").alias(key)).distinct()
         return found.unionByName(roots.select(key, F.col(key).alias("component")))
-    return vertices.select(key).join(found, key, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
+    return vertices.select(key).join(large(found), key, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
 
 
 def lowest_reaching(edges: DataFrame, nodes: DataFrame, *, label: str = "rank") -> DataFrame:
@@ -61,15 +61,15 @@ def lowest_reaching(edges: DataFrame, nodes: DataFrame, *, label: str = "rank")
     """
     one_way = edges.select("u", "v").where("u <> v").distinct()
     one_way = stage(one_way, "steps")
-    mutual = one_way.where("u < v").join(one_way.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_semi")
+    mutual = one_way.where("u < v").join(large(one_way.select(F.col("u").alias("v"), F.col("v").alias("u"))), ["u", "v"], "left_semi")
     groups = stage(components(mutual, nodes, key="id", ends=("u", "v")), "groups")
-    start = nodes.join(groups, "id").groupBy("component").agg(F.min(label).alias("label"))
+    start = nodes.join(large(groups), "id").groupBy("component").agg(F.min(label).alias("label"))
     start = stage(start.select(F.col("component").alias("id"), "label"), "start")
     first = groups.select(F.col("id").alias("u"), F.col("component").alias("cu"))
     second = groups.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-    links = stage(one_way.join(first, "u").join(second, "v").where("cu <> cv").select("cu", "cv").distinct(), "links")
+    links = stage(one_way.join(large(first), "u").join(large(second), "v").where("cu <> cv").select("cu", "cv").distinct(), "links")
     found = settle(links, start).select(F.col("id").alias("component"), F.col("label").alias(label))
-    return groups.join(found, "component").where(F.col(label).isNotNull()).select("id", label)
+    return groups.join(large(found), "component").where(F.col(label).isNotNull()).select("id", label)
 
 
 HOPS = 4  # steps along links before the graph is contracted
