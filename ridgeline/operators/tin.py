@@ -169,7 +169,7 @@ def _met(points: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     asked = points.select(F.col(key), F.col("x").alias("at_x"), F.col("y").alias("at_y")).crossJoin(F.broadcast(sizes))
     asked = asked.withColumn("power", F.explode("powers")).withColumn("_s", F.pow(F.lit(2.0), F.col("power").cast("double")))
     cells = [F.floor(F.col(f"at_{axis}") / F.col("_s")).alias(f"cell_{axis}") for axis in "xy"]
-    return asked.select(key, "at_x", "at_y", "power", *cells).join(filed, ["power", "cell_x", "cell_y"])
+    return asked.select(key, "at_x", "at_y", "power", *cells).join(large(filed), ["power", "cell_x", "cell_y"])
 
 
 def locate_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:
@@ -184,13 +184,13 @@ def locate_on_mesh(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key
     hits = _met(points, rows, key).where(inside_xy(a, b, c, F.col("at_x"), F.col("at_y")))
     z = z_on_triangle(a, b, c, F.col("at_x"), F.col("at_y"))
     best = hits.groupBy(key).agg(F.min(F.struct(F.col("f_id"), z.alias("z_hat"))).alias("m"))
-    return points.select(key).join(best, key, "left").select(key, "m.f_id", "m.z_hat")
+    return points.select(key).join(large(best), key, "left").select(key, "m.f_id", "m.z_hat")
 
 
 def vertical_error(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:
     """``key, error``: z minus the mesh height; NULL outside the mesh."""
     found = locate_on_mesh(points, face, vertex, key=key)
-    return points.join(found, key).select(key, (F.col("z") - F.col("z_hat")).alias("error"))
+    return points.join(large(found), key).select(key, (F.col("z") - F.col("z_hat")).alias("error"))
 
 
 def metric_safety(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:
@@ -200,7 +200,7 @@ def metric_safety(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key:
 
 def diff_table(points: DataFrame, face: DataFrame, vertex: DataFrame, *, key: str = "id") -> DataFrame:
     """``key, x, y, z, d`` to 2 decimals; differences below 1e-5 are 0."""
-    found = points.join(vertical_error(points, face, vertex, key=key), key)
+    found = points.join(large(vertical_error(points, face, vertex, key=key)), key)
     d = F.when(F.abs("error") < 1e-5, F.lit(0.0)).otherwise(F.col("error"))
     return found.select(key, *(F.round(c, 2).alias(c) for c in "xyz"), F.round(d, 2).alias("d"))
 
@@ -212,7 +212,7 @@ def densify(vertex: DataFrame, face: DataFrame, *, only: DataFrame | None = None
     cx, cy = circumcentre_xy(a, b, c)
     new = stage(corners(chosen, vertex).select("f_id", cx.alias("x"), cy.alias("y")).where("x IS NOT NULL"), "centres")
     heights = locate_on_mesh(new.withColumnRenamed("f_id", "id"), face, vertex).select(F.col("id").alias("f_id"), F.col("z_hat").alias("z"))
-    return new.join(heights, "f_id").select("f_id", "x", "y", "z")
+    return new.join(large(heights), "f_id").select("f_id", "x", "y", "z")
 
 
 def simplify_candidates(vertex: DataFrame, face: DataFrame, *, threshold: float, up_only: bool = True) -> DataFrame:
