@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.vec import Vec, acos_clamped, put
+from ridgeline.staging import large
 
 
 def stack_sides(wide: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def derive_atoms(surface: DataFrame, mat: DataFrame, *, center: bool = True) ->
     points = surface.select("s_id", "px", "py", "pz")
     second = points.select(F.col("s_id").alias("q_id"), *(F.col(f"p{a}").alias(f"q{a}") for a in "xyz"))
     size = points.agg((F.max("s_id") + 1).alias("_m"))
-    balls = mat.join(points, "s_id").join(second, "q_id").crossJoin(F.broadcast(size))
+    balls = mat.join(large(points), "s_id").join(large(second), "q_id").crossJoin(F.broadcast(size))
     p, q, c = Vec.of("p"), Vec.of("q"), Vec.of("c")
     balls = put(put(balls, "f1", p - c), "f2", q - c).withColumn(
         "ma_id", F.col("s_id") + F.when(F.col("side") == "out", F.col("_m")).otherwise(F.lit(0))

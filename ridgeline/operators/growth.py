@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from ridgeline.functions.vec import Vec, acos_clamped
 from ridgeline.operators.components import components, lowest_reaching
 from ridgeline.operators.nearest import knn
-from ridgeline.staging import discard, new_path, number_rows, stage, stage_at
+from ridgeline.staging import discard, large, new_path, number_rows, stage, stage_at
 
 Predicate = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -89,7 +89,7 @@ def attach_ends(atoms: DataFrame, edges: DataFrame, columns: list[str]) -> DataF
     """Edges with the listed ball columns of both ends as ``u_*`` and ``v_*``."""
     for end in ("u", "v"):
         side = atoms.select(F.col("ma_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
-        edges = edges.join(side, end)
+        edges = edges.join(large(side), end)
     return edges
 
 
@@ -118,7 +118,7 @@ def flood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def unmark_small(labels: DataFrame, mincount: int) -> DataFrame:
     """Set the label of segments with fewer than ``mincount`` balls to 0."""
     sizes = labels.where("seg <> 0").groupBy("seg").agg(F.count("*").alias("_n")).where(F.col("_n") >= mincount)
-    kept = labels.where("seg <> 0").join(sizes, "seg", "left")
+    kept = labels.where("seg <> 0").join(large(sizes), "seg", "left")
     kept = kept.select("ma_id", F.when(F.col("_n").isNotNull(), F.col("seg")).otherwise(F.lit(0)).cast("bigint").alias("seg"))
     return kept.unionByName(unlabelled(labels))
 
@@ -132,7 +132,7 @@ def relabel(labels: DataFrame) -> DataFrame:
     """Dense labels from 1 in the order of the old ones; 0 stays."""
     olds = labels.where("seg <> 0").select("seg").distinct()
     dense = number_rows(olds, [F.col("seg")], "dense", start=1, label="relabel")
-    found = labels.where("seg <> 0").join(dense, "seg").select("ma_id", F.col("dense").cast("bigint").alias("seg"))
+    found = labels.where("seg <> 0").join(large(dense), "seg").select("ma_id", F.col("dense").cast("bigint").alias("seg"))
     return found.unionByName(unlabelled(labels))
 
 
@@ -154,14 +154,14 @@ def segment(
     labels = stage(unmark_small(labels, mincount), "pass1")
     if second_pass_deg is None:
         return relabel(labels)
-    loose = stage(atoms.join(labels.where("seg = 0").select("ma_id"), "ma_id", "left_semi"), "loose")
+    loose = stage(atoms.join(large(labels.where("seg = 0").select("ma_id")), "ma_id", "left_semi"), "loose")
     accepted = candidate_edges(loose, edges, similar_theta(theta_deg), k=k)
-    ranks = loose.select(F.col("ma_id").alias("id"), "theta").join(seeds, "id").select(
+    ranks = loose.select(F.col("ma_id").alias("id"), "theta").join(large(seeds), "id").select(
         "id", F.when(F.col("theta") > math.radians(second_pass_deg), F.col("rank") + 1).alias("rank")
     )
     # labels of the two passes must not meet: the second pass gets negative ones
     second = flood(accepted, ranks).withColumn("seg", -F.col("seg"))
-    both = labels.join(second.withColumnRenamed("seg", "late"), "ma_id", "left").select(
+    both = labels.join(large(second.withColumnRenamed("seg", "late")), "ma_id", "left").select(
         "ma_id", F.coalesce("late", "seg").alias("seg")
     )
     small_free = unmark_small(both, mincount)
