@@ -100,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, dictionary
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     sample = sample.select(F.lit(0).alias("all"), "rank", "text", "quality")
-    found = sample.groupBy("all").applyInPandas(train, "model binary").first()  # one small row
-    return pickle.loads(bytes(found[0])) if found else {"share": 0.5, "weights": None, "dictionaries": {}}
+    found = sample.groupBy("all").applyInPandas(train, "model binary").collect()  # one small row
+    return pickle.loads(bytes(found[0][0])) if found else {"share": 0.5, "weights": None, "dictionaries": {}}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
