@@ -17,7 +17,7 @@ from ridgeline.operators import cmap as M
 from ridgeline.operators import reconstruct as B
 from ridgeline.operators.analysis import spoke_sides
 from ridgeline.plans.pipeline import run_path
-from ridgeline.staging import new_path
+from ridgeline.staging import large, new_path
 
 # Axis of the edge, and the coordinates along (k), and across it (k+1, k+2), rotated into x, y, z.
 CUBE = """
@@ -62,7 +62,7 @@ def cube_sided(t):
     def make():
         wide = cube(t)
         atoms = A.derive_atoms(wide, A.stack_sides(wide), center=False).where("side = 'in'")
-        labels = atoms.select("ma_id", "s_id").join(wide.select("s_id", F.col("sheet").alias("seg")), "s_id").select("ma_id", "seg")
+        labels = atoms.select("ma_id", "s_id").join(large(wide.select("s_id", F.col("sheet").alias("seg"))), "s_id").select("ma_id", "seg")
         return spoke_sides(atoms, labels)
     return t.share("cube_sided", make)
 
