@@ -134,3 +134,35 @@ def test_query_uses_the_default_order(monkeypatch):
     monkeypatch.setattr(katz, "train_and_score", lambda docs, *, order=3, **_: (asked.append(order), None))
     queries.op1_lm_scores(None, "")
     assert asked == [3]
+
+
+def test_numbers_and_keys_are_exact():
+    np, rnd = katz.np, katz.np.random.default_rng(3)
+    for width in (1, 2, 7, 8):
+        assert sorted(katz.mixed(np.arange(1 << width, dtype=np.uint64), width).tolist()) == list(range(1 << width))
+    for bits in (5, 40, 64):  # with and without room for positions beside the key
+        keys = rnd.integers(0, 1 << min(bits, 6), 500, dtype=np.uint64) << np.uint64(max(0, bits - 6))
+        first, of = katz.numbered(keys, bits)
+        unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        assert first.tolist() == at.tolist() and of.tolist() == inverse.tolist() and keys[first].tolist() == unique.tolist()
+    near = rnd.permutation(np.arange(500, dtype=np.uint64)) + (np.uint64(1) << np.uint64(63))  # differ in low bits only
+    assert near[katz.ascending(near, 64)].tolist() == sorted(near.tolist())
+    model = katz.Model(2, {}, [], {1: np.array([0, 2**40])})
+    pairs = [model.keys(2, np.array([c], np.uint64), np.array([w], np.uint64))[0] for c in range(20) for w in range(20)]
+    assert len(set(pairs)) == 400  # hashed, as 81 bits do not fit
+
+
+def test_what_a_run_leaves_on_disk(spark, tmp_path, monkeypatch):
+    """Two blocks of 40,000 tokens: a few bytes for each n-gram; answers are moved, old blocks deleted, shuffles dropped."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, rnd, made = spark.conf.get(setting), random.Random(5), []
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 20_000}" for _ in range(1999)), "x") for i in range(40)]
+    monkeypatch.setattr(katz, "new_path", lambda _, label: made.append(tmp_path / f"{label}-{len(made)}") or str(made[-1]))
+    scored, model = katz.train_and_score(spark.createDataFrame(rows, SCHEMA).coalesce(1), block_tokens=40_000)
+    assert scored.count() == 40 and spark.conf.get(setting) == was
+    grams = [spark.read.parquet(str(p)).selectExpr("sum(length(keys)) / sum(size)").first()[0] for p in tmp_path.glob("*/kind=grams/order=3")]
+    assert len(grams) == 1 and grams[0] < 4, grams  # bytes of a key; 64-bit hashes take six
+    assert len([p for p in made if p.exists() and "blocks" in p.name]) == 1
+    assert not list(tmp_path.glob("katz-model-*/kind=counts"))
+    assert {p.name for p in tmp_path.glob("katz-model-*/kind=grams/order=*")} == {"order=1", "order=2", "order=3"}
+    assert {p for p in map(str, made) if "model" in p} == set(model.paths)
