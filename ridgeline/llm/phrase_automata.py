@@ -1,7 +1,8 @@
 """Collocations by weighted acyclic automata over words.
 
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line breaks, and pieces into words
-at blanks and tabs.  Everything is counted per language; a null language is ``und``.
+at blanks and tabs, once: shards of words by number are kept until all n-grams are counted.  Everything is counted per
+language; a null language is ``und``.
 
 * A task builds *count transducers* from the sorted n-grams of a shard of tokens: one for each *prefix
   range*, whose paths are n-grams and whose last arcs carry counts.  States are closed in
@@ -27,11 +28,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import BitTable, utf8
-from ridgeline.staging import stage
+from ridgeline.llm.katz import pack, unpack
+from ridgeline.staging import discard, new_path, stage, stage_at
 
 _BREAK = 255  # no byte of UTF-8
 _FOLDED = bytes(_BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in bytes(range(256)).lower())
@@ -139,43 +142,61 @@ class _Numbers(dict):
         return number
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Language, words by number (0 is the break) and the numbers of the tokens of a shard."""
-    held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-    size = 0
+_SHARD = "lang string, words binary, ids binary"
 
-    def full() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        for lang, (numbers, parts) in held.items():
-            yield lang, list(numbers), np.concatenate([np.zeros(1, np.int64), *parts])
-        held.clear()
 
+def _shards(docs: DataFrame) -> DataFrame:
+    """Texts cut into words, once for all passes: a row for each language of a shard with its words by number (0 is the break)
+    and the numbers of its tokens."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
+        size = 0
+
+        def full() -> Iterator[pa.RecordBatch]:
+            for lang, (numbers, parts) in held.items():
+                ids = pack(np.concatenate([np.zeros(1, np.int32), *parts]))
+                words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(numbers))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([words], pa.binary()), pa.array([ids], pa.binary())], ["lang", "words", "ids"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                if lang not in held:
+                    held[lang] = (_Numbers({b"\xff": 0}), [])
+                numbers, parts = held[lang]
+                found = tokens(text.as_py())
+                parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                parts.append(np.zeros(1, np.int32))
+                size += len(found) + 1
+                if size >= SHARD:
+                    yield from full()
+                    size = 0
+        yield from full()
+
+    return _texts(docs).mapInArrow(task, _SHARD)
+
+
+def _read_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Language, words by number and the numbers of the tokens of a shard."""
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            if lang not in held:
-                held[lang] = (_Numbers({b"\xff": 0}), [])
-            numbers, parts = held[lang]
-            found = tokens(text.as_py())
-            parts.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-            parts.append(np.zeros(1, np.int64))
-            size += len(found) + 1
-            if size >= SHARD:
-                yield from full()
-                size = 0
-    yield from full()
+        for lang, words, ids in zip(*(batch.column(c) for c in ("lang", "words", "ids"))):
+            # no word holds a line break
+            yield lang.as_py(), zstandard.ZstdDecompressor().decompress(words.as_py()).split(b"\n"), unpack(ids.as_py(), np.int32).astype(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8(F.col("text")).alias("text"))
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
+def _word_counts(shards: DataFrame) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids in _shards(batches):
+        for lang, words, ids in _read_shards(batches):
             count = np.bincount(ids, minlength=len(words))[1:]
             columns = [pa.array([lang] * len(count), pa.string()), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "f"])
 
-    rows = _texts(docs).mapInArrow(task, "lang string, word string, f bigint")
+    rows = shards.mapInArrow(task, "lang string, word string, f bigint")
     return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
@@ -250,7 +271,7 @@ class _Ranges:
         return (home % self.n + spread % self.share(lang, head)) % self.n
 
 
-def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | None, ranges: _Ranges) -> DataFrame:
+def _gram_rows(shards: DataFrame, size: int, known: BitTable, pairs: BitTable | None, ranges: _Ranges) -> DataFrame:
     """Transducers of each shard's n-grams of ``size`` words, cut into prefix ranges."""
 
     def grams(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray]:
@@ -270,7 +291,7 @@ def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | No
         return order, hashes, *_counted([ids[at], ids[at + 1], ids[at + 2]], len(order))
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids in _shards(batches):
+        for lang, words, ids in _read_shards(batches):
             order, hashes, columns, count = grams(lang, words, ids)
             share = np.array([ranges.share(lang, w) for w in order], np.uint64)
             home = (hashes >> np.uint64(2)) % np.uint64(ranges.n)
@@ -283,7 +304,7 @@ def _gram_rows(docs: DataFrame, size: int, known: BitTable, pairs: BitTable | No
             for a, b in zip(block, [*block[1:], len(part)]):
                 yield _automata(lang, order, [c[a:b] for c in columns], part[a:b], count[a:b])
 
-    return _texts(docs).mapInArrow(task, _AUTOMATON)
+    return shards.mapInArrow(task, _AUTOMATON)
 
 
 def _union(rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -406,7 +427,9 @@ def _scored(parts: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of two and three words of each language."""
-    counts = stage(_word_counts(docs), "phrase-words")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "phrase-shards")
+    shards = stage_at(_shards(docs), path)
+    counts = stage(_word_counts(shards), "phrase-words")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = counts.where(F.col("f") >= least)
     whole = counts.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first().n
@@ -416,11 +439,12 @@ def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int
     # fewer than HEAVY words can be that frequent
     ranges = _Ranges(max(1, whole // RANGE), {(r.lang, r.word): r.shares for r in heavy.collect()})
     known = BitTable(words.select(F.xxhash64("lang", "word").alias("h")))
-    pairs = stage(_union(_gram_rows(docs, 2, known, None, ranges), 2, least), "phrase-pairs")
+    pairs = stage(_union(_gram_rows(shards, 2, known, None, ranges), 2, least), "phrase-pairs")
     two = stage(_flat(pairs, 2), "phrase-two")
     both = F.split("phrase", " ")
     frequent = BitTable(two.select("h"))
-    three = stage(_flat(_union(_gram_rows(docs, 3, known, frequent, ranges), 3, least), 3), "phrase-three")
+    three = stage(_flat(_union(_gram_rows(shards, 3, known, frequent, ranges), 3, least), 3), "phrase-three")
+    discard(spark, path)
 
     scored = _scored(_composed(_queries(two.unionByName(three), ranges), words, pairs, heavy, ranges.n))
     ends = F.array(F.concat_ws(" ", both[0], both[1]), F.concat_ws(" ", both[1], both[2]))

@@ -109,3 +109,18 @@ def test_counts_of_rows_of_numbers(n):
         columns, count = phrase_automata._counted([np.array(c, np.int64) for c in zip(*rows)], n)
         assert dict(zip(zip(*(c.tolist() for c in columns)), count.tolist())) == Counter(map(tuple, rows))
         assert list(zip(*(c.tolist() for c in columns))) == sorted(set(map(tuple, rows)))
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+    whole = phrase_automata.tokens
+
+    def counting(text):
+        cut.add(1)
+        return whole(text)
+
+    monkeypatch.setattr(phrase_automata, "tokens", counting)
+    rows = [(i, "fr" if i % 3 else None, "red green, blue red green blue\nred" if i % 7 else None) for i in range(200)]
+    found = phrase_automata.collocations(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert ("und", "red green blue") in {(r.lang, r.phrase) for r in found.collect()}
+    assert cut.value == 200
