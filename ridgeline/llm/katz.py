@@ -9,13 +9,14 @@ single occurrences; keys are spread evenly, so the most frequent word burdens no
 An n-gram's key is the number of its context, the (n-1)-gram before, beside the number of its last word, shuffled
 by a bijection; a text starts in a fixed context and closes with an end token.  Numbers are dense, so sorted keys differ
 by few bits and a context is named by a few bits, too: two or three bytes where a hash takes six.  The answers
-become part of the block's row, and what they were read from is deleted.
+of an order become one row for each block, bucketed like the blocks, and what they were read from is deleted.
 
 * Good-Turing: with ``N_c`` n-grams of count ``c``, counts up to ``K`` are discounted the usual way;
   where the counts of counts allow none, absolute discounting stands in.
 * Backoff weights: for each context the discounted mass and the lower-order probabilities of its seen words
   are added up over their owners (the first block that has the n-gram), in a second exchange
-  keyed by context.  Contexts that one block alone has only go into the model: the block has all their n-grams.  ``alpha = (1 - mass) / (1 - lower mass)`` makes every context sum to one,
+  keyed by context.  A block is answered the totals of all its contexts, but the weights only of those after
+  which it has an unseen n-gram: nothing else is multiplied by them.  Contexts that one block alone has only go into the model: the block has all their n-grams.  ``alpha = (1 - mass) / (1 - lower mass)`` makes every context sum to one,
   with all unknown words as one event.  A context whose counts leave no mass gets one more in its total.
 * Evaluation per token: seen n-gram, else weight of the context times the next lower order,
   down to unigrams and the unknown word.
@@ -32,6 +33,7 @@ training text every word is unknown and an unknown word has probability one.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -53,20 +55,45 @@ K = 5
 END = 0x51ED270B9F652295  # key of the end token; texts' words have XXH64 keys
 #: Masses of contexts are sent in steps of this size; answers have 6e-8 of a weight.
 STEP = 2.0**-32
+_DOUBLES = "<?QQ"  # whether values are listed, how many there are, bytes of their places
 
 
 def pack(values: np.ndarray) -> bytes:
     """Compressed by planes: first all lowest bytes, then all second bytes, and so on."""
+    if values.dtype == np.float64:
+        return _pack_doubles(values)
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T if len(values) else np.zeros(0, np.uint8)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(blob: bytes, kind) -> np.ndarray:
+    if np.dtype(kind) == np.float64:
+        return _unpack_doubles(blob)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
+def _pack_doubles(values: np.ndarray) -> bytes:
+    """Masses: few distinct ones by their places in a list, else those that are not zero, and where they are."""
+    listed, of = np.unique(values, return_inverse=True)
+    few = 8 * len(listed) <= len(values)
+    some = values != 0
+    marks = pack(of.astype(np.uint32) if few else np.packbits(some))
+    return struct.pack(_DOUBLES, few, len(values), len(marks)) + marks + pack((listed if few else values[some]).view(np.uint64))
+
+
+def _unpack_doubles(blob: bytes) -> np.ndarray:
+    few, size, cut = struct.unpack_from(_DOUBLES, blob)
+    rest = blob[struct.calcsize(_DOUBLES) :]
+    marks, kept = rest[:cut], unpack(rest[cut:], np.uint64).view(np.float64)
+    if few:
+        return kept[unpack(marks, np.uint32)]
+    values = np.zeros(size)
+    values[np.unpackbits(unpack(marks, np.uint8), count=size).astype(bool)] = kept
+    return values
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
@@ -96,15 +123,17 @@ def numbered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """First position of each distinct key of ``bits`` bits, ascending by key, and the number of the key at each position."""
     width = len(keys).bit_length()
     if bits + width <= 64:  # a plain sort, with the position below the key, is several times faster
-        both = np.sort((keys << np.uint64(width)) | np.arange(len(keys), dtype=np.uint64))
+        both = keys << np.uint64(width)
+        both |= np.arange(len(keys), dtype=np.uint64)
+        both.sort()
         position, keys = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
     else:
         position = np.argsort(keys, kind="stable")
         keys = keys[position]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    of = np.empty(len(keys), np.int64)
-    of[position] = np.cumsum(new) - 1
+    of = np.empty(len(keys), np.int32 if width < 32 else np.int64)
+    of[position] = np.cumsum(new, dtype=of.dtype) - 1
     return position[new], of
 
 
@@ -112,7 +141,10 @@ def ascending(keys: np.ndarray, bits: int) -> np.ndarray:
     """The order of keys of ``bits`` bits; equal keys in any fixed order."""
     width = len(keys).bit_length()
     spare = np.uint64(max(0, bits + width - 64))  # low bits that find no room beside the position
-    both = np.sort((keys >> spare << np.uint64(width)) | np.arange(len(keys), dtype=np.uint64))
+    both = keys >> spare
+    both <<= np.uint64(width)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
     order = (both & np.uint64((1 << width) - 1)).astype(np.int64)
     if spare:
         found = keys[order]
@@ -134,7 +166,7 @@ class Block:
     """Tokens of some texts, and their n-grams."""
 
     def __init__(self, row: dict):
-        self.words = unpack(bytes(row["ids"]), np.int32).astype(np.int64)
+        self.words = unpack(row["ids"], np.int32)
         self.lengths, self.train = np.asarray(list(row["lengths"]), np.int64), np.asarray(list(row["train"]), bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.in_training = np.repeat(self.train, self.lengths)
@@ -143,12 +175,14 @@ class Block:
         size = int(self.words.max()) + 1
         first = np.empty(size, np.int64)
         first[self.words[::-1]] = np.arange(len(self.words))[::-1]
-        grams = Grams(first, self.words, np.zeros(len(self.words), np.int64))
+        grams = Grams(first, self.words, np.zeros(len(self.words), np.int32))
         yield grams
         for _ in range(1, order):
             context = np.roll(grams.of, 1) + 1
             context[self.starts] = 0
-            key = (context * size + self.words).astype(np.uint64)
+            key = context.astype(np.uint64)
+            key *= np.uint64(size)
+            key += self.words.astype(np.uint64)
             grams = Grams(*numbered(key, ((len(grams.first) + 1) * size).bit_length()), context)
             yield grams
 
@@ -287,16 +321,17 @@ def weights(total: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.
 
 
 def _sum_contexts(order: int, parts: list[tuple]) -> list[tuple]:
-    """Adds the masses of contexts; answers with the total and the backoff weight."""
+    """Adds the masses of contexts; answers with the totals, and the backoff weights of those asked for (lowest bit of a key)."""
     keys = [unpack_sorted(p.keys) for p in parts]
-    unique, of = np.unique(np.concatenate(keys), return_inverse=True)
+    unique, of = np.unique(np.concatenate(keys) >> np.uint64(1), return_inverse=True)
     total, kept, lower = (np.bincount(of, weights=np.concatenate([unpack(getattr(p, c), np.float64) for p in parts]), minlength=len(unique)) for c in "abc")
     base, alpha = weights(total, kept, lower)
     out, at = [], 0
     for p, k in zip(parts, keys):
         mine = of[at : at + len(k)]
+        asked = mine[k % np.uint64(2) == 1]
         # single precision: 6e-8 of a weight
-        out.append(("contexts", order, p.block, p.bucket, len(mine), b"", pack(base[mine].astype(np.uint64)), pack(alpha[mine].astype(np.float32)), b""))
+        out.append(("contexts", order, p.block, p.bucket, len(mine), b"", pack(base[mine].astype(np.uint64)), pack(alpha[asked].astype(np.float32)), b""))
         at += len(k)
     seen = total > 0
     out.append(("weights", order, "", parts[0].bucket, int(seen.sum()), pack_sorted(unique[seen]), pack(base[seen].astype(np.uint64)), pack(alpha[seen].astype(np.float32)), b""))
@@ -415,10 +450,37 @@ def _masses(model: Model, n: int, grams: Grams, counts: np.ndarray, flags: np.nd
     """For each context of the block: count, discounted count and lower-order probability of the n-grams that the block owns."""
     mine = (flags % 2 == 1) & (counts > 0)
     at, own = grams.first[mine], counts[mine]
-    total, kept, below = (np.bincount(grams.context[at], weights=v, minlength=size) for v in (own, model.discounted(n, own), lower[at]))
+    total, kept, below = (np.bincount(grams.context[at], weights=v, minlength=size).astype(np.float64) for v in (own, model.discounted(n, own), lower[at]))  # integers if there are none
     return [total, kept, np.round(below / STEP) * STEP]
 
 
+def _backed_off(model: Model, row: dict, n: int, grams: Grams, counts: np.ndarray, flags: np.ndarray, p: np.ndarray, names: tuple, buckets: int) -> tuple[np.ndarray, list[tuple]]:
+    """Probabilities of order ``n`` from those of the order below, or, when the masses are not answered, what the block sends of them."""
+    contexts, alone, name = names
+    at, out, used = counts[grams.of], [], np.zeros(len(alone), bool)
+    used[grams.context] = True
+    total, kept, lower = _masses(model, n, grams, counts, flags, p, len(alone))
+    contexts = contexts[used[contexts]]
+    base, alpha = weights(total, kept, lower)
+    shared = contexts[~alone[contexts]]
+    asked = np.zeros(len(alone), bool)  # contexts whose weight is multiplied by
+    asked[grams.context[at == 0]] = True
+    if _parts(row["answers"], "contexts", n):
+        base[shared], alpha[shared[asked[shared]]] = _answers(row, "contexts", n, "ab")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(at > 0, model.discounted(n, at) / base[grams.context], alpha[grams.context] * p), out
+    lone = contexts[alone[contexts] & (total[contexts] > 0)]
+    for kind, some, values in (("masses", shared, (total, kept, lower)), ("lone", lone, (base.astype(np.uint64), alpha.astype(np.float32)))):
+        cut = bucket_ranges(name[some], buckets, int(model.starts[n - 1][-1]) + 1)
+        for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            if hi > lo:
+                part = some[lo:hi]
+                packed = [pack(v[part]) for v in values]
+                called = name[part] if kind == "lone" else name[part] * np.uint64(2) + asked[part]
+                out.append((kind, n, row["block"], b, int(hi - lo), pack_sorted(called), *packed, *[b""] * (3 - len(packed))))
+    return p, out
+
+
 def _work(model: Model, row: dict, upto: int, buckets: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """What a block sends when all orders to ``upto`` are counted: masses of this order and n-grams of the next.
 
@@ -433,39 +495,22 @@ def _work(model: Model, row: dict, upto: int, buckets: int) -> tuple[list[tuple]
                 if hi > lo:
                     out.append(("asked", n, row["block"], b, int(hi - lo), pack_sorted(keys[lo:hi]), pack(own[lo:hi]), b"", b""))
             break
-        at = counts[grams.of]
         if n == 1:
-            seen, p = at, model.unigrams(at)
+            seen = counts[grams.of]
+            p = model.unigrams(seen)
         else:
-            contexts, alone, name = before
-            used = np.zeros(len(alone), bool)
-            used[grams.context] = True
-            total, kept, lower = _masses(model, n, grams, counts, flags, p, len(alone))
-            contexts = contexts[used[contexts]]
-            base, alpha = weights(total, kept, lower)
-            shared = contexts[~alone[contexts]]
-            if _parts(row["answers"], "contexts", n):
-                base[shared], alpha[shared] = _answers(row, "contexts", n, "ab")
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    p = np.where(at > 0, model.discounted(n, at) / base[grams.context], alpha[grams.context] * p)
-            else:
-                lone = contexts[alone[contexts] & (total[contexts] > 0)]
-                for kind, some, values in (("masses", shared, (total, kept, lower)), ("lone", lone, (base.astype(np.uint64), alpha.astype(np.float32)))):
-                    cut = bucket_ranges(name[some], buckets, int(model.starts[n - 1][-1]) + 1)
-                    for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-                        if hi > lo:
-                            packed = [pack(v[some[lo:hi]]) for v in values]
-                            out.append((kind, n, row["block"], b, int(hi - lo), pack_sorted(name[some[lo:hi]]), *packed, *[b""] * (3 - len(packed))))
+            p, more = _backed_off(model, row, n, grams, counts, flags, p, before, buckets)
+            out += more
         before = np.concatenate([[0], order + 1]), np.concatenate([[False], flags >= 2]), names
     return out, p, seen
 
 
-def _table(blocks: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """The blocks as a table in the shared folder, bucketed so that answers join them where they lie, and what deletes it."""
-    spark = blocks.sparkSession
-    path, parts = new_path(spark, "katz-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "katz_blocks_" + path.rsplit("-", 1)[-1]
-    blocks.write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
+def _table(rows: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Rows of blocks as a table in the shared folder, bucketed so that such tables join where they lie, and what deletes it."""
+    spark = rows.sparkSession
+    path, parts = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = label.replace("-", "_") + "_" + path.rsplit("-", 1)[-1]
+    rows.write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
 
     def drop() -> None:
         spark.sql(f"DROP TABLE {name}")
@@ -474,10 +519,13 @@ def _table(blocks: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.table(name), drop
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    packed = answers.where("kind in ('counts', 'contexts')").groupBy("block").agg(F.collect_list(F.struct("kind", "order", "bucket", "a", "b", "c")).alias("more"))
-    joined = blocks.join(packed, "block")  # at most orders * buckets parts of one block
-    return joined.withColumn("answers", F.concat("answers", "more")).drop("more")
+def _by_block(answers: DataFrame) -> DataFrame:
+    """One row for each block: at most orders * buckets parts."""
+    return answers.where("kind in ('counts', 'contexts')").groupBy("block").agg(F.collect_list(F.struct("kind", "order", "bucket", "a", "b", "c")).alias("more"))
+
+
+def _with_answers(blocks: DataFrame, packed: DataFrame) -> DataFrame:
+    return blocks.join(packed, "block").withColumn("answers", F.concat("answers", "more")).drop("more")
 
 
 def train_and_score(
@@ -505,7 +553,7 @@ def _add_figures(model: Model, answers: DataFrame, n: int, buckets: int) -> None
 def _train_and_score(docs: DataFrame, order: int, is_held_out: Callable[[int | None], bool], block_tokens: int, bucket_tokens: int) -> tuple[DataFrame, Model]:
     spark = docs.sparkSession
     nothing = F.expr("cast(array() as array<struct<kind: string, order: int, bucket: int, a: binary, b: binary, c: binary>>)")
-    blocks, drop = _table(read_blocks(docs, is_held_out, block_tokens).withColumn("answers", nothing))
+    blocks, drop = _table(read_blocks(docs, is_held_out, block_tokens).withColumn("answers", nothing), "katz-blocks")
     tokens = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
     buckets = max(1, -(-tokens // bucket_tokens))
     model = Model(order, {n: Figures() for n in range(1, order + 1)}, [])
@@ -513,15 +561,17 @@ def _train_and_score(docs: DataFrame, order: int, is_held_out: Callable[[int | N
         answers, path = _exchange(_send(blocks, lambda row, upto=upto: _work(model, row, upto, buckets)[0]), "katz-model", order)
         model.paths.append(path)
         _add_figures(model, answers, upto + 1, buckets)
-        before = drop
-        blocks, drop = _table(_with_answers(blocks, answers).withColumn("keys", F.lit(b"").cast("binary")))
-        before()
-        for kind in ("counts", "contexts"):  # now in the blocks
+        if upto == 0:  # words have numbers now
+            blocks, _ = _table(_with_answers(blocks, _by_block(answers)).withColumn("keys", F.lit(b"").cast("binary")), "katz-blocks")
+            drop()
+        else:
+            blocks = _with_answers(blocks, _table(_by_block(answers), "katz-answers")[0])
+        for kind in ("counts", "contexts"):  # now in rows of blocks
             discard(spark, f"{path}/kind={kind}")
     if order > 1:
         answers, path = _exchange(_send(blocks, lambda row: _work(model, row, order, buckets)[0]), "katz-model", order)
         model.paths.append(path)
-        blocks = _with_answers(blocks, answers)
+        blocks = _with_answers(blocks, _by_block(answers))
 
     first = model.figures[1]
 

@@ -166,3 +166,33 @@ def test_what_a_run_leaves_on_disk(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.glob("katz-model-*/kind=counts"))
     assert {p.name for p in tmp_path.glob("katz-model-*/kind=grams/order=*")} == {"order=1", "order=2", "order=3"}
     assert {p for p in map(str, made) if "model" in p} == set(model.paths)
+
+
+def test_masses_take_few_bytes_and_come_back_exactly():
+    np, rnd = katz.np, katz.np.random.default_rng(4)
+    total = np.where(rnd.random(5000) < 0.5, 0, rnd.integers(1, 5, 5000)).astype(float)
+    lower = np.where(total > 0, rnd.integers(1, 1 << 24, 5000) * katz.STEP, 0.0)
+    for values, most in ((total, 0.5), (total * 0.6321, 0.5), (lower, 2.5), (np.zeros(0), 99), (np.ones(1), 99)):
+        packed = katz.pack(values)
+        assert np.array_equal(katz.unpack(packed, np.float64), values) and len(packed) <= most * max(1, len(values))
+
+
+def test_weights_are_answered_only_where_asked_for():
+    """The lowest bit of a key asks; totals are answered for all contexts, and the model has all weights."""
+    np = katz.np
+    masses = [katz.pack(np.array(v)) for v in ([4.0, 6.0, 8.0], [3.0, 5.0, 7.0], [0.25, 0.5, 0.75])]
+    part = types.SimpleNamespace(block="x", bucket=0, keys=katz.pack_sorted(np.array([2, 5, 6], np.uint64)), **dict(zip("abc", masses)))
+    answer, model = katz._sum_contexts(2, [part])
+    assert katz.unpack(answer[6], np.uint64).tolist() == [4, 6, 8]
+    assert katz.unpack(answer[7], np.float32).tolist() == [np.float32((1 - 5 / 6) / 0.5)]
+    assert katz.unpack_sorted(model[5]).tolist() == [1, 2, 3] and len(katz.unpack(model[7], np.float32)) == 3
+
+
+def test_blocks_are_not_written_again_for_each_order(spark, monkeypatch):
+    """Answers join the blocks where both lie: two writes of blocks, and no shuffle of theirs in the last step."""
+    written, table = [], katz._table
+    monkeypatch.setattr(katz, "_table", lambda rows, label: written.append((label, "ids" in rows.columns)) or table(rows, label))
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    scored, _ = katz.train_and_score(docs, order=3, is_held_out=katz.crc32_held_out(7, 2), block_tokens=300, bucket_tokens=500)
+    assert written == [("katz-blocks", True), ("katz-blocks", True), ("katz-answers", False), ("katz-answers", False)]
+    assert scored.count() == len(ROWS)
